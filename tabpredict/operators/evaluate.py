@@ -83,8 +83,10 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
         F.struct(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), F.col("acc").alias("f1"),
                  F.col("n").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("n")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("n")),
+        F.struct(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"),
+                 F.col("mr").alias("recall"), F.col("mf").alias("f1"), F.col("n").alias("support")),
+        F.struct(F.lit("weighted avg").alias("class"), F.col("wp").alias("precision"),
+                 F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("n").alias("support")),
     )).alias("r")).select("r.*")
     out = base.unionByName(extra)
     return out.select("class", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")],
