@@ -1,4 +1,4 @@
 """Named query plans over the given tables (Spark) and their DuckDB twins."""
 
-from . import q_evaluate, q_models, q_profile  # noqa: F401
+from . import q_evaluate, q_models, q_profile, q_select  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
