@@ -258,3 +258,11 @@ def cast_int(spark, sf):
     "raw_obs"))
 def clean_raw(spark, sf):
     return C.clean_raw(raw_obs(spark, sf))
+
+
+# -- T6 ------------------------------------------------------------------------
+
+@query("sort_by_row_id", with_ctes(
+    "SELECT row_id, label, spend FROM churn_obs ORDER BY row_id", "churn_obs"))
+def sort_by_row_id(spark, sf):
+    return churn_obs(spark, sf).select("row_id", "label", "spend").orderBy("row_id")
