@@ -15,6 +15,7 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -42,17 +43,31 @@ def scored(model, df: DataFrame, keep: Sequence[str], prob: bool = True) -> Data
     return out.select(*cols)
 
 
+def fit_cached(estimator, train: DataFrame):
+    """MLlib fits read their input several times (summaries, binning,
+    iterations). Keep the prepared rows for the fit only: MEMORY_AND_DISK,
+    so a lost executor's blocks are recomputed from lineage, released as
+    soon as the model exists."""
+    t = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(t)
+    finally:
+        t.unpersist()
+
+
 def train_decision_tree(train: DataFrame, label: str = "label", max_depth: int = 10,
                         seed: int = 1337):
-    return DecisionTreeClassifier(labelCol=label, featuresCol="features", impurity="entropy",
-                                  maxDepth=max_depth, seed=seed).fit(train)
+    return fit_cached(DecisionTreeClassifier(labelCol=label, featuresCol="features",
+                                             impurity="entropy", maxDepth=max_depth, seed=seed),
+                      train)
 
 
 def train_random_forest(train: DataFrame, label: str = "label", num_trees: int = 10,
                         max_depth: int = 6, seed: int = 1337):
-    return RandomForestClassifier(labelCol=label, featuresCol="features", impurity="entropy",
-                                  numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                  featureSubsetStrategy="sqrt").fit(train)
+    return fit_cached(RandomForestClassifier(labelCol=label, featuresCol="features",
+                                             impurity="entropy", numTrees=num_trees,
+                                             maxDepth=max_depth, seed=seed,
+                                             featureSubsetStrategy="sqrt"), train)
 
 
 def positive_weight(label: str, weight: float) -> Column:
@@ -72,7 +87,7 @@ def train_gbt(train: DataFrame, label: str = "label", rounds: int = 10, depth: i
     gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=depth,
                         stepSize=step, minInstancesPerNode=min_rows, maxBins=bins,
                         featureSubsetStrategy=str(feature_fraction), seed=seed, **kw)
-    return gbt.fit(d)
+    return fit_cached(gbt, d)
 
 
 def split_counts(model, features: Sequence[str]) -> list[tuple[str, int]]:
@@ -92,8 +107,8 @@ def svm_reg(n: int, C: float = 1.0) -> float:
 
 def train_linear_svm(train: DataFrame, n: int, label: str = "label", C: float = 1.0,
                      max_iter: int = 100):
-    return LinearSVC(labelCol=label, featuresCol="features", regParam=svm_reg(n, C),
-                     standardization=False, maxIter=max_iter).fit(train)
+    return fit_cached(LinearSVC(labelCol=label, featuresCol="features", regParam=svm_reg(n, C),
+                                standardization=False, maxIter=max_iter), train)
 
 
 def train_logistic(train: DataFrame, n: int, label: str = "label", C: float = 1.0,
@@ -101,11 +116,13 @@ def train_logistic(train: DataFrame, n: int, label: str = "label", C: float = 1.
     """L2 logistic regression. ``penalize_intercept``: the intercept is a
     constant feature under the same penalty (liblinear's convention)."""
     if penalize_intercept:
-        return LogisticRegression(labelCol=label, featuresCol="features_b", regParam=svm_reg(n, C),
-                                  elasticNetParam=0.0, standardization=False, fitIntercept=False,
-                                  maxIter=max_iter).fit(train)
-    return LogisticRegression(labelCol=label, featuresCol="features", regParam=svm_reg(n, C),
-                              elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(train)
+        lr = LogisticRegression(labelCol=label, featuresCol="features_b", regParam=svm_reg(n, C),
+                                elasticNetParam=0.0, standardization=False, fitIntercept=False,
+                                maxIter=max_iter)
+    else:
+        lr = LogisticRegression(labelCol=label, featuresCol="features", regParam=svm_reg(n, C),
+                                elasticNetParam=0.0, standardization=False, maxIter=max_iter)
+    return fit_cached(lr, train)
 
 
 def with_bias(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -144,3 +144,41 @@ def grouped_quantiles(df: DataFrame, by: str, col: str, qs: Sequence[float],
             continue
         out[g] = quantiles(df.where(F.col(by) == F.lit(g)), col, qs)
     return out
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
+                     stats: dict | None = None, exact_limit: int = EXACT_LIMIT) -> dict:
+    """{column: [quantiles]} for several columns in few passes. ``stats``
+    may carry per column (non-null count, approx distinct) from a pass the
+    caller already made. Columns with few distinct values are counted
+    together: one ``stack`` + ``groupBy(column, value)`` job whose result is
+    at most ``exact_limit`` rows; the others go through ``kth_values``."""
+    if stats is None:
+        r = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.approx_count_distinct(c, 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        stats = {c: (r[f"n{i}"], r[f"d{i}"]) for i, c in enumerate(cols)}
+    small, budget = [], exact_limit
+    for c in cols:
+        if stats[c][1] <= budget:
+            small.append(c)
+            budget -= stats[c][1]
+    out: dict = {}
+    if small:
+        parts = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in small)
+        long = df.selectExpr(f"stack({len(small)}, {parts}) AS (__c, __v)").where("__v IS NOT NULL")
+        per: dict = {}
+        for r in long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("n")).collect():
+            per.setdefault(r["__c"], []).append((r["__v"], r["n"]))
+        for c in small:
+            counts = sorted(per.get(c, []))
+            n = sum(k for _, k in counts)
+            if n == 0:
+                out[c] = [None for _ in qs]
+                continue
+            plan = [_interp(n, q) for q in qs]
+            got = _pick(counts, [r for lo, hi, _ in plan for r in (lo, hi)])
+            out[c] = [got[lo] + (got[hi] - got[lo]) * f for lo, hi, f in plan]
+    for c in cols:
+        if c not in out:
+            out[c] = quantiles(df, c, qs)
+    return out

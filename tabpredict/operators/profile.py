@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .orderstat import quantiles
+from .orderstat import column_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
@@ -76,11 +76,14 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     for c in cols:
         aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"),
                  F.stddev_samp(c).alias(f"s_{c}"), F.min(c).cast("double").alias(f"lo_{c}"),
-                 F.max(c).cast("double").alias(f"hi_{c}")]
+                 F.max(c).cast("double").alias(f"hi_{c}"),
+                 F.approx_count_distinct(c, 0.05).alias(f"d_{c}")]
     mom = df.agg(*aggs).first()
+    quart = column_quantiles(df, cols, [0.25, 0.5, 0.75],
+                             stats={c: (mom[f"n_{c}"], mom[f"d_{c}"]) for c in cols})
     rows = []
     for c in cols:
-        q = quantiles(df, c, [0.25, 0.5, 0.75])
+        q = quart[c]
         rows.append((c, int(mom[f"n_{c}"]), mom[f"m_{c}"], mom[f"s_{c}"], mom[f"lo_{c}"],
                      q[0], q[1], q[2], mom[f"hi_{c}"]))
     schema = ("feature string, count bigint, mean double, std double, min double, "

@@ -12,6 +12,7 @@ rows are picked on any cluster layout.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -36,21 +37,37 @@ def _locate(hist: list[tuple[int, int]], rank: int) -> tuple[int, int]:
     raise ValueError("rank beyond total")
 
 
-def split_holdout(df: DataFrame, key: str, test_size: float = 0.333, seed: int = 1337,
-                  out: str = "is_test") -> DataFrame:
-    """Adds ``out`` (int 1 = test row). Same key set, same seed -> same rows."""
+@dataclass
+class Split:
+    """A split DataFrame with its sizes (known from the histograms, so
+    callers need no extra ``count()`` pass)."""
+    df: DataFrame
+    n: int
+    n_test: int
+
+    @property
+    def n_train(self) -> int:
+        return self.n - self.n_test
+
+
+def split_holdout_sized(df: DataFrame, key: str, test_size: float = 0.333, seed: int = 1337,
+                        out: str = "is_test") -> Split:
+    """``split_holdout`` plus the row counts. Usually two passes: the
+    high-16-bit histogram (whose sum is n) and the low-16-bit histogram of
+    the boundary bucket; a third (top-k on the key) only when several rows
+    share the boundary hash and only some of them belong to the test set."""
     hcol = f"__h_{out}"
     d = df.withColumn(hcol, hash32(key, F.lit(seed)))
-    n = df.count()
-    k = n_test_rows(n, test_size)
-    if k <= 0:
-        return df.withColumn(out, F.lit(0))
-    if k >= n:
-        return df.withColumn(out, F.lit(1))
     h = F.col(hcol)
     hi_hist = [(r["b"], r["n"]) for r in
                d.groupBy(F.shiftright(h, 16).alias("b")).agg(F.count(F.lit(1)).alias("n"))
                .orderBy("b").collect()]
+    n = sum(c for _, c in hi_hist)
+    k = n_test_rows(n, test_size)
+    if k <= 0:
+        return Split(df.withColumn(out, F.lit(0)), n, 0)
+    if k >= n:
+        return Split(df.withColumn(out, F.lit(1)), n, n)
     b_hi, r1 = _locate(hi_hist, k)
     lo_hist = [(r["b"], r["n"]) for r in
                d.where(F.shiftright(h, 16) == b_hi)
@@ -58,10 +75,20 @@ def split_holdout(df: DataFrame, key: str, test_size: float = 0.333, seed: int =
                .orderBy("b").collect()]
     b_lo, r2 = _locate(lo_hist, r1)
     h_star = b_hi * 65536 + b_lo
-    key_star = (d.where(h == h_star).select(key).orderBy(key).limit(r2)
-                .agg(F.max(key).alias("k")).first()["k"])
-    test = (h < F.lit(h_star)) | ((h == F.lit(h_star)) & (F.col(key) <= F.lit(key_star)))
-    return d.withColumn(out, F.when(test, 1).otherwise(0)).drop(hcol)
+    ties = dict(lo_hist)[b_lo]
+    if r2 == ties:  # every row with the boundary hash is a test row
+        test = h <= F.lit(h_star)
+    else:
+        key_star = (d.where(h == h_star).select(key).orderBy(key).limit(r2)
+                    .agg(F.max(key).alias("k")).first()["k"])
+        test = (h < F.lit(h_star)) | ((h == F.lit(h_star)) & (F.col(key) <= F.lit(key_star)))
+    return Split(d.withColumn(out, F.when(test, 1).otherwise(0)).drop(hcol), n, k)
+
+
+def split_holdout(df: DataFrame, key: str, test_size: float = 0.333, seed: int = 1337,
+                  out: str = "is_test") -> DataFrame:
+    """Adds ``out`` (int 1 = test row). Same key set, same seed -> same rows."""
+    return split_holdout_sized(df, key, test_size, seed, out).df
 
 
 def assign_folds(df: DataFrame, key: str, k: int = 5, out: str = "fold") -> DataFrame:

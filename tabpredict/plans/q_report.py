@@ -18,11 +18,11 @@ from .q_models import nb_predictions
 from .q_train import KEEP, gbt_model, line_sets
 from .registry import query
 
-# scores over scored_obs: name -> (Spark column, SQL expression)
+# scores over scored_obs: name -> (Spark column builder, SQL expression)
 SCORES = {
-    "p": (F.col("p"), "p"),
-    "extendedprice": (F.col("l_extendedprice"), "l_extendedprice"),
-    "p_half": (binarize("p", 0.5), "CASE WHEN p > 0.5 THEN 1 ELSE 0 END"),
+    "p": (lambda: F.col("p"), "p"),
+    "extendedprice": (lambda: F.col("l_extendedprice"), "l_extendedprice"),
+    "p_half": (lambda: binarize("p", 0.5), "CASE WHEN p > 0.5 THEN 1 ELSE 0 END"),
 }
 
 
@@ -40,7 +40,7 @@ register("score_aucs", " UNION ALL ".join(_auc_sql(n, e) for n, (_, e) in SCORES
 
 def score_aucs(spark, sf):
     so = scored_obs(spark, sf)
-    rows = [EV.roc_auc(so.select("label", c.alias("score")), "label", "score")
+    rows = [EV.roc_auc(so.select("label", c().alias("score")), "label", "score")
             .select(F.lit(n).alias("model"), "roc_auc") for n, (c, _) in SCORES.items()]
     return R.append(*rows)
 
@@ -61,13 +61,17 @@ def best_worst_model(spark, sf):
     return R.best_worst(score_aucs(spark, sf))
 
 
-# rules over scored_obs: (classifier, details, attributes, Spark prediction, SQL prediction)
-def _rules(med1: str | float):
+# rules over scored_obs: (classifier, details, attributes, Spark prediction, SQL prediction);
+# the Spark side is built only when a median is given (needs a session).
+def _rules(med1: float | None):
+    spark_side = med1 is not None
     return [
-        ("threshold", "p > 0.5", "p", binarize("p", 0.5), "CASE WHEN p > 0.5 THEN 1 ELSE 0 END"),
-        ("threshold", "p > 0.4", "p", binarize("p", 0.4), "CASE WHEN p > 0.4 THEN 1 ELSE 0 END"),
+        ("threshold", "p > 0.5", "p", binarize("p", 0.5) if spark_side else None,
+         "CASE WHEN p > 0.5 THEN 1 ELSE 0 END"),
+        ("threshold", "p > 0.4", "p", binarize("p", 0.4) if spark_side else None,
+         "CASE WHEN p > 0.4 THEN 1 ELSE 0 END"),
         ("median_cut", "1/ln(p) < churn median", "p",
-         binarize(inverse_log("p"), med1, strict_above=False) if not isinstance(med1, str) else None,
+         binarize(inverse_log("p"), med1, strict_above=False) if spark_side else None,
          "CASE WHEN s < med1 THEN 1 ELSE 0 END"),
     ]
 
@@ -78,7 +82,7 @@ def _acc_sql(c, d, a, expr) -> str:
             "AS accuracy FROM scored_s, class_medians")
 
 
-register("rule_report", " UNION ALL ".join(_acc_sql(c, d, a, e) for c, d, a, _, e in _rules("x")),
+register("rule_report", " UNION ALL ".join(_acc_sql(c, d, a, e) for c, d, a, _, e in _rules(None)),
          ["scored_s", "class_medians"])
 
 
@@ -136,12 +140,13 @@ def report_skeleton(spark, sf):
 @query("model_report")
 def model_report(spark, sf):
     tr, te = line_sets(spark, sf)
-    trs, tes = line_sets(spark, sf, scaled=True)
+    sets = line_sets(spark, sf, scaled=True)
+    trs, tes = sets
     attrs = "l_quantity,l_extendedprice,l_discount,l_tax"
     dt = M.scored(M.train_decision_tree(tr, max_depth=10), te, KEEP)
     rf = M.scored(M.train_random_forest(tr, num_trees=10, max_depth=6), te, KEEP)
-    lr = M.scored(M.train_logistic(trs, trs.count()), tes, KEEP)
-    svm = M.scored(M.train_linear_svm(trs, trs.count()), tes, KEEP, prob=False)
+    lr = M.scored(M.train_logistic(trs, sets.n_train), tes, KEEP)
+    svm = M.scored(M.train_linear_svm(trs, sets.n_train), tes, KEEP, prob=False)
     nb = nb_predictions(spark, sf)
     return R.append(
         R.report_row(EV.accuracy_pct(nb), "NaiveBayes", "gaussian", ",".join(CHURN_FEATURES)),

@@ -13,7 +13,7 @@ from ..operators import models as M
 from ..operators.boost import boost
 from ..operators.scale import apply_scaler, fit_scaler
 from ..operators.select import top_k
-from ..operators.split import assign_folds, split_holdout
+from ..operators.split import assign_folds, split_holdout_sized
 from ..sources.models import load_model, save_model
 from ..sources.tables import CHURN_FEATURES, LINE_FEATURES, churn_obs, line_obs
 from .registry import query
@@ -32,17 +32,25 @@ QUERY_ROUNDS = 5
 def line_split(spark, sf):
     lo = line_obs(spark, sf).withColumn(
         "row_key", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-    return split_holdout(lo, "row_key", 0.333, 1337)
+    return split_holdout_sized(lo, "row_key", 0.333, 1337)
+
+
+class LineSets(tuple):
+    """(train, test) that also knows the training row count."""
+    n_train: int
 
 
 def line_sets(spark, sf, scaled: bool = False):
     """(train, test) with a features vector; scaled with training-row stats."""
-    d = line_split(spark, sf)
+    sp = line_split(spark, sf)
+    d = sp.df
     if scaled:
         d = apply_scaler(d, fit_scaler(d.withColumn("__tr", F.col("is_test") == 0),
                                        LINE_FEATURES, fit_on="__tr"))
     d = M.assemble(d, LINE_FEATURES)
-    return d.where("is_test = 0"), d.where("is_test = 1")
+    out = LineSets((d.where("is_test = 0"), d.where("is_test = 1")))
+    out.n_train = sp.n_train
+    return out
 
 
 # -- trees -----------------------------------------------------------------------
@@ -116,42 +124,49 @@ def model_roundtrip(spark, sf):
 
 @query("train_linear_svm")
 def train_linear_svm(spark, sf):
-    tr, te = line_sets(spark, sf, scaled=True)
-    return M.scored(M.train_linear_svm(tr, tr.count()), te, KEEP, prob=False)
+    sets = line_sets(spark, sf, scaled=True)
+    tr, te = sets
+    return M.scored(M.train_linear_svm(tr, sets.n_train), te, KEEP, prob=False)
 
 
 def _mapped_sets(spark, sf, kind: str):
-    tr, te = line_sets(spark, sf, scaled=True)
+    sets = line_sets(spark, sf, scaled=True)
+    tr, te = sets
     gamma = M.gamma_scale(tr, LINE_FEATURES)
     cols = M.rff_columns(LINE_FEATURES, gamma) if kind == "rbf" else M.cubic_columns(LINE_FEATURES, gamma)
     mtr, names = M.mapped(tr, cols, KEEP)
     mte, _ = M.mapped(te, cols, KEEP)
-    return M.assemble(mtr, names), M.assemble(mte, names)
+    out = LineSets((M.assemble(mtr, names), M.assemble(mte, names)))
+    out.n_train = sets.n_train
+    return out
 
 
 @query("train_rbf_svm")
 def train_rbf_svm(spark, sf):
-    tr, te = _mapped_sets(spark, sf, "rbf")
-    return M.scored(M.train_linear_svm(tr, tr.count()), te, KEEP, prob=False)
+    sets = _mapped_sets(spark, sf, "rbf")
+    tr, te = sets
+    return M.scored(M.train_linear_svm(tr, sets.n_train), te, KEEP, prob=False)
 
 
 @query("train_poly_svm")
 def train_poly_svm(spark, sf):
-    tr, te = _mapped_sets(spark, sf, "poly")
-    return M.scored(M.train_linear_svm(tr, tr.count()), te, KEEP, prob=False)
+    sets = _mapped_sets(spark, sf, "poly")
+    tr, te = sets
+    return M.scored(M.train_linear_svm(tr, sets.n_train), te, KEEP, prob=False)
 
 
 @query("train_logistic")
 def train_logistic(spark, sf):
-    tr, te = line_sets(spark, sf, scaled=True)
-    return M.scored(M.train_logistic(tr, tr.count()), te, KEEP)
+    sets = line_sets(spark, sf, scaled=True)
+    tr, te = sets
+    return M.scored(M.train_logistic(tr, sets.n_train), te, KEEP)
 
 
 @query("train_logistic_penalized_intercept")
 def train_logistic_penalized_intercept(spark, sf):
-    tr, te = line_sets(spark, sf, scaled=True)
-    tr, te = M.with_bias(tr, LINE_FEATURES), M.with_bias(te, LINE_FEATURES)
-    model = M.train_logistic(tr, tr.count(), penalize_intercept=True)
+    sets = line_sets(spark, sf, scaled=True)
+    tr, te = M.with_bias(sets[0], LINE_FEATURES), M.with_bias(sets[1], LINE_FEATURES)
+    model = M.train_logistic(tr, sets.n_train, penalize_intercept=True)
     return M.scored(model, te, KEEP)
 
 

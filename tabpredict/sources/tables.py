@@ -28,7 +28,16 @@ HASH_SPAN = 4294967295.0               # 16**8 - 1
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet scan. A file that cannot be split (one row group) yields a
+    single scan task; then the rows are spread round-robin over the
+    cluster's parallelism so per-row work downstream is not serial. Large
+    inputs already scan in many tasks and are left as they are (filters and
+    column pruning still reach the scan through the repartition)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
