@@ -47,3 +47,17 @@ def sweep_knn_k(spark, sf):
     d = emb_split(spark, sf)
     return knn_sweep(d.where("is_test = 0"), d.where("is_test = 1"), SWEEP_KS).select(
         F.col("k").cast("int").alias("k"), "accuracy", "error")
+
+
+@query("best_knn_k", with_ctes(f"""
+SELECT k, accuracy FROM (
+  SELECT k, round(avg(CASE WHEN c = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (
+    SELECT *, row_number() OVER (PARTITION BY q, k ORDER BY n DESC, c) AS rk FROM (
+      SELECT q, y, k, c, count(*) AS n FROM knn_r,
+        (SELECT unnest({SWEEP_KS}) AS k) ks WHERE rn <= k GROUP BY q, y, k, c))
+  WHERE rk = 1 GROUP BY k)
+ORDER BY accuracy DESC, k LIMIT 1""", "knn_r"))
+def best_knn_k(spark, sf):
+    """Best setting of the sweep: highest accuracy, the smallest k on ties."""
+    sw = sweep_knn_k(spark, sf)
+    return sw.orderBy(F.desc("accuracy"), F.asc("k")).limit(1).select("k", "accuracy")

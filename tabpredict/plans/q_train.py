@@ -194,7 +194,10 @@ def forest_prefix_accuracy(tr, te, depths, max_trees, label="label"):
             aggs.append(F.avg(F.when(pred == F.col("__y"), 1.0).otherwise(0.0)).alias(f"a{i}"))
         r = d.agg(*aggs).first()
         rows += [(depth, i + 1, round(float(r[f"a{i}"]) * 100, 2)) for i in range(len(rf.trees))]
-    return spark.createDataFrame(rows, "depth int, n_trees int, accuracy double")
+    # best setting: highest accuracy, then fewest trees, then shallowest
+    best = max(rows, key=lambda t: (t[2], -t[1], -t[0]))
+    rows = [t + (t == best,) for t in rows]
+    return spark.createDataFrame(rows, "depth int, n_trees int, accuracy double, best boolean")
 
 
 @query("sweep_random_forest")
