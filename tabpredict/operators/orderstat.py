@@ -72,6 +72,20 @@ def kth_values(df: DataFrame, col: str, ranks: Sequence[int],
         bounds = sorted(set(sub.approxQuantile("x", qs, 1.0 / (4 * buckets))))
         splits = [-math.inf] + [b for b in bounds if (lo is None or b > lo)
                                 and (hi is None or b < hi)] + [math.inf]
+        if len(splits) < 3:
+            # every quantile sits on the lower end: that one value dominates
+            # the interval. Count it exactly, continue strictly above it.
+            v = lo if lo is not None else bounds[0]
+            at = sub.where(F.col("x") == F.lit(v)).count()
+            above = {}
+            for g, local in want.items():
+                if local < at:
+                    result[g] = v
+                else:
+                    above[g] = local - at
+            if above:
+                tasks.append((math.nextafter(v, math.inf), hi, above))
+            continue
         bz = Bucketizer(splits=splits, inputCol="x", outputCol="b")
         per = (bz.transform(sub).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
                .orderBy("b").collect())
