@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, clip_prob
+from ..session import shared_dir
 from .ranged import ranged_cumsum
 
 
@@ -147,10 +148,15 @@ def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
 def roc_points(df: DataFrame, label: str = "label", score: str = "p") -> tuple[DataFrame, int, int]:
     """Per distinct score (descending): tp, fp at that score and cumulative
     cum_tp, cum_fp. Returns (points, P, N)."""
-    g = _score_counts(df, label, score)
-    tot = g.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N")).first()
+    # one pass over the rows; the per-score table (at most one row per
+    # distinct score) is checkpointed, so the totals, the range cuts and
+    # the running sums read it instead of the rows
+    shared_dir(df.sparkSession)
+    g = _score_counts(df, label, score).checkpoint()
+    tot = g.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"),
+                F.count(F.lit(1)).alias("k")).first()
     P, N = int(tot["P"] or 0), int(tot["N"] or 0)
-    return ranged_cumsum(g, "threshold", ["tp", "fp"], descending=True), P, N
+    return ranged_cumsum(g, "threshold", ["tp", "fp"], descending=True, n=tot["k"]), P, N
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "p", digits: int = 6) -> DataFrame:
@@ -225,13 +231,13 @@ def score_density(df: DataFrame, score: str, by: str | None = None, grid: int =
     Each row adds its kernel to every grid point; partial aggregation keeps
     grid × groups rows per task."""
     keys = [by] if by else []
-    r = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
-    lo, hi = r["lo"], r["hi"]
-    step = (hi - lo) / (grid - 1) if grid > 1 and hi > lo else 0.0
     stats = (df.where(F.col(score).isNotNull()).groupBy(*keys)
-             .agg(F.stddev_samp(score).alias("sd"), F.count(F.lit(1)).alias("n")).collect())
+             .agg(F.stddev_samp(score).alias("sd"), F.count(F.lit(1)).alias("n"),
+                  F.min(score).alias("lo"), F.max(score).alias("hi")).limit(1001).collect())
     if len(stats) > 1000:
         raise ValueError("too many groups for a density")
+    lo, hi = min(s["lo"] for s in stats), max(s["hi"] for s in stats)
+    step = (hi - lo) / (grid - 1) if grid > 1 and hi > lo else 0.0
     bw = {}
     for s in stats:
         g = s[by] if by else None

@@ -55,6 +55,11 @@ def kth_values(df: DataFrame, col: str, ranks: Sequence[int],
     """0-based ranks over the non-null values of ``col`` -> exact values."""
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
     result: dict[int, float] = {}
+    few = _bounded_counts(x.groupBy("x").agg(F.count(F.lit(1)).alias("n")), exact_limit)
+    if few is not None:  # one pass: few distinct values
+        counts = sorted((r["x"], r["n"]) for r in few)
+        got = _pick(counts, list(ranks))
+        return {r: got[r] for r in ranks}
     # each task: (lo, hi, {global rank: rank inside [lo, hi)})
     tasks = [(None, None, {r: r for r in ranks})]
     while tasks:
@@ -112,17 +117,33 @@ def kth_values(df: DataFrame, col: str, ranks: Sequence[int],
     return result
 
 
+def _bounded_counts(grouped: DataFrame, limit: int):
+    """Collect a grouped result only if it has at most ``limit`` rows
+    (``limit + 1`` are fetched to tell); None otherwise."""
+    rows = grouped.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
 def _interp(n: int, q: float) -> tuple[int, int, float]:
     pos = (n - 1) * q
     lo = math.floor(pos)
     return lo, min(lo + 1, n - 1), pos - lo
 
 
-def quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float | None]:
+def quantiles(df: DataFrame, col: str, qs: Sequence[float],
+              exact_limit: int = EXACT_LIMIT) -> list[float | None]:
     """Exact quantiles with linear interpolation (numpy / quantile_cont)."""
+    few = _bounded_counts(df.where(F.col(col).isNotNull()).groupBy(col)
+                          .agg(F.count(F.lit(1)).alias("n")), exact_limit)
+    if few is not None:  # one pass
+        counts = sorted((float(r[col]), r["n"]) for r in few)
+        n = sum(c for _, c in counts)
+        if n == 0:
+            return [None for _ in qs]
+        plan = [_interp(n, q) for q in qs]
+        got = _pick(counts, [r for lo, hi, _ in plan for r in (lo, hi)])
+        return [got[lo] + (got[hi] - got[lo]) * f for lo, hi, f in plan]
     n = df.where(F.col(col).isNotNull()).count()
-    if n == 0:
-        return [None for _ in qs]
     plan = [_interp(n, q) for q in qs]
     ranks = sorted({r for lo, hi, _ in plan for r in (lo, hi)})
     vals = kth_values(df, col, ranks)
@@ -132,6 +153,22 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float | None
 def grouped_quantiles(df: DataFrame, by: str, col: str, qs: Sequence[float],
                       exact_limit: int = EXACT_LIMIT) -> dict:
     """{group value: [quantiles]}; groups must be few (class labels)."""
+    few = _bounded_counts(df.where(F.col(col).isNotNull() & F.col(by).isNotNull())
+                          .groupBy(by, col).agg(F.count(F.lit(1)).alias("n")), exact_limit)
+    if few is not None:  # one pass: every group has few distinct values
+        per: dict = {}
+        for r in few:
+            per.setdefault(r[by], []).append((float(r[col]), r["n"]))
+        if len(per) > MAX_GROUPS:
+            raise ValueError(f"more than {MAX_GROUPS} groups in {by}")
+        res = {}
+        for g, counts in per.items():
+            counts.sort()
+            n = sum(c for _, c in counts)
+            plan = [_interp(n, q) for q in qs]
+            got = _pick(counts, [r for lo, hi, _ in plan for r in (lo, hi)])
+            res[g] = [got[lo] + (got[hi] - got[lo]) * f for lo, hi, f in plan]
+        return res
     stats = (df.where(F.col(col).isNotNull()).groupBy(by)
              .agg(F.count(F.lit(1)).alias("n"),
                   F.approx_count_distinct(col, 0.05).alias("nd"))

@@ -23,10 +23,12 @@ MAX_BUCKETS = 1000
 
 def ranged_cumsum(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                   descending: bool = True, prefix: str = "cum_",
-                  target_rows: int = TARGET_ROWS, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                  target_rows: int = TARGET_ROWS, max_buckets: int = MAX_BUCKETS,
+                  n: int | None = None) -> DataFrame:
     """Adds ``cum_<c>``: inclusive running sum of each ``c`` in ``order_col``
-    order. ``order_col`` must be unique (aggregate to distinct values first)."""
-    n = df.count()
+    order. ``order_col`` must be unique (aggregate to distinct values first).
+    ``n`` = row count of ``df`` if the caller already has it."""
+    n = df.count() if n is None else n
     nb = max(1, min(max_buckets, math.ceil(n / target_rows)))
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
     if nb == 1:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -62,3 +62,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder (for saved models, tables)."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as parquet under the shared folder and read it back.
+
+    For multi-pass plans over an expensive lineage (joins, aggregations):
+    later passes scan compact columnar files with pushdown instead of
+    recomputing the lineage, and a lost executor costs a re-read, not a
+    recomputation. Not worth it for a plain scan + projection."""
+    path = shared_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
