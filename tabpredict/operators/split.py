@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash32
+from ..session import materialize as write_once
 from .orderstat import kth_values
 
 
@@ -51,13 +52,19 @@ class Split:
 
 
 def split_holdout_sized(df: DataFrame, key: str, test_size: float = 0.333, seed: int = 1337,
-                        out: str = "is_test") -> Split:
+                        out: str = "is_test", materialize: bool = False) -> Split:
     """``split_holdout`` plus the row counts. Usually two passes: the
     high-16-bit histogram (whose sum is n) and the low-16-bit histogram of
     the boundary bucket; a third (top-k on the key) only when several rows
-    share the boundary hash and only some of them belong to the test set."""
+    share the boundary hash and only some of them belong to the test set.
+
+    ``materialize``: write the hashed input once to the shared folder; the
+    histograms and every later pass then scan that table instead of
+    recomputing an expensive source (a join, an aggregate, many hashes)."""
     hcol = f"__h_{out}"
     d = df.withColumn(hcol, hash32(key, F.lit(seed)))
+    if materialize:
+        d = write_once(d, "split")
     h = F.col(hcol)
     hi_hist = [(r["b"], r["n"]) for r in
                d.groupBy(F.shiftright(h, 16).alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -86,9 +93,9 @@ def split_holdout_sized(df: DataFrame, key: str, test_size: float = 0.333, seed:
 
 
 def split_holdout(df: DataFrame, key: str, test_size: float = 0.333, seed: int = 1337,
-                  out: str = "is_test") -> DataFrame:
+                  out: str = "is_test", materialize: bool = False) -> DataFrame:
     """Adds ``out`` (int 1 = test row). Same key set, same seed -> same rows."""
-    return split_holdout_sized(df, key, test_size, seed, out).df
+    return split_holdout_sized(df, key, test_size, seed, out, materialize).df
 
 
 def assign_folds(df: DataFrame, key: str, k: int = 5, out: str = "fold") -> DataFrame:

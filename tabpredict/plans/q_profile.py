@@ -8,7 +8,6 @@ from ..operators import clean as C
 from ..operators import profile as PR
 from ..operators.scale import standardize
 from ..operators.split import assign_folds, split_holdout
-from ..session import materialize
 from ..sources.tables import CHURN_FEATURES, churn_obs, raw_obs
 from .fixtures_sql import with_ctes
 from .registry import query
@@ -22,7 +21,7 @@ RAW_TEXT = ["churn", "has_credit_card", "homeownership", "handset_price", "servi
 def churn_split(spark, sf):
     """churn_obs (an aggregate + join) is written once, then split: the
     histogram passes and every later pass read the written table."""
-    return split_holdout(materialize(churn_obs(spark, sf), "churn_obs"), "row_id", 0.333, 1337)
+    return split_holdout(churn_obs(spark, sf), "row_id", 0.333, 1337, materialize=True)
 
 
 # -- S2, P1, A1 ----------------------------------------------------------------

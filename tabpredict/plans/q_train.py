@@ -32,7 +32,8 @@ QUERY_ROUNDS = 5
 def line_split(spark, sf):
     lo = line_obs(spark, sf).withColumn(
         "row_key", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-    return split_holdout_sized(lo, "row_key", 0.333, 1337)
+    # the split rows feed several passes (scaler, fit, scoring): write once
+    return split_holdout_sized(lo, "row_key", 0.333, 1337, materialize=True)
 
 
 class LineSets(tuple):
