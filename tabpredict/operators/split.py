@@ -23,6 +23,9 @@ from ..session import materialize as write_once
 from .orderstat import kth_values
 
 
+MAX_TIED_KEYS = 100_000
+
+
 def n_test_rows(n: int, test_size: float) -> int:
     """ceil(test_size * n) in exact decimal arithmetic."""
     return math.ceil(Fraction(str(test_size)) * n)
@@ -86,8 +89,18 @@ def split_holdout_sized(df: DataFrame, key: str, test_size: float = 0.333, seed:
     if r2 == ties:  # every row with the boundary hash is a test row
         test = h <= F.lit(h_star)
     else:
-        key_star = (d.where(h == h_star).select(key).orderBy(key).limit(r2)
-                    .agg(F.max(key).alias("k")).first()["k"])
+        # distinct keys sharing one 32-bit hash are hash collisions: few,
+        # whatever the table size; a key repeated on many rows is one group
+        tied = (d.where(h == h_star).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+                .limit(MAX_TIED_KEYS + 1).collect())
+        if len(tied) > MAX_TIED_KEYS:
+            raise ValueError("too many distinct keys share one hash value")
+        cum, key_star = 0, None
+        for r in sorted(tied, key=lambda r: r[key]):
+            cum += r["n"]
+            key_star = r[key]
+            if cum >= r2:
+                break
         test = (h < F.lit(h_star)) | ((h == F.lit(h_star)) & (F.col(key) <= F.lit(key_star)))
     return Split(d.withColumn(out, F.when(test, 1).otherwise(0)).drop(hcol), n, k)
 

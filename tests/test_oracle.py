@@ -22,10 +22,18 @@ def test_every_twin_has_a_query():
 
 @pytest.mark.parametrize("name", EXACT)
 def test_matches_duckdb(spark, duck_small, name):
-    got = QUERIES[name](spark, SF_SMALL).toPandas()
+    sdf = QUERIES[name](spark, SF_SMALL)
+    got = sdf.toPandas()
     want = duck_small.execute(SQL[name]).df()
     ok, msg = compare(got, want)
     assert ok, msg
+    # same column types on both sides
+    names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
+    st = {f.name: names.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in sdf.schema.fields}
+    dt = {r[0]: r[1] for r in duck_small.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    assert st == dt
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
