@@ -35,12 +35,6 @@ def _block(col: str, n: int):
     return F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
 
 
-def _vectors(s: pd.Series) -> np.ndarray:
-    if len(s) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in s.to_numpy()])
-
-
 def neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str = "row_id",
                vec_col: str = "embedding", label_col: str = "label",
                t_blocks: int | None = None, q_blocks: int | None = None) -> DataFrame:
@@ -56,24 +50,29 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str = "row_
     q = queries.select(F.col(id_col).alias("q_id"), F.col(vec_col).alias("v"),
                        _block(id_col, q_blocks).alias("qb"))
     q = q.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
-    kk = k
+    kk, margin, chunk = k, MARGIN, CHUNK
 
+    # Runs in the Python workers: self-contained (numpy / pandas only), so
+    # workers need not import this package.
     def cell(qp: pd.DataFrame, tp: pd.DataFrame) -> pd.DataFrame:
+        def vectors(s: pd.Series) -> np.ndarray:
+            return np.stack([np.asarray(v, dtype=np.float64) for v in s.to_numpy()])
+
         if qp.empty or tp.empty:
             return pd.DataFrame({"q_id": pd.Series([], dtype="int64"),
                                  "t_id": pd.Series([], dtype="int64"),
                                  "t_label": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64")})
-        T = _vectors(tp["v"])
+        T = vectors(tp["v"])
         tid = tp["t_id"].to_numpy(dtype=np.int64)
         tlab = tp["t_label"].to_numpy(dtype=np.int64)
         tn = (T * T).sum(axis=1)
-        Q = _vectors(qp["v"])
+        Q = vectors(qp["v"])
         qid = qp["q_id"].to_numpy(dtype=np.int64)
-        keep = min(kk + MARGIN, len(tid))
+        keep = min(kk + margin, len(tid))
         out_q, out_t, out_l, out_d = [], [], [], []
-        for s in range(0, len(qid), CHUNK):
-            Qc = Q[s:s + CHUNK]
+        for s in range(0, len(qid), chunk):
+            Qc = Q[s:s + chunk]
             approx = (Qc * Qc).sum(axis=1)[:, None] + tn[None, :] - 2.0 * (Qc @ T.T)
             if keep < len(tid):
                 cand = np.argpartition(approx, keep - 1, axis=1)[:, :keep]
