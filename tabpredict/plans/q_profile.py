@@ -8,7 +8,8 @@ from ..operators import clean as C
 from ..operators import profile as PR
 from ..operators.scale import standardize
 from ..operators.split import assign_folds, split_holdout
-from ..sources.tables import CHURN_FEATURES, churn_obs, raw_obs
+from ..session import shared_path
+from ..sources.tables import CHURN_FEATURES, churn_obs, raw_obs, read_csv
 from .fixtures_sql import with_ctes
 from .registry import query
 
@@ -268,3 +269,15 @@ def clean_raw(spark, sf):
     "SELECT row_id, label, spend FROM churn_obs ORDER BY row_id", "churn_obs"))
 def sort_by_row_id(spark, sf):
     return churn_obs(spark, sf).select("row_id", "label", "spend").orderBy("row_id")
+
+
+# -- S1 ------------------------------------------------------------------------
+
+@query("scan_csv_roundtrip", with_ctes("SELECT * FROM raw_obs", "raw_obs"))
+def scan_csv_roundtrip(spark, sf):
+    """raw_obs written as CSV (header) under the shared folder, then scanned
+    back with an explicit schema and FAILFAST: the CSV source end to end."""
+    ro = raw_obs(spark, sf)
+    path = shared_path(spark, "raw_csv")
+    ro.write.mode("overwrite").option("header", True).csv(path)
+    return read_csv(spark, path, schema=ro.schema)

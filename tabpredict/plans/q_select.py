@@ -107,3 +107,36 @@ def feature_union(spark, sf):
     rfe = S.select_rfe(ob, CHURN_FEATURES, "label", 3).where("selected")
     las = lasso_table(spark, sf).where("selected")
     return S.feature_union(pear, back, rfe, las)
+
+
+# -- T1 on a data-derived importance table, F6 closed form for one feature ----
+
+@query("top_k_corr_importance", with_ctes(
+    "SELECT feature, importance FROM (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS feature, round(abs(corr({a}, label)), 6) AS importance FROM churn_obs"
+        for a in CHURN_FEATURES) + ") ORDER BY importance DESC, feature LIMIT 3", "churn_obs"))
+def top_k_corr_importance(spark, sf):
+    """Top 3 features by |Pearson correlation| with the label."""
+    pear = S.select_pearson(churn_obs(spark, sf), CHURN_FEATURES, "label", threshold=-1.0)
+    imp = pear.where(F.col("feature") != "label").select("feature", F.col("abs_corr").alias("importance"))
+    return S.top_k(imp, 3)
+
+
+LASSO_X = "recency"
+
+
+@query("lasso_one_feature", with_ctes(f"""
+SELECT '{LASSO_X}' AS feature, round(alpha, 9) AS alpha,
+       round(sign(sxy) * greatest(abs(sxy) / n - alpha, 0) / (sxx / n), 9) AS coef
+FROM (SELECT *, 0.5 * abs(sxy) / n AS alpha FROM
+      (SELECT regr_sxy(label, {LASSO_X}) AS sxy, regr_sxx(label, {LASSO_X}) AS sxx,
+              regr_count(label, {LASSO_X}) AS n FROM churn_obs))""", "churn_obs"))
+def lasso_one_feature(spark, sf):
+    """Lasso on one feature at half of the smallest alpha that zeroes it,
+    by coordinate descent on the Gram matrix (closed form in the twin)."""
+    g = G.gram(churn_obs(spark, sf), [LASSO_X], "label")
+    Q, c, n, _ = G._centered(g.total())
+    alpha = float(0.5 * abs(float(c[0])) / n)
+    beta = G.lasso_cd(Q, c, n, alpha)
+    return spark.createDataFrame([(LASSO_X, round(alpha, 9), round(float(beta[0]), 9))],
+                                 "feature string, alpha double, coef double")
