@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
@@ -95,9 +96,17 @@ def boost(df: DataFrame, label: str = "label", rounds: int = 10, learning_rate:
         g = (p - F.col("__y")) * F.col("__w")
         h = F.greatest(p * (1 - p), F.lit(1e-16)) * F.col("__w")
         dd = d.withColumns({"__g": g, "__h": h}).withColumn("__t", -F.col("__g") / F.col("__h"))
+        # three passes read this round's table (hessian total, the tree fit,
+        # leaf sums): keep it for the round only, MEMORY_AND_DISK
+        dd = dd.persist(StorageLevel.MEMORY_AND_DISK)
+        # the tree's row weights are the hessians, so a minimum weight
+        # fraction per child of min_hessian / total hessian is the minimum
+        # hessian per leaf, enforced when the split is chosen
+        h_total = dd.agg(F.sum("__h").alias("H")).first()["H"] or 0.0
+        frac = min(min_hessian / h_total, 0.49) if h_total > 0 else 0.0
         tree = DecisionTreeRegressor(featuresCol="features", labelCol="__t", weightCol="__h",
                                      maxDepth=max_depth, minInstancesPerNode=min_rows,
-                                     minWeightFractionPerNode=0.0, maxBins=max_bins,
+                                     minWeightFractionPerNode=frac, maxBins=max_bins,
                                      leafCol="__leaf", predictionCol="__tp", seed=seed + r).fit(dd)
         pc = F.lit(1e-15)
         pcl = F.least(F.greatest(p, pc), 1 - pc)
@@ -105,12 +114,12 @@ def boost(df: DataFrame, label: str = "label", rounds: int = 10, learning_rate:
         stats = (tree.transform(dd).groupBy("__leaf")
                  .agg(F.sum("__g").alias("G"), F.sum("__h").alias("H"), F.sum(loss).alias("L"),
                       F.sum("__w").alias("W")).collect())
+        dd.unpersist()
         values = {}
         for s in stats:
-            if s["H"] < min_hessian:
-                values[s["__leaf"]] = 0.0
-            else:
-                values[s["__leaf"]] = -_soft(s["G"], l1) / (s["H"] + l2)
+            # a root-only tree can still fall short of the minimum: no step
+            values[s["__leaf"]] = (0.0 if s["H"] < min_hessian
+                                   else -_soft(s["G"], l1) / (s["H"] + l2))
         total_w = sum(s["W"] for s in stats)
         model.history.append((len(model.trees), sum(s["L"] for s in stats) / total_w))
         model.trees.append((tree, values))
