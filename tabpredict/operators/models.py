@@ -179,3 +179,48 @@ def cubic_columns(features: Sequence[str], gamma: float) -> dict[str, Column]:
 def mapped(df: DataFrame, cols: dict[str, Column], keep: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Keep ``keep`` and add the mapped feature columns; returns their names."""
     return df.select(*keep, *[c.alias(n) for n, c in cols.items()]), list(cols)
+
+
+def tensor_sketch(df: DataFrame, features: Sequence[str], gamma: float, keep: Sequence[str],
+                  degree: int = 3, dim: int = 1024, seed: int = 1337,
+                  out: str = "features") -> DataFrame:
+    """Tensor sketch (Pham & Pagh 2013) of the homogeneous polynomial kernel
+    (γ x·y)^degree: ``degree`` count sketches of sqrt(γ)·x multiplied in the
+    Fourier domain, so <z(x), z(y)> estimates the kernel without listing
+    the O(p^degree) monomials. Rows are sketched batch by batch inside the
+    tasks (numpy only); the result is an MLlib vector column."""
+    from pyspark.ml.functions import array_to_vector
+
+    p = len(features)
+    rng = np.random.default_rng(seed)
+    buckets = rng.integers(0, dim, size=(degree, p))
+    signs = rng.choice([-1.0, 1.0], size=(degree, p))
+    root_gamma = math.sqrt(gamma)
+    cols = list(features)
+    keep = list(keep)
+
+    # Runs in the Python workers: numpy / pandas only.
+    def sketch(batches):
+        import pandas as pd
+        for b in batches:
+            X = b[cols].to_numpy(dtype=np.float64) * root_gamma
+            prod = None
+            for i in range(degree):
+                cs = np.zeros((len(X), dim))
+                for j in range(p):
+                    cs[:, buckets[i, j]] += signs[i, j] * X[:, j]
+                f = np.fft.rfft(cs, axis=1)
+                prod = f if prod is None else prod * f
+            z = np.fft.irfft(prod, n=dim, axis=1)
+            res = b[keep].copy()
+            res["__z"] = list(z)
+            yield res
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
+    sk = df.select(*keep, *cols).mapInPandas(sketch, f"{schema}, __z array<double>")
+    return sk.select(*keep, array_to_vector("__z").alias(out))
+
+
+def cubic_width(p: int) -> int:
+    """Number of degree-3 monomials of p features."""
+    return math.comb(p + 2, 3)

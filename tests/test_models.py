@@ -158,3 +158,21 @@ def test_log_loss_clip(spark):
     df = spark.createDataFrame([(1, 1.0), (0, 0.0), (1, 0.0)], "label int, p double")
     v = EV.log_loss(df).first()["log_loss"]
     assert math.isfinite(v) and v == pytest.approx(-math.log(1e-15) / 3, rel=1e-3)
+
+
+def test_tensor_sketch_estimates_cubic_kernel(spark):
+    rng = np.random.default_rng(3)
+    p = 40
+    x = rng.normal(size=p)
+    rows = [(0, *map(float, x))]
+    for i in range(1, 6):
+        rows.append((i, *map(float, x + 0.3 * rng.normal(size=p))))
+    cols = [f"f{j}" for j in range(p)]
+    df = spark.createDataFrame(rows, ["row_key", *cols])
+    gamma = 0.05
+    z = {r.row_key: r.features.toArray()
+         for r in M.tensor_sketch(df, cols, gamma, ["row_key"], dim=8192, seed=11).collect()}
+    X = {r[0]: np.array(r[1:]) for r in rows}
+    for i in range(1, 6):
+        want = (gamma * X[0] @ X[i]) ** 3
+        assert z[0] @ z[i] == pytest.approx(want, rel=0.25)
