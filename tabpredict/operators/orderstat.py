@@ -107,8 +107,11 @@ def kth_values(df: DataFrame, col: str, ranks: Sequence[int],
             blo = splits[b] if splits[b] != -math.inf else lo
             bhi = splits[b + 1] if splits[b + 1] != math.inf else hi
             if (blo, bhi) == (lo, hi):  # cannot narrow further: count exactly
-                counts = [(r["x"], r["n"]) for r in
-                          sub.groupBy("x").agg(F.count(F.lit(1)).alias("n")).orderBy("x").collect()]
+                few = _bounded_counts(sub.groupBy("x").agg(F.count(F.lit(1)).alias("n")),
+                                      exact_limit * 10)
+                if few is None:
+                    raise RuntimeError("order statistic: interval does not narrow")
+                counts = sorted((r["x"], r["n"]) for r in few)
                 got = _pick(counts, list(w.values()))
                 for g, local in w.items():
                     result[g] = got[local]
