@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,17 @@ def gram(df: DataFrame, features: Sequence[str], label: str, key: str | None = N
     cols = feats + [label]
     d = df.select(*([F.col(key).alias("__k")] if key else [F.lit(0).alias("__k")]),
                   *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    d = d.dropna()
+    # two passes (means, then the shifted Gram) read this compact projection:
+    # keep it for the duration of this call only
+    d = d.dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _gram_passes(d, feats, label, cols, key)
+    finally:
+        d.unpersist()
+
+
+def _gram_passes(d: DataFrame, feats: list[str], label: str, cols: list[str],
+                 key: str | None) -> Gram:
     means = d.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(cols))]).first()
     shift = np.array([means[f"c{i}"] or 0.0 for i in range(len(cols))], dtype=float)
     q = len(cols) + 1

@@ -3,13 +3,14 @@ summaries with exact quartiles, per-category counts, split ratios."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .orderstat import column_quantiles
+from .orderstat import EXACT_LIMIT, _bounded_counts, _interp, _pick, column_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
@@ -69,23 +70,51 @@ def max_null_pct(df: DataFrame) -> DataFrame:
         F.round(F.lit(100.0) * F.round("r", 4), 6).alias("max_null_pct"))
 
 
+def _describe_from_counts(counts: list[tuple[float, int]]) -> tuple:
+    """count, mean, sample std, min, quartiles, max from (value, count)."""
+    counts = sorted(counts)
+    n = sum(c for _, c in counts)
+    if n == 0:
+        return (0, None, None, None, None, None, None, None)
+    mean = sum(v * c for v, c in counts) / n
+    var = sum(c * (v - mean) ** 2 for v, c in counts) / (n - 1) if n > 1 else None
+    plan = [_interp(n, q) for q in (0.25, 0.5, 0.75)]
+    got = _pick(counts, [r for lo, hi, _ in plan for r in (lo, hi)])
+    qs = [got[lo] + (got[hi] - got[lo]) * f for lo, hi, f in plan]
+    return (n, mean, math.sqrt(var) if var is not None else None, counts[0][0], *qs, counts[-1][0])
+
+
 def describe(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """count, mean, std (sample), min, 25 %, 50 %, 75 %, max per column.
-    Moments in one pass; quartiles exact with linear interpolation."""
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"),
-                 F.stddev_samp(c).alias(f"s_{c}"), F.min(c).cast("double").alias(f"lo_{c}"),
-                 F.max(c).cast("double").alias(f"hi_{c}"),
-                 F.approx_count_distinct(c, 0.05).alias(f"d_{c}")]
-    mom = df.agg(*aggs).first()
-    quart = column_quantiles(df, cols, [0.25, 0.5, 0.75],
-                             stats={c: (mom[f"n_{c}"], mom[f"d_{c}"]) for c in cols})
+
+    One pass when every column has few distinct values: a ``stack`` +
+    ``groupBy(column, value)`` whose (bounded) result gives all eight
+    figures. Otherwise moments come from one aggregate and the quartiles
+    from exact order statistics."""
+    parts = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = df.selectExpr(f"stack({len(cols)}, {parts}) AS (__c, __v)").where("__v IS NOT NULL")
+    few = _bounded_counts(long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("n")),
+                          EXACT_LIMIT)
     rows = []
-    for c in cols:
-        q = quart[c]
-        rows.append((c, int(mom[f"n_{c}"]), mom[f"m_{c}"], mom[f"s_{c}"], mom[f"lo_{c}"],
-                     q[0], q[1], q[2], mom[f"hi_{c}"]))
+    if few is not None:
+        per: dict = {c: [] for c in cols}
+        for r in few:
+            per[r["__c"]].append((r["__v"], r["n"]))
+        rows = [(c, *_describe_from_counts(per[c])) for c in cols]
+    else:
+        aggs = []
+        for c in cols:
+            aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"),
+                     F.stddev_samp(c).alias(f"s_{c}"), F.min(c).cast("double").alias(f"lo_{c}"),
+                     F.max(c).cast("double").alias(f"hi_{c}"),
+                     F.approx_count_distinct(c, 0.05).alias(f"d_{c}")]
+        mom = df.agg(*aggs).first()
+        quart = column_quantiles(df, cols, [0.25, 0.5, 0.75],
+                                 stats={c: (mom[f"n_{c}"], mom[f"d_{c}"]) for c in cols})
+        for c in cols:
+            q = quart[c]
+            rows.append((c, int(mom[f"n_{c}"]), mom[f"m_{c}"], mom[f"s_{c}"], mom[f"lo_{c}"],
+                         q[0], q[1], q[2], mom[f"hi_{c}"]))
     schema = ("feature string, count bigint, mean double, std double, min double, "
               "q25 double, q50 double, q75 double, max double")
     out = df.sparkSession.createDataFrame(rows, schema)

@@ -198,3 +198,11 @@ def test_label_encoder_alphabetical(spark):
     df = spark.createDataFrame([("Yes",), ("No",), ("Unknown",), ("No",)], "m string")
     codes = {r.m_raw: r.m for r in C.label_encode(df.withColumn("m_raw", F.col("m")), ["m"]).collect()}
     assert codes == {"No": 0, "Unknown": 1, "Yes": 2}
+
+
+def test_describe_paths_agree(spark, monkeypatch):
+    ob = churn_obs(spark, SF_SMALL)
+    one_pass = sorted(PR.describe(ob, CHURN_FEATURES).collect())
+    monkeypatch.setattr(PR, "EXACT_LIMIT", 3)  # force moments + order statistics
+    two_pass = sorted(PR.describe(ob, CHURN_FEATURES).collect())
+    assert one_pass == two_pass
