@@ -31,8 +31,9 @@ MAX_EXACT_MONOMIALS = 2000   # wider cubic maps switch to the tensor sketch
 
 
 def line_split(spark, sf):
-    lo = line_obs(spark, sf).withColumn(
-        "row_key", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    lo = line_obs(spark, sf).select(
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_key"),
+        *LINE_FEATURES, "label")
     # the split rows feed several passes (scaler, fit, scoring): write once
     return split_holdout_sized(lo, "row_key", 0.333, 1337, materialize=True)
 
