@@ -176,3 +176,22 @@ def test_tensor_sketch_estimates_cubic_kernel(spark):
     for i in range(1, 6):
         want = (gamma * X[0] @ X[i]) ** 3
         assert z[0] @ z[i] == pytest.approx(want, rel=0.25)
+
+
+def test_logistic_gradient_vanishes_at_optimum(spark, line):
+    _, sets = line
+    tr, _ = sets
+    n = sets.n_train
+    m = M.train_logistic(tr, n, max_iter=500)
+    w = m.coefficients.toArray()
+    b = m.intercept
+    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    margin = F.lit(b)
+    for c, wc in zip(feats, w):
+        margin = margin + F.lit(float(wc)) * F.col(c)
+    r = F.lit(1.0) / (1 + F.exp(-margin)) - F.col("label")
+    g = tr.agg(*[F.avg(r * F.col(c)).alias(c) for c in feats], F.avg(r).alias("b")).first()
+    reg = 1.0 / n
+    for c, wc in zip(feats, w):
+        assert abs(g[c] + reg * wc) < 1e-4
+    assert abs(g["b"]) < 1e-4
