@@ -34,8 +34,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     inputs already scan in many tasks and are left as they are (filters and
     column pruning still reach the scan through the repartition)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Connect session)
+        return df
+    if have < want:
         df = df.repartition(want)
     return df
 
