@@ -58,12 +58,14 @@ def fit_gaussian_nb(df: DataFrame, features: Sequence[str], label: str = "label"
         aggs += [F.avg(f).alias(f"m_{f}"), F.var_pop(f).alias(f"v_{f}")]
     rows = (df.rollup(label).agg(*aggs, F.grouping(label).alias("__g"))
             .limit(MAX_CLASSES + 2).collect())
+    if len(rows) > MAX_CLASSES + 1:  # classes + the grand total
+        raise ValueError("too many classes")
     total = [r for r in rows if r["__g"] == 1][0]
     per = sorted([r for r in rows if r["__g"] == 0 and r[label] is not None],
                  key=lambda r: r[label])
-    if len(per) > MAX_CLASSES:
-        raise ValueError("too many classes")
     eps = var_smoothing * max(total[f"v_{f}"] or 0.0 for f in features)
+    if eps <= 0.0:
+        raise ValueError("every feature is constant: Gaussian NB is undefined")
     n = sum(r["__n"] for r in per)
     return GaussianNBModel(
         features=list(features),

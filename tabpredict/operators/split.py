@@ -114,7 +114,8 @@ def split_holdout(df: DataFrame, key: str, test_size: float = 0.333, seed: int =
 def assign_folds(df: DataFrame, key: str, k: int = 5, out: str = "fold") -> DataFrame:
     """Contiguous folds in key order, sizes as an unshuffled k-fold split
     (the first n % k folds get one extra row). Boundaries are exact order
-    statistics of the key; the fold is then a projection."""
+    statistics of the key; the fold is then a projection. The key must be
+    numeric (exact up to 2**53); for text keys use ``hash_folds``."""
     n = df.count()
     sizes = [n // k + (1 if i < n % k else 0) for i in range(k)]
     starts = [sum(sizes[:i]) for i in range(1, k) if sizes[i] > 0]
