@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from .evaluate import roc_auc
 
 CHECKPOINT_EVERY = 5
 
@@ -34,6 +35,7 @@ class BoostedModel:
     trees: list = field(default_factory=list)      # (tree model, {leaf: value})
     init_model: object = None                      # a GBTClassificationModel to start from
     history: list = field(default_factory=list)    # (n_trees, train log-loss)
+    auc_history: list = field(default_factory=list)  # (n_trees, train AUC) if asked
 
     def _leaf_value(self, values: dict) -> Column:
         m = F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(float(k)), F.lit(v))])
@@ -71,10 +73,15 @@ def _soft(g: float, l1: float) -> float:
 def boost(df: DataFrame, label: str = "label", rounds: int = 10, learning_rate: float = 0.1,
           max_depth: int = 5, min_rows: int = 21, min_hessian: float = 5.0, l1: float = 0.5,
           l2: float = 0.5, pos_weight: float = 1.0, max_bins: int = 140,
-          init: BoostedModel | object | None = None, seed: int = 1337) -> BoostedModel:
+          init: BoostedModel | object | None = None, seed: int = 1337,
+          track_auc: bool = False, early_stopping_rounds: int = 0) -> BoostedModel:
     """Fit ``rounds`` trees. ``init`` may be a ``BoostedModel`` (continue it:
     its trees are kept and new ones appended) or an MLlib
-    ``GBTClassificationModel`` (start from its margin)."""
+    ``GBTClassificationModel`` (start from its margin).
+
+    ``track_auc`` also records the training AUC each round (one ranged ROC
+    pass over the round's table). ``early_stopping_rounds`` > 0 stops when
+    the training loss has not improved for that many rounds."""
     spark = df.sparkSession
     shared_dir(spark)  # make sure checkpoint() has a shared folder
     w = F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0))
@@ -114,7 +121,6 @@ def boost(df: DataFrame, label: str = "label", rounds: int = 10, learning_rate:
         stats = (tree.transform(dd).groupBy("__leaf")
                  .agg(F.sum("__g").alias("G"), F.sum("__h").alias("H"), F.sum(loss).alias("L"),
                       F.sum("__w").alias("W")).collect())
-        dd.unpersist()
         values = {}
         for s in stats:
             # a root-only tree can still fall short of the minimum: no step
@@ -122,6 +128,16 @@ def boost(df: DataFrame, label: str = "label", rounds: int = 10, learning_rate:
                                    else -_soft(s["G"], l1) / (s["H"] + l2))
         total_w = sum(s["W"] for s in stats)
         model.history.append((len(model.trees), sum(s["L"] for s in stats) / total_w))
+        if track_auc:
+            auc = roc_auc(dd.select(F.col("__y").alias("label"), F.col("__F").alias("score")),
+                          "label", "score", digits=12).first()["roc_auc"]
+            model.auc_history.append((len(model.trees), auc))
+        dd.unpersist()
+        if early_stopping_rounds > 0:
+            losses = [v for _, v in model.history]
+            best = min(range(len(losses)), key=lambda i: losses[i])
+            if len(losses) - 1 - best >= early_stopping_rounds:
+                break
         model.trees.append((tree, values))
         upd = F.col("__F") + F.lit(learning_rate) * model._leaf_value(values)
         d = tree.setLeafCol("__leaf").setPredictionCol("__tp").transform(d) \

@@ -91,9 +91,10 @@ def train_gbt_continue(spark, sf):
 @query("gbt_round_metrics")
 def gbt_round_metrics(spark, sf):
     tr, _ = line_sets(spark, sf)
-    m = boost(tr, rounds=QUERY_ROUNDS, **BOOST_PARAMS)
-    return spark.createDataFrame([(int(n), float(v)) for n, v in m.history],
-                                 "n_trees int, train_log_loss double")
+    m = boost(tr, rounds=QUERY_ROUNDS, track_auc=True, **BOOST_PARAMS)
+    auc = dict(m.auc_history)
+    return spark.createDataFrame([(int(n), float(v), auc.get(n)) for n, v in m.history],
+                                 "n_trees int, train_log_loss double, train_auc double")
 
 
 @query("select_top_importance")
