@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import decontaminate
+from .jaccard_join import jaccard_join
+from .packing import pack
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -58,7 +63,7 @@ m AS (SELECT doc_id, p AS lo, before, depth, lead(p) OVER (PARTITION BY doc_id O
       WHERE (depth > 0) <> (before > 0)),
 spans AS (SELECT doc_id, lo, hi FROM m WHERE depth > 0),
 kept AS (SELECT doc_id, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS lo, lo AS hi FROM spans
-         UNION ALL SELECT doc_id, max(hi), 1099511627776 FROM spans GROUP BY doc_id),
+         UNION ALL SELECT doc_id, max(hi), 1000000000 FROM spans GROUP BY doc_id),
 t AS (SELECT kept.doc_id, string_agg(substr(b, CAST(2 * lo + 1 AS BIGINT), CAST(2 * (hi - lo) AS BIGINT)), '' ORDER BY lo) AS b
       FROM kept JOIN d USING (doc_id) GROUP BY kept.doc_id),
 n AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(hi - lo) AS BIGINT) AS n_removed FROM spans GROUP BY doc_id)
@@ -68,3 +73,52 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""")
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op6_benchmark_decontamination", """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bl AS (SELECT item_id, w, least(len(w), 13) AS l FROM b WHERE len(w) > 0),
+bi AS (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM bl),
+bw AS (SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS k FROM bi),
+dl AS (SELECT doc_id, w, l FROM d, (SELECT DISTINCT l FROM bl) WHERE len(w) >= l),
+di AS (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM dl),
+hw AS (SELECT doc_id, i, di.l, item_id FROM di JOIN bw ON bw.l = di.l AND bw.k = array_to_string(w[i:i + di.l - 1], ' ')),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hw) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hw) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_ngram_jaccard_join", """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 5 * c >= 4 * (na.n + nb.n - c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+z AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+m AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+h AS (SELECT doc_id, md5(string_agg(k, chr(10) ORDER BY k)) AS h FROM s GROUP BY doc_id),
+e AS (SELECT doc_id, count(*) OVER (PARTITION BY h) AS n_copies FROM h)
+SELECT d.doc_id, least(d.doc_id, coalesce(z.b, d.doc_id)) AS class_id, coalesce(m.n_links, 0) AS n_links,
+       coalesce(e.n_copies, 1) AS n_copies, coalesce(n.n, 0) AS n_shingles
+FROM d LEFT JOIN z ON z.a = d.doc_id LEFT JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+LEFT JOIN e ON e.doc_id = d.doc_id""")
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
