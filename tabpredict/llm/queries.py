@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
 from .packing import pack
+from .quality import quality
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -122,3 +123,8 @@ LEFT JOIN e ON e.doc_id = d.doc_id""")
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
