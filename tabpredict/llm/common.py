@@ -40,6 +40,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """``df`` as a parquet table in the shared folder, bucketed by ``key``: a later join
+    on the key moves only its other side. ``parts`` must not be below
+    spark.sql.shuffle.partitions, or Spark prefers to shuffle both."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    entry = path.rsplit("/", 1)[1].replace("-", "_")
+    with short_lived_shuffles(spark):
+        (df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).format("parquet").saveAsTable(entry))
+    table = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")            # the catalog's entry only: the files and this plan stay
+    return table
+
+
 def drop_written(table: DataFrame) -> None:
     """Delete the files of a table made by ``written`` that nothing reads any more."""
     spark = table.sparkSession

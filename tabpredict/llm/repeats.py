@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, covered, text_bytes, valid_starts, window_hash, written
+from .common import U64, text_bytes, valid_starts, window_hash, written, written_by
 
 #: For a period, a set of residues whose differences take every residue.
 COVERS = {13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 4, 10, 12, 17), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -40,6 +40,10 @@ SENT = "block long, bucket int, names binary"
 BITS = "block long, bucket int, bits binary"
 
 
+#: Text in one part of the block table.
+PART_BYTES = 64 << 20
+
+
 @dataclass(frozen=True)
 class Windows:
     """What repeats: windows of ``width`` elements; cover period; ``elements``
@@ -63,10 +67,10 @@ def to_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, ord
 
     ``ordered``: blocks follow the ids (null first), and texts inside a block too."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     if ordered:
-        n = max(rows.sparkSession.sparkContext.defaultParallelism * 2,
-                int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id")
+        rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
 
     def pack(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -100,7 +104,7 @@ def to_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, ord
         if ids:
             yield block()
 
-    return written(rows.mapInArrow(pack, BLOCKS), "blocks")
+    return written_by(rows.mapInArrow(pack, BLOCKS), "blocks", "block", parts)
 
 
 def text_lengths(text: pa.Array) -> np.ndarray:
@@ -210,7 +214,7 @@ def answered(blocks: DataFrame, **answers: DataFrame) -> DataFrame:
     """Blocks with the bits that the buckets gave back, as one array column an exchange."""
     for name, bits in answers.items():
         own = bits.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
-        blocks = blocks.join(own, "block", "left")
+        blocks = blocks.join(own.hint("shuffle_hash"), "block", "left")
     return blocks
 
 
@@ -279,7 +283,3 @@ def repeated_windows(blocks: DataFrame, w: Windows):
         return block, starts[hit]
 
     return answered(blocks, cores=cores, windows=windows), repeated
-
-
-def cover_mask(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    return covered(starts, width, n)
