@@ -30,7 +30,7 @@ def spaced_words(buf: np.ndarray, off: np.ndarray):
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-                    window: int = WINDOW_WORDS, period: int = PERIOD, block_bytes: int = 4 << 20) -> DataFrame:
+                    window: int = WINDOW_WORDS, period: int = PERIOD, block_bytes: int = 2 << 20) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts anywhere else.
 
     Returns one row per input row: doc_id, n_words, n_removed, kept_sha256 and the kept

@@ -33,7 +33,7 @@ def coded_bytes(buf: np.ndarray, off: np.ndarray):
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-                 match: int = MATCH_BYTES, period: int = PERIOD, block_bytes: int = 2 << 20) -> DataFrame:
+                 match: int = MATCH_BYTES, period: int = PERIOD, block_bytes: int = 1 << 20) -> DataFrame:
     """Remove each byte covered by a string of ``match`` bytes that also starts earlier.
 
     Earlier: smaller doc_id (null before all), or the same row and an earlier start.
