@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
+from .neighbours import nearest
 from .packing import pack
 from .quality import quality
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .url_filter import filter_urls, labelled_urls
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -128,3 +130,14 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_classifier")
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, labelled_urls(pages, table(spark, sf_dir, "labels")))
+
+
+@query("op3_nearest_neighbours")
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
