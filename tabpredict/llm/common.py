@@ -12,6 +12,7 @@ import contextlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_path
 
@@ -62,6 +63,26 @@ def drop_written(table: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of a bitmap of hashed keys: 8 MB at most, however many keys there are.
+BITMAP_BITS = 1 << 26
+
+
+def bitmap(keys: DataFrame, column: str) -> bytes:
+    """Which of the BITMAP_BITS values occur in ``column``, as one bitmap. It lets through
+    what may match: with many more keys than bits it lets all through, and a join decides."""
+    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+    at = keys.select((F.col(column) + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
+    for row in parts.toLocalIterator():
+        bits[(row["b"] - 1) * 4096:row["b"] * 4096] = np.frombuffer(row["m"], np.uint8)
+    return bits.tobytes()
+
+
+def in_bitmap(bits: bytes, at: np.ndarray) -> np.ndarray:
+    table = np.frombuffer(bits, np.uint8)
+    return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 # ------------------------------------------------------------------ arrays
 
 U64 = np.uint64

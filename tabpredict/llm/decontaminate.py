@@ -13,12 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, lower_codes, text_bytes, valid_starts, window_hash, word_bounds, word_hashes
+from .common import (ALNUM, BITMAP_BITS, U64, bitmap, in_bitmap, lower_codes, text_bytes, valid_starts, window_hash,
+                     word_bounds, word_hashes)
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 8
-#: Bits of the fingerprints' bitmap: 8 MB at most, whatever the size of the benchmark.
-BITMAP_BITS = 1 << 26
 SLICE_BYTES = 2 << 20
 
 FOUND = "rid long, id long, n_words long, width int, name long, start long"
@@ -58,10 +57,6 @@ def fingerprints(words: np.ndarray, width: int, gram: int) -> np.ndarray:
     return least + U64(width)
 
 
-def bit_of(prints: np.ndarray) -> np.ndarray:
-    return (prints % U64(BITMAP_BITS)).astype(np.int64)
-
-
 def item_windows(items: DataFrame, id_col: str, text_col: str, width: int, gram: int) -> DataFrame:
     """Windows of every item: ``width`` words, or all words of a shorter item."""
     def cut(batches):
@@ -98,15 +93,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     An empty table gives no rows. Other columns are not read."""
     windows = item_windows(items, item_id_col, item_text_col, window, gram)
     widths = sorted({window, *(r[0] for r in windows.select("width").distinct().collect())})
-    one = F.pmod(F.col("print"), F.lit(BITMAP_BITS)).cast("long") + 1
-    bits = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for row in (windows.select(one.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("b"))
-                .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).toLocalIterator()):
-        bits[(row["b"] - 1) * 4096:row["b"] * 4096] = np.frombuffer(row["m"], np.uint8)
-    bits = bits.tobytes()
+    bits = bitmap(windows.select(F.pmod("print", F.lit(BITMAP_BITS)).cast("long").alias("bit")), "bit")
 
     def scan(batches):
-        bitmap = np.frombuffer(bits, np.uint8)
         for batch in batches:
             rid, ids = batch.column(0).to_numpy(), batch.column(1)
             buf, off = text_bytes(batch.column(2))
@@ -118,8 +107,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                     pa.array(np.zeros(n, np.int32)), pa.array(rid[lo:hi]), pa.nulls(n, pa.int64())], schema=FOUND_ARROW)
                 for w in widths:
                     prints = fingerprints(words, w, gram)
-                    bit = bit_of(prints)
-                    at = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                    at = np.flatnonzero(in_bitmap(bits, (prints % U64(BITMAP_BITS)).astype(np.int64)))
                     at = at[valid_starts(woff, w)[at]] if len(at) else at
                     if len(at):
                         doc = np.searchsorted(woff, at, "right") - 1

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (MULT, SPACED, U64, byte_codes, drop_written, mix, text_bytes, valid_starts, window_hash,
+from .common import (BITMAP_BITS, MULT, SPACED, U64, bitmap, byte_codes, in_bitmap, mix, text_bytes, valid_starts, window_hash,
                      word_bounds, word_hashes, written)
 from .components import components, local_labels
 from .decontaminate import slices
@@ -280,31 +280,34 @@ def exact_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
     each pair of blocks is one comparison; small groups share one."""
     num, den = same
 
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).cast("long")
+    bits = bitmap(groups.select(bit.alias("bit")), "bit")
+
     def cut(batches):
         for batch in batches:
+            some = np.flatnonzero(in_bitmap(bits, batch.column("bit").to_numpy()))
+            batch = batch.take(pa.array(some))
             buf, off = text_bytes(batch.column("text"))
-            wanted = np.stack([batch.column("set_a").to_numpy(), batch.column("set_b").to_numpy()], 1)
             for lo, hi in few_texts(off, SLICE_BYTES):
                 sets, soff = shingle_sets(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], width)
                 a, b = set_names(sets, soff)
-                own = [k for k in range(hi - lo) if a[k] == wanted[lo + k, 0] and b[k] == wanted[lo + k, 1]]
-                take = pa.array([k + lo for k in own], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("set_id", "label", "copies")] + [
-                    pa.array([sets[soff[k]:soff[k + 1]].tobytes() for k in own], pa.binary())],
-                    names=["set_id", "label", "copies", "members"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = texts.join(groups, texts["id"].eqNullSafe(groups["doc_id"])).select("set_id", "label", "copies", "set_a", "set_b", "text")
-    # rows that share an id with the set's first row may bring the same set again
-    members = written(known.mapInArrow(cut, "set_id long, label long, copies long, members binary"), "members")
-    members = members.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("label", "copies", "members")])
+                raw = sets.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(a), pa.array(b), pa.array(
+                    [raw[8 * s:8 * e] for s, e in zip(soff[:-1].tolist(), soff[1:].tolist())], pa.binary())],
+                    names=["doc_id", "set_a", "set_b", "members"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    cuts = texts.withColumn("bit", bit).mapInArrow(cut, "doc_id long, set_a long, set_b long, members binary").alias("t")
     sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
     shared = max(1, math.ceil((sizes.where(F.col("n") <= BLOCK_SETS).agg(F.sum("n")).first()[0] or 0) / BLOCK_SETS))
     blocks = F.ceil(F.col("n") / BLOCK_SETS)
-    own = F.pmod(F.xxhash64("set_id"), blocks)
-    dealt = (members.join(sizes, "label").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-             .withColumn("group", F.when(blocks > 1, F.col("label")).otherwise(-1 - F.pmod(F.xxhash64("label"), F.lit(shared))))
+    known = groups.join(sizes, "label").select(
+        "doc_id", "set_a", "set_b", "label", "set_id", "copies", F.pmod(F.xxhash64("set_id"), blocks).alias("own"), blocks.alias("blocks"),
+        F.when(blocks > 1, F.col("label")).otherwise(-1 - F.pmod(F.xxhash64("label"), F.lit(shared))).alias("group")).alias("g")
+    # always a shuffled join, so that its cost grows in proportion
+    joined = cuts.join(known.hint("merge"), (F.col("t.set_a") == F.col("g.set_a")) & (F.col("t.set_b") == F.col("g.set_b"))
+                       & F.col("t.doc_id").eqNullSafe(F.col("g.doc_id")))
+    dealt = (joined.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
                      "own", "label", "set_id", "copies", "members"))
 
@@ -317,7 +320,8 @@ def exact_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
         flat = np.frombuffer(data, U64)
         two = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
         size = np.diff(off)
-        order = np.lexsort((size, label))
+        order = np.unique(ids, return_index=True)[1]        # rows that share an id may bring a set twice
+        order = order[np.lexsort((size[order], label[order]))]
         count, a, b = np.zeros(len(ids), np.int64), [], []
         for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
             if len(rows) < 2:
