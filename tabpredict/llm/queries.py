@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .html_extract import extract, train_extractor
 from .jaccard_join import jaccard_join
+from .license_scan import scan_licenses
 from .neighbours import nearest
 from .packing import pack
 from .quality import quality
@@ -141,3 +143,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_nearest_neighbours")
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train_extractor(pages))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
