@@ -20,8 +20,8 @@ WINDOW_WORDS = 13
 GRAM_WORDS = 8
 SLICE_BYTES = 2 << 20
 
-FOUND = "rid long, id long, n_words long, width int, name long, start long"
-FOUND_ARROW = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("width", pa.int32()),
+FOUND = "rid long, id long, text_key long, n_words long, width int, name long, start long"
+FOUND_ARROW = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("width", pa.int32()),
                          ("name", pa.int64()), ("start", pa.int64())])
 ITEMS = "item long, width int, name long, print long"
 ITEMS_ARROW = pa.schema([("item", pa.int64()), ("width", pa.int32()), ("name", pa.int64()), ("print", pa.int64())])
@@ -87,7 +87,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Returns one row per input row: doc_id, n_words, n_hit, n_items, items (ids of the
     items with occurring windows, as strings in string order), contaminated (any hit, and
-    at least 1 word in ``share``). Null or empty texts have no words and are clean; items
+    at least 1 word in ``share``), text_key (xxhash64 of the text). Null or empty texts have no words and are clean; items
     without words match nothing; without items every document is clean. Repeated rows
     are judged each by itself, repeated items count once. A null item id is not listed.
     An empty table gives no rows. Other columns are not read."""
@@ -97,13 +97,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     def scan(batches):
         for batch in batches:
-            rid, ids = batch.column(0).to_numpy(), batch.column(1)
-            buf, off = text_bytes(batch.column(2))
+            rid, ids, keys = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            buf, off = text_bytes(batch.column(3))
             for lo, hi in slices(off, SLICE_BYTES):
                 words, woff = plain_words(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(rid[lo:hi]), ids.slice(lo, n), pa.array(np.diff(woff)),
+                    pa.array(rid[lo:hi]), ids.slice(lo, n), keys.slice(lo, n), pa.array(np.diff(woff)),
                     pa.array(np.zeros(n, np.int32)), pa.array(rid[lo:hi]), pa.nulls(n, pa.int64())], schema=FOUND_ARROW)
                 for w in widths:
                     prints = fingerprints(words, w, gram)
@@ -112,21 +112,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                     if len(at):
                         doc = np.searchsorted(woff, at, "right") - 1
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(rid[doc + lo]), ids.take(pa.array(doc + lo)), pa.nulls(len(at), pa.int64()),
+                            pa.array(rid[doc + lo]), ids.take(pa.array(doc + lo)), *[pa.nulls(len(at), pa.int64())] * 2,
                             pa.array(np.full(len(at), w), pa.int32()),
                             pa.array(window_hash(words, w, at).view(np.int64)), pa.array(at - woff[doc])], schema=FOUND_ARROW)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"),
-                       F.col(text_col).cast("string").alias("text"))
+                       F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     # a document's own row has width 0 and its row number for a name: it matches nothing and lands anywhere
     found = rows.mapInArrow(scan, FOUND)
     known = windows.groupBy("width", "name").agg(F.collect_set(F.col("item").cast("string")).alias("own"))
     hit = F.when(F.col("own").isNotNull(), F.sequence("start", F.col("start") + F.col("width") - 1))
     by_doc = (found.join(known, ["width", "name"], "left").groupBy("rid")
-              .agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"),
+              .agg(F.max("id").alias("id"), F.max("text_key").alias("text_key"), F.max("n_words").alias("n_words"),
                    F.array_distinct(F.flatten(F.collect_list(hit))).alias("hits"),
                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("items")))
     n_hit = F.size("hits").cast("long")
     return by_doc.select(
         F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "text_key")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (BITMAP_BITS, MULT, SPACED, U64, bitmap, byte_codes, in_bitmap, mix, text_bytes, valid_starts, window_hash,
+from .common import (BITMAP_BITS, MULT, SPACED, U64, bitmap, byte_codes, drop_written, in_bitmap, mix, text_bytes, valid_starts, window_hash,
                      word_bounds, word_hashes, written)
 from .components import components, local_labels
 from .decontaminate import slices
@@ -39,8 +39,8 @@ SKETCH_BITS = 96
 BLOCK_SETS = 512
 SLICE_BYTES = 2 << 20
 
-SIGNED = "doc_id long, size long, set_a long, set_b long, tokens binary"
-SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
+SIGNED = "doc_id long, text_key long, size long, set_a long, set_b long, tokens binary"
+SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("size", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
                           ("tokens", pa.binary())])
 NODES = "node long, set_id long, size long, sketch_a long, sketch_b long"
 NODES_ARROW = pa.schema([("node", pa.int64()), ("set_id", pa.int64()), ("size", pa.int64()), ("sketch_a", pa.int64()),
@@ -86,7 +86,7 @@ def signed_texts(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
         seeds = mix(np.arange(1, 2 * TOKENS + 1, dtype=U64) * MULT)
         flip, odd = (seeds[:TOKENS] >> U64(32)).astype(np.uint32), (seeds[TOKENS:] >> U64(32)).astype(np.uint32) | np.uint32(1)
         for batch in batches:
-            buf, off = text_bytes(batch.column(1))
+            buf, off = text_bytes(batch.column(2))
             for lo, hi in few_texts(off, SLICE_BYTES):
                 sets, soff = shingle_sets(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], width)
                 size = np.diff(soff)
@@ -99,10 +99,10 @@ def signed_texts(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
                 for k, row in zip(full.tolist(), tokens):
                     cell[k] = row.tobytes()
                 a, b = set_names(sets, soff)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(a), pa.array(b),
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size), pa.array(a), pa.array(b),
                                                   pa.array(cell, pa.binary())], schema=SIGNED_ARROW)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     return written(rows.mapInArrow(sign, SIGNED), "signed")
 
 
@@ -366,16 +366,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shingle has one shingle of all its words. Returns one row per input row: doc_id,
     class_id (smallest doc_id of its class: the rows it reaches by links), n_links (other
     rows linked to it, copies among them), n_copies (rows with the same set, itself
-    among them), n_shingles, first (is it the one row that stands for the class?).
+    among them), n_shingles, text_key (xxhash64 of the text) and stands: the row, or rows
+    repeated with id and text, that stands for its class, the first by doc_id, then text_key.
     Null and empty texts have no shingles: no links, a class of their own. Repeated rows
     are copies of each other. A null id comes before all others. An empty table gives no
     rows. Other columns are not read."""
     rows = signed_texts(docs, id_col, text_col, width)
+    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text_key")
     sets = written(
         rows.where("size > 0").groupBy("set_a", "set_b").agg(
-            F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least"),
-            F.count("*").alias("copies"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
-        .select("set_a", "set_b", F.col("least.doc_id").alias("doc_id"), "copies", "size", "tokens")
+            F.min(first).alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+        .select("set_a", "set_b", "least", F.col("least.doc_id").alias("doc_id"), "copies", "size", "tokens")
         .withColumn("set_id", F.monotonically_increasing_id()), "sets")
     found = candidate_links(sets.select("set_id", "size", "tokens"), sets.count(), same, recall, depth)
     groups = written(components(found).join(sets, F.col("node") == F.col("set_id"))
@@ -383,18 +384,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     exact = exact_links(docs, groups, id_col, text_col, width, same)
     count = exact.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     label = components(exact.where("b is not null").select("a", "b"))
-    known = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "set_id")
-    own = (sets.select("set_id", "set_a", "set_b", "doc_id", "copies")
+    own = (sets.select("set_id", "set_a", "set_b", "least", "copies")
            .join(count.withColumnRenamed("a", "set_id"), "set_id", "left")
            .join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
            .withColumn("label", F.coalesce("label", "set_id")))
-    least = own.groupBy("label").agg(F.min(known).alias("head"))
-    own = own.join(least, "label").select("set_a", "set_b", "set_id", "copies", "links", "head")
-    full = (rows.where("size > 0").select("doc_id", "size", "set_a", "set_b").join(own, ["set_a", "set_b"])
+    head = own.groupBy("label").agg(F.min("least").alias("head"))
+    own = own.join(head, "label").select("set_a", "set_b", "copies", "links", "head")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    full = (rows.where("size > 0").select("doc_id", "text_key", "size", "set_a", "set_b").join(own, ["set_a", "set_b"])
             .select("doc_id", F.col("head.doc_id").alias("class_id"),
-                    (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"),
-                    F.col("size").alias("n_shingles"), (F.col("head.set_id") == F.col("set_id")).alias("in_first_set")))
+                    (F.coalesce("links", zero) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"),
+                    F.col("size").alias("n_shingles"), "text_key", (first == F.col("head")).alias("stands")))
     bare = rows.where("size = 0").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"),
-        F.lit(0).cast("long").alias("n_shingles"), F.lit(True).alias("in_first_set"))
-    return full.union(bare)
+        "doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), one.alias("n_copies"), zero.alias("n_shingles"), "text_key", F.lit(True).alias("stands"))
+    result = written(full.union(bare), "classes")
+    for table in (rows, sets, groups, exact):
+        drop_written(table)
+    return result

@@ -168,6 +168,13 @@ class QualityModel:
     def __init__(self, weights, lines, mixed):
         self.weights, self.lines, self.mixed = weights, lines, mixed
 
+    def scores(self, buf: np.ndarray, off: np.ndarray, meta: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated probability of each view, and the combined one."""
+        views = {"words": text_view(buf, off), "meta": meta_view(meta)}
+        z = [self.lines[v][0] * margins(views[v], self.weights[v]) + self.lines[v][1] for v in views]
+        both = self.mixed[0] * z[0] + self.mixed[1] * z[1] + self.mixed[2]
+        return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*z, both))
+
 
 def train_quality(docs: DataFrame, labels: DataFrame, meta_cols: list[str], good, id_col: str = "doc_id",
                   text_col: str = "text", *, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS,
@@ -221,23 +228,33 @@ def judge_quality(docs: DataFrame, model: QualityModel | None, meta_cols: list[s
         return rows.select("doc_id", none.alias("p_words"), none.alias("p_meta"), none.alias("score"), F.lit(True).alias("keep"))
 
     def score(batches):
-        def sigmoid(x):
-            return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
         for batch in batches:
             buf, off = text_bytes(batch.column(1))
             for lo, hi in slices(off, SLICE_BYTES):
-                meta = meta_view([c.slice(lo, hi - lo) for c in batch.columns[2:]])
-                m = [margins(text_view(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]), model.weights["words"]),
-                     margins(meta, model.weights["meta"])]
-                z = [line[0] * x + line[1] for x, line in zip(m, (model.lines["words"], model.lines["meta"]))]
-                p = sigmoid(model.mixed[0] * z[0] + model.mixed[1] * z[1] + model.mixed[2])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, (sigmoid(z[0]), sigmoid(z[1]), p, p >= cut))],
+                p = model.scores(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], [c.slice(lo, hi - lo) for c in batch.columns[2:]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, (*p, p[2] >= cut))],
                                                  names=["doc_id", "p_words", "p_meta", "score", "keep"])
 
     return rows.mapInArrow(score, "doc_id long, p_words double, p_meta double, score double, keep boolean")
 
 
+def accepted(docs: DataFrame, model: QualityModel | None, meta_cols: list[str], id_col: str = "doc_id", text_col: str = "text",
+             cut: float = 0.5) -> DataFrame:
+    """The rows that ``judge_quality`` keeps, with all their columns."""
+    if model is None:
+        return docs
+
+    def sift(batches):
+        for batch in batches:
+            buf, off = text_bytes(batch.column(text_col))
+            for lo, hi in slices(off, SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                score = model.scores(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], [part.column(c) for c in meta_cols])[2]
+                yield part.filter(pa.array(score >= cut))
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 #: Metadata columns of documents, and what counts as good: of quality and not toxic.
 META_COLS = ["lang", "source", "n_chars"]
 

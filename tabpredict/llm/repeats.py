@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, text_bytes, valid_starts, window_hash, written, written_by
 
@@ -62,11 +63,17 @@ class Windows:
         return self.width - self.period + 1
 
 
-def to_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, ordered: bool) -> DataFrame:
+def to_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, ordered: bool, carry: bool = False) -> DataFrame:
     """Texts packed into blocks of about ``block_bytes`` (a longer text is a block of its own).
 
-    ``ordered``: blocks follow the ids (null first), and texts inside a block too."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    ``ordered``: blocks follow the ids (null first), and texts inside a block too.
+    ``carry``: the rows' other columns come along, as one struct a row."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+                       *([F.struct(*rest).alias("rest")] if rest else []))
+    schema = T.StructType.fromDDL(BLOCKS)
+    if rest:
+        schema = schema.add("rest", T.ArrayType(rows.schema["rest"].dataType))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     if ordered:
@@ -74,37 +81,35 @@ def to_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, ord
 
     def pack(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        ids, texts, size = [], [], 0
+        held, size = [], 0
 
         def block():
-            return pa.RecordBatch.from_arrays([
-                pa.array([(part << 32) | seq], pa.int64()), pa.array([size], pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids)),
-                pa.ListArray.from_arrays(pa.array([0, sum(map(len, texts))], pa.int32()), pa.concat_arrays(texts)),
-            ], names=["block", "n_bytes", "ids", "texts"])
+            columns = [pa.concat_arrays([h.column(k) for h in held]) for k in range(held[0].num_columns)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) | seq], pa.int64()), pa.array([size], pa.int64())]
+                + [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns],
+                names=["block", "n_bytes", "ids", "texts", "rest"][:2 + len(columns)])
 
         for batch in batches:
-            id_, text = batch.column(0), batch.column(1)
-            ends = np.cumsum(text_lengths(text))
+            ends = np.cumsum(text_lengths(batch.column(1)))
             at = 0
-            while at < len(text):
+            while at < batch.num_rows:
                 base = int(ends[at - 1]) if at else 0
                 to = max(at + 1, int(np.searchsorted(ends, base + block_bytes - size, "right")))
                 if size and int(ends[to - 1]) - base + size > block_bytes:
                     yield block()
-                    seq, ids, texts, size = seq + 1, [], [], 0
+                    seq, held, size = seq + 1, [], 0
                     continue
-                ids.append(id_[at:to])
-                texts.append(text[at:to])
+                held.append(batch.slice(at, to - at))
                 size += int(ends[to - 1]) - base
                 at = to
                 if size >= block_bytes:
                     yield block()
-                    seq, ids, texts, size = seq + 1, [], [], 0
-        if ids:
+                    seq, held, size = seq + 1, [], 0
+        if held:
             yield block()
 
-    return written_by(rows.mapInArrow(pack, BLOCKS), "blocks", "block", parts)
+    return written_by(rows.mapInArrow(pack, schema), "blocks", "block", parts)
 
 
 def text_lengths(text: pa.Array) -> np.ndarray:
