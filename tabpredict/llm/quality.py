@@ -22,10 +22,16 @@ from .decontaminate import slices
 #: Bounds of the samples: labelled rows to fit on, and rows of the pool for pseudo-labels.
 FIT_ROWS, POOL_ROWS = 20_000, 20_000
 ROUNDS = 2
+#: Penalty and most steps of each view's regression.
+FIT = {"words": (1e-4, 60), "meta": (1e-3, 15)}
+#: Parts that the (bounded) sample is fitted in.
+FIT_PARTS = 6
 #: A view passes on a label it gives this calibrated probability or more, and so many rows a class and round.
 SURE, PASSED_ON = 0.97, 1000
-WORD_BITS = 18
+WORD_BITS = 17
 N_STYLE = 8
+#: The few style columns are scaled up, so that the penalty weighs less on them than on the many words.
+STYLE_WEIGHT = 4.0
 META_BITS = 12
 SLICE_BYTES = 2 << 20
 
@@ -60,7 +66,7 @@ def text_view(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
                       np.log1p(np.diff(woff)) / 10, np.minimum((ends - starts).sum() and np.diff(off) / words / 10, 3)], 1)
     cols = np.concatenate([col, np.tile((1 << WORD_BITS) + np.arange(N_STYLE), n)])
     rows = np.concatenate([row, np.repeat(np.arange(n), N_STYLE)])
-    vals = np.concatenate([np.ones(len(col)), style.ravel()])
+    vals = np.concatenate([np.ones(len(col)), STYLE_WEIGHT * style.ravel()])
     order = np.argsort(rows, kind="stable")
     return cols[order], vals[order], np.searchsorted(rows[order], np.arange(n + 1))
 
@@ -112,11 +118,12 @@ def viewed(rows: DataFrame, text_col: str, meta_cols: list[str], keep: list[str]
     return rows.mapInArrow(see, f"{kinds}, words {VIEW}, meta {VIEW}")
 
 
-def fitted(rows: DataFrame, view: str, width: int, penalty: float) -> np.ndarray:
+def fitted(rows: DataFrame, view: str, width: int, penalty: float, steps: int) -> np.ndarray:
     """Weights and, last, the intercept of a logistic regression on (view, good)."""
     vector = F.udf(lambda cells: Vectors.sparse(width, [(c.i, c.v) for c in cells]), VectorUDT())
-    model = LogisticRegression(labelCol="good", featuresCol="x", regParam=penalty, standardization=False, maxIter=60).fit(
-        rows.select(F.col("good").cast("double"), vector(view).alias("x")))
+    # the sample is bounded: few parts, so that a step's sums are few
+    model = LogisticRegression(labelCol="good", featuresCol="x", regParam=penalty, standardization=False, maxIter=steps).fit(
+        rows.select(F.col("good").cast("double"), vector(view).alias("x")).coalesce(FIT_PARTS))
     return np.append(model.coefficients.toArray(), model.intercept)
 
 
@@ -200,7 +207,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, meta_cols: list[str], good
     width = {"words": (1 << WORD_BITS) + N_STYLE, "meta": 1 << META_BITS}
     own = {"words": fit.select("good", "words"), "meta": fit.select("good", "meta")}
     for turn in range(rounds + 1):
-        weights = {v: fitted(own[v], v, width[v], 1e-4 if v == "words" else 1e-3) for v in own}
+        weights = {v: fitted(own[v], v, width[v], *FIT[v]) for v in own}
         told = scored(held, weights).select("good", "m_words", "m_meta").toPandas()
         y = told["good"].to_numpy(float)
         lines = {v: small_logistic(told[[f"m_{v}"]].to_numpy(), y) for v in own}
