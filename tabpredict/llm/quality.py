@@ -63,7 +63,7 @@ def text_view(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     twin[1:] = (buf[1:] == buf[:-1]) & ~table[buf[1:]] & SPACED[buf[1:]]
     style = np.stack([upper / letters, np.minimum(10 * marks / size, 3), np.minimum(10 * digits / size, 3),
                       np.bincount(doc, again, n) / words, distinct / words, np.minimum(20 * per_text(twin) / size, 3),
-                      np.log1p(np.diff(woff)) / 10, np.minimum((ends - starts).sum() and np.diff(off) / words / 10, 3)], 1)
+                      np.log1p(np.diff(woff)) / 10, np.minimum(np.diff(off) / words / 10, 3)], 1)
     cols = np.concatenate([col, np.tile((1 << WORD_BITS) + np.arange(N_STYLE), n)])
     rows = np.concatenate([row, np.repeat(np.arange(n), N_STYLE)])
     vals = np.concatenate([np.ones(len(col)), STYLE_WEIGHT * style.ravel()])

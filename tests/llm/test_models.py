@@ -1,0 +1,201 @@
+"""Packing, extraction, quality, licenses and the pipeline."""
+
+import collections
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+pytest.importorskip("tabpredict.llm")
+
+import public_tokenizers  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+from tabpredict.llm import html_extract as H  # noqa: E402
+from tabpredict.llm import packing as P  # noqa: E402
+from tabpredict.llm import quality as Q  # noqa: E402
+from tabpredict.llm.license_scan import scan_licenses  # noqa: E402
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+ODD = ["", "  ", " a  b ", "a<|endoftext|>b", "can't.'s ,'s '.s 's, a,'s dog's!? x.y,z 12a3,4", "x́ q e\u0301 E\u0301", "\x85 a\x85b a\x1c b\x1cc \xa0z",
+       "z İ Σας ΟΔΟΣ", "Éa É, naïve,Straße x—,y “q”, ≠≠ ≮a K Å", None, "<|ENDOFTEXT|> <|startoftext|>X", "a\x0bb\tc\r\nd"]
+
+
+def rows_of(texts):
+    return [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+
+
+def reference_ids(texts):
+    t = Tokenizer.from_file(PATH)
+    return [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+
+
+def test_ids_equal_the_tokenizers(texts):
+    every = ODD + texts
+    ids, off = P.WordIds(PATH).encode(pa.array(every))
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == reference_ids(every)
+
+
+def test_ids_equal_on_documents():
+    import pyarrow.parquet as pq
+    own = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").combine_chunks()
+    words = P.WordIds(PATH)
+    for part in (own.slice(0, 90), own.slice(90)):
+        ids, off = words.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == reference_ids(part.to_pylist())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fillings_hold_all_pieces(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 60) if seed % 2 else rng.randint(20, 55) for _ in range(rng.randint(1, 400))]
+    plan = P.bin_completion(dict(collections.Counter(sizes)), 100)
+    got = collections.Counter()
+    for fill, bins in plan:
+        assert sum(k * c for k, c in fill.items()) <= 100
+        for k, c in fill.items():
+            got[k] += c * bins
+    assert got == collections.Counter(sizes)
+    fit = sum(m for _, m in P.best_fit_decreasing(dict(collections.Counter(sizes)), 100))
+    assert -(-sum(sizes) // 100) <= sum(m for _, m in plan) <= fit
+
+
+def test_completion_beats_best_fit():
+    sizes = collections.Counter({60: 2, 50: 2, 40: 1, 30: 2, 20: 4})         # total 400
+    assert sum(m for _, m in P.bin_completion(dict(sizes), 100)) == 4
+
+
+def test_pack(spark, make_docs, texts):
+    every = texts + [texts[49 - 2]] * 3
+    docs = make_docs(rows_of(every) + [(None, "x y", "", "", 1)]).repartition(4)
+    size = 256
+    got = P.pack(docs, PATH, size=size).toPandas()
+    ids = dict(enumerate(reference_ids(every)))
+    assert len(got) == sum(-(-len(i) // size) for i in ids.values()) + 1
+    for r in got[got.doc_id.notna()].itertuples():
+        own = np.array(ids[int(r.doc_id)], np.uint32)
+        assert r.start == r.piece * size and r.length == min(size, len(own) - r.start)
+        assert zlib.crc32(own[r.start:r.start + r.length].tobytes()) == r.ids_crc32
+    for _, part in got.groupby("sequence_id"):
+        part = part.sort_values("offset")
+        assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]] and part.length.sum() <= size
+    assert P.pack(make_docs([]), PATH).count() == 0
+
+
+# ------------------------------------------------------------ extraction
+
+PAGES = [
+    ("<p>One &amp two<br>three<p>Four  \n five", "One & two three\n\nFour five"),
+    ("<div>a<p>b</div>c", "a\n\nb\n\nc"), ("<script>var x='<p>no</p>'</script><!-- no <p>no</p> --><p>yes</p><style>p{}</style>", "yes"),
+    ("<b>x</b><i>y</i> z", "xy z"), ("", ""), ("<p", ""), ("<p title='a>b'>q</p><textarea>no</textarea>", "q"), ("a < b &lt;c&gt;", "a < b <c>"),
+    ("<ul><li>1<li>2</ul><table><tr><td>3<td>4</table>", "1\n\n2\n\n3\n\n4"), ("<head><title>t</title></head><body>x</body>", "x")]
+
+
+def test_parser_keeps_blocks():
+    for source, want in PAGES:
+        page = H.Page(source)
+        assert page.text(np.ones(len(page.tag))) == want, source
+
+
+def test_no_kept_node_in_a_dropped_one():
+    page = H.Page("<div><section><p>a</p></section></div><p>b</p>")
+    assert page.text(np.array([1, -4, -4, 1.5, 1])) == "b"
+    assert page.text(np.array([1, -1, -1, 4, 1])) == "a\n\nb"
+
+
+def test_extract(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    train, held = pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1")
+    trees = H.train_extractor(train)
+    right = words = found = wrong = 0
+    for k, row in enumerate(held.limit(60).collect()):
+        for seed in (0, 500 + k):
+            page = H.Page(H.variant(row.html, seed))
+            want = page.text(np.array([4.0 if y is None or y > 0.5 else -9.0 for y in page.labels()]))
+            got = page.text(trees.odds(page.features()))
+            right += got == want
+            a, b = collections.Counter(want.split()), collections.Counter(got.split())
+            words, found, wrong = words + sum(a.values()), found + sum((a & b).values()), wrong + sum((b - a).values())
+    assert right >= 110 and found / words > 0.99 and wrong / words < 0.01
+    odd = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (2, None, "", 1), (3, "u", "<article><p>Some words of an article, long enough.</p></article>", 1)],
+                                "page_id long, url string, html string, text int")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in H.extract(odd, trees).collect())
+    assert got[:3] == [(1, "", 0), (2, "", 0), (2, "", 0)]
+    assert H.extract(odd.limit(0), trees).count() == 0 and H.train_extractor(odd.limit(2)) is None
+    assert H.extract(odd, None).where("page_id = 3").first().n_chars > 0
+
+
+# --------------------------------------------------------------- quality
+
+def test_quality_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(10)) < 3
+    model = Q.train_quality(docs, labels.where(~apart), Q.META_COLS, Q.good_label(), rounds=1)
+    got = Q.judge_quality(docs, model, Q.META_COLS)
+    pdf = labels.where(apart).join(got, "doc_id").toPandas()
+    junk, clean = pdf[pdf.quality == 0], pdf[(pdf.quality == 1) & (pdf.toxic == 0)]
+    assert (~junk.keep).mean() > 0.95 and clean.keep.mean() > 0.97
+    kept = Q.accepted(docs, model, Q.META_COLS)
+    assert kept.schema == docs.schema and kept.count() == got.where("keep").count()
+
+
+def test_quality_edges(spark, make_docs):
+    docs = make_docs([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5), (None, "x", "en", "s", 1)])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    one = spark.createDataFrame([(1, 1, 0), (3, 1, None), (9, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    for labels in (none, one):
+        got = Q.quality(docs, labels).collect()
+        assert len(got) == 5 and all(r.keep and r.score is None for r in got)
+    both = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = Q.quality(docs, both).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 3}) == 1
+    assert Q.quality(make_docs([]), both).count() == 0
+
+
+# -------------------------------------------------------------- licenses
+
+def test_license_scan(spark, make_docs):
+    rows = [(1, "some words\nLicensed under the Apache License, Version 2.0.\nmore", "", "", 1), (2, "all RIGHTS reserved", "", "", 1), (3, "nothing of the kind here", "", "", 1),
+            (4, None, "", "", 1), (5, "", "", "", 1), (6, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.\n", "", "", 1), (6, "Released under the MIT License.", "", "", 1),
+            (7, "This work is licensed under the terms of the GNU General Public License, version 3.", "", "", 1), (8, "the word licensed alone", "", "", 1),
+            (9, "Copyright 2020 by X. All rights reserved.", "", "", 1)]
+    got = {}
+    for r in scan_licenses(make_docs(rows)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert got[1][0].licenses == ["Apache-2.0"] and got[1][0].found[0].line == 1 and got[1][0].found[0].exact and got[1][0].n_lines == 3
+    assert got[2][0].licenses == ["all-rights-reserved"] and got[9][0].licenses == ["all-rights-reserved"]
+    assert sorted(len(r.licenses) for r in got[6]) == [1, 2]
+    assert got[7][0].licenses == ["GPL-3.0"] and got[7][0].found[0].added == ["terms", "of", "the"] or got[7][0].found[0].added == ["the", "terms", "of"]
+    assert not got[7][0].found[0].exact
+    for k in (3, 4, 5, 8):
+        assert got[k][0].licenses == [] and not got[k][0].found
+    assert scan_licenses(make_docs([])).count() == 0
+
+
+# -------------------------------------------------------------- pipeline
+
+def test_pipeline_stages(spark, make_docs, texts, tmp_path):
+    import corpus_pipeline as C
+
+    assert [f.__name__ for _, f in C.STAGES] == ["judge", "drop_near_copies", "cut_repeats", "drop_contaminated", "fill_sequences"]
+    docs = make_docs(rows_of(texts) + [(7, texts[7], "en", "s", 1), (None, texts[8] + " z", "en", "s", 1)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, texts[9])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = C.drop_near_copies(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(7) == 1 and 3 in ids and 30 not in ids and 31 not in ids and 43 not in ids and {38, 39, 40} <= set(ids)
+    cut = C.cut_repeats(spark, kept, str(tmp_path))
+    assert cut.columns == docs.columns and dict(cut.dtypes) == dict(docs.dtypes)
+    for r in cut.where("n_chars > 0 and text is not null").collect():
+        assert r.label == 7
+    clean = C.drop_contaminated(spark, docs, str(tmp_path))
+    assert 9 not in [r.doc_id for r in clean.collect()] and clean.count() == docs.count() - 1
+    assert C.run(spark, str(tmp_path)).count() > 0
