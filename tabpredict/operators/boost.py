@@ -32,7 +32,7 @@ CHECKPOINT_EVERY = 5
 class BoostedModel:
     base_margin: float
     learning_rate: float
-    trees: list = field(default_factory=list)      # (tree model, {leaf: value})
+    trees: list = field(default_factory=list)      # (tree model, {leaf: step}); steps hold their rate
     init_model: object = None                      # a GBTClassificationModel to start from
     history: list = field(default_factory=list)    # (n_trees, train log-loss)
     auc_history: list = field(default_factory=list)  # (n_trees, train AUC) if asked
@@ -54,7 +54,7 @@ class BoostedModel:
             t = tree.copy()
             t.setLeafCol("__leaf").setPredictionCol("__tp")
             d = t.transform(d)
-            d = d.withColumn(out, F.col(out) + F.lit(self.learning_rate) * self._leaf_value(values)) \
+            d = d.withColumn(out, F.col(out) + self._leaf_value(values)) \
                  .drop("__leaf", "__tp")
             if (i + 1) % 20 == 0:
                 d = d.checkpoint()
@@ -81,7 +81,8 @@ def boost(df: DataFrame, label: str = "label", rounds: int = 10, learning_rate:
 
     ``track_auc`` also records the training AUC each round (one ranged ROC
     pass over the round's table). ``early_stopping_rounds`` > 0 stops when
-    the training loss has not improved for that many rounds."""
+    the training loss has not improved for that many rounds, and cuts back
+    to the best one."""
     spark = df.sparkSession
     shared_dir(spark)  # make sure checkpoint() has a shared folder
     w = F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0))
@@ -125,7 +126,7 @@ def boost(df: DataFrame, label: str = "label", rounds: int = 10, learning_rate:
         for s in stats:
             # a root-only tree can still fall short of the minimum: no step
             values[s["__leaf"]] = (0.0 if s["H"] < min_hessian
-                                   else -_soft(s["G"], l1) / (s["H"] + l2))
+                                   else -learning_rate * _soft(s["G"], l1) / (s["H"] + l2))
         total_w = sum(s["W"] for s in stats)
         model.history.append((len(model.trees), sum(s["L"] for s in stats) / total_w))
         if track_auc:
@@ -137,9 +138,11 @@ def boost(df: DataFrame, label: str = "label", rounds: int = 10, learning_rate:
             losses = [v for _, v in model.history]
             best = min(range(len(losses)), key=lambda i: losses[i])
             if len(losses) - 1 - best >= early_stopping_rounds:
+                # the loss was recorded before its round's tree was added
+                del model.trees[model.history[best][0]:]
                 break
         model.trees.append((tree, values))
-        upd = F.col("__F") + F.lit(learning_rate) * model._leaf_value(values)
+        upd = F.col("__F") + model._leaf_value(values)
         d = tree.setLeafCol("__leaf").setPredictionCol("__tp").transform(d) \
             .withColumn("__F", upd).drop("__leaf", "__tp")
         if (r + 1) % CHECKPOINT_EVERY == 0:

@@ -205,12 +205,21 @@ def roc_at_cut(df: DataFrame, label: str = "label", score: str = "s", cut: float
     return a.unionByName(b)
 
 
+def pair(truth: DataFrame, predicted: DataFrame, key: str, label: str, prediction: str) -> DataFrame:
+    """Inner join of truth and prediction on their key: (key, true_value,
+    predicted_value). Rows without a partner go; a key repeated on either side pairs
+    with each of the other's rows."""
+    return truth.select(key, F.col(label).alias("true_value")).join(
+        predicted.select(key, F.col(prediction).alias("predicted_value")), key)
+
+
 # -- distributions of a score -----------------------------------------------
 
 def score_histogram(df: DataFrame, score: str, by: str | None = None, bins: int = 20,
                     lo: float | None = None, hi: float | None = None) -> DataFrame:
     """Equi-width bins over [lo, hi] (data min / max by default); the top
-    edge falls in the last bin. Rows (by, bin, lo, hi, n)."""
+    edge falls in the last bin, values outside and NaN in none. Rows (by,
+    bin, lo, hi, n)."""
     if lo is None or hi is None:
         r = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
         lo = r["lo"] if lo is None else lo
@@ -218,7 +227,7 @@ def score_histogram(df: DataFrame, score: str, by: str | None = None, bins: int
     width = (hi - lo) / bins if hi > lo else 1.0
     b = F.least(F.floor((F.col(score) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     keys = [by] if by else []
-    g = (df.where(F.col(score).isNotNull()).groupBy(*keys, b.alias("bin"))
+    g = (df.where(F.col(score).between(F.lit(lo), F.lit(hi))).groupBy(*keys, b.alias("bin"))
          .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
     return g.select(*keys, "bin", F.round(F.lit(lo) + F.col("bin") * F.lit(width), 6).alias("bin_lo"),
                     F.round(F.lit(lo) + (F.col("bin") + 1) * F.lit(width), 6).alias("bin_hi"), "n")
@@ -228,8 +237,8 @@ def score_density(df: DataFrame, score: str, by: str | None = None, grid: int =
                   digits: int = 6) -> DataFrame:
     """Gaussian kernel density on ``grid`` equally spaced points between the
     data min and max, bandwidth std · n^(-1/5) per group (Scott's factor).
-    Each row adds its kernel to every grid point; partial aggregation keeps
-    grid × groups rows per task."""
+    Equal scores are counted first; then one aggregate holds a sum for every
+    grid point, so rows never multiply."""
     keys = [by] if by else []
     stats = (df.where(F.col(score).isNotNull()).groupBy(*keys)
              .agg(F.stddev_samp(score).alias("sd"), F.count(F.lit(1)).alias("n"),
@@ -251,12 +260,15 @@ def score_density(df: DataFrame, score: str, by: str | None = None, grid: int =
     else:
         (hv, nv), = bw.values()
         h, n = F.lit(hv), F.lit(float(nv))
-    pts = F.sequence(F.lit(0), F.lit(grid - 1))
-    e = (df.where(F.col(score).isNotNull())
-         .select(*keys, F.col(score).alias("x"), h.alias("bw"), n.alias("n"), F.explode(pts).alias("i")))
-    z = (F.lit(lo) + F.col("i") * F.lit(step) - F.col("x")) / F.col("bw")
-    kern = F.exp(-0.5 * z * z) / (F.col("bw") * F.col("n") * F.lit(math.sqrt(2 * math.pi)))
-    out = e.groupBy(*keys, "i").agg(F.sum(kern).alias("d"))
+    once = (df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("x"))
+            .agg(F.count(F.lit(1)).alias("m")).select(*keys, "x", "m", h.alias("bw"), n.alias("n")))
+
+    def kernels(i: int):
+        z = (F.lit(lo + i * step) - F.col("x")) / F.col("bw")
+        return F.sum(F.col("m") * F.exp(-0.5 * z * z) / (F.col("bw") * F.col("n") * F.lit(math.sqrt(2 * math.pi))))
+
+    sums = once.groupBy(*keys).agg(*[kernels(i).alias(f"d{i}") for i in range(grid)])
+    out = sums.select(*keys, F.posexplode(F.array(*[F.col(f"d{i}") for i in range(grid)])).alias("i", "d"))
     return out.select(*keys, F.col("i").cast("int").alias("grid_index"),
                       F.round(F.lit(lo) + F.col("i") * F.lit(step), digits).alias("x"),
                       F.round("d", digits).alias("density"))

@@ -51,14 +51,28 @@ class Gram:
         return len(self.features)
 
 
-def gram(df: DataFrame, features: Sequence[str], label: str, key: str | None = None) -> Gram:
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[float | None]:
+    """Pearson correlation of each pair over the rows that hold both (null and NaN
+    are missing): one aggregate, whatever the other columns hold. None: undefined."""
+    def present(c: str):
+        x = F.col(f"`{c}`").cast("double")
+        return F.when(~F.isnan(x), x)
+
+    row = df.agg(*[F.corr(present(a), present(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    return [None if v is None or math.isnan(v) else v for v in row]
+
+
+def gram(df: DataFrame, features: Sequence[str], label: str, key: str | None = None,
+         on_null: str = "raise") -> Gram:
+    """``on_null``: a row with a null or NaN raises (least squares has no rule for
+    it), or with "drop" leaves the fit."""
     feats = list(features)
     cols = feats + [label]
     d = df.select(*([F.col(key).alias("__k")] if key else [F.lit(0).alias("__k")]),
                   *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     # two passes (means, then the shifted Gram) read this compact projection:
     # keep it for the duration of this call only
-    d = d.dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    d = (d.dropna() if on_null == "drop" else d).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _gram_passes(d, feats, label, cols, key)
     finally:
@@ -67,7 +81,11 @@ def gram(df: DataFrame, features: Sequence[str], label: str, key: str | None = N
 
 def _gram_passes(d: DataFrame, feats: list[str], label: str, cols: list[str],
                  key: str | None) -> Gram:
-    means = d.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(cols))]).first()
+    gaps = F.count_if(F.greatest(*[(F.col(f"c{i}").isNull() | F.isnan(f"c{i}")).cast("int")
+                                   for i in range(len(cols))], F.lit(0)) > 0)
+    means = d.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(cols))], gaps.alias("gaps")).first()
+    if means["gaps"]:
+        raise ValueError(f"{means['gaps']} rows hold a null or NaN in {cols}: fill them, or pass on_null='drop'")
     shift = np.array([means[f"c{i}"] or 0.0 for i in range(len(cols))], dtype=float)
     q = len(cols) + 1
     iu, ju = np.triu_indices(q)

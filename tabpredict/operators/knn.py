@@ -4,8 +4,9 @@ The training rows are split into ``t_blocks`` blocks and the query rows
 into ``q_blocks`` blocks by a hash of their id. Every (query block, train
 block) cell is one cogroup task: numpy computes the distances of that
 cell's queries to that cell's training rows in chunks and keeps only each
-query's k nearest, so a task never emits more than k rows per query and
-never holds more than ``chunk`` × block distances. The k × t_blocks
+query's k nearest (all rows that rounding cannot tell from the k-th are
+measured exactly first), so a task emits at most k rows per query and holds
+a bounded number of distances. The k × t_blocks
 candidates of each query are then cut to k with ``row_number`` over a
 window partitioned by the query id. Ties: smaller distance, then smaller
 training id; the vote is a plain majority, ties to the smaller class.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 TRAIN_BLOCK_ROWS = 20_000
 QUERY_BLOCK_ROWS = 20_000
-CHUNK = 512
-MARGIN = 16
+#: Queries in a block, at least, when blocks are added to use the cluster.
+LEAST_QUERY_ROWS = 64
+#: Distances held at once, and pairs measured exactly at once.
+CHUNK_CELLS, CHUNK_PAIRS = 2_000_000, 200_000
 
 
 def _block(col: str, n: int):
@@ -43,14 +46,16 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str = "row_
     if t_blocks is None or q_blocks is None:
         nt, nq = train.count(), queries.count()
         t_blocks = t_blocks or max(1, math.ceil(nt / TRAIN_BLOCK_ROWS))
-        q_blocks = q_blocks or max(1, math.ceil(nq / QUERY_BLOCK_ROWS))
+        cores = train.sparkSession.sparkContext.defaultParallelism
+        q_blocks = q_blocks or max(1, math.ceil(nq / QUERY_BLOCK_ROWS),
+                                   min(cores, math.ceil(nq / LEAST_QUERY_ROWS)))
     t = train.select(F.col(id_col).alias("t_id"), F.col(vec_col).alias("v"),
                      F.col(label_col).alias("t_label"), _block(id_col, t_blocks).alias("tb"))
     t = t.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     q = queries.select(F.col(id_col).alias("q_id"), F.col(vec_col).alias("v"),
                        _block(id_col, q_blocks).alias("qb"))
     q = q.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
-    kk, margin, chunk = k, MARGIN, CHUNK
+    kk, chunk_cells, chunk_pairs = k, CHUNK_CELLS, CHUNK_PAIRS
 
     # Runs in the Python workers: self-contained (numpy / pandas only), so
     # workers need not import this package.
@@ -69,24 +74,30 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, id_col: str = "row_
         tn = (T * T).sum(axis=1)
         Q = vectors(qp["v"])
         qid = qp["q_id"].to_numpy(dtype=np.int64)
-        keep = min(kk + margin, len(tid))
+        keep = min(kk, len(tid))
+        chunk = max(1, chunk_cells // len(tid))
+        # what the expanded square can be off by, for vectors of this length
+        slack = 1e-13 * (T.shape[1] + 8) * (tn.max() + (Q * Q).sum(axis=1).max() + 1e-300)
         out_q, out_t, out_l, out_d = [], [], [], []
         for s in range(0, len(qid), chunk):
             Qc = Q[s:s + chunk]
             approx = (Qc * Qc).sum(axis=1)[:, None] + tn[None, :] - 2.0 * (Qc @ T.T)
-            if keep < len(tid):
-                cand = np.argpartition(approx, keep - 1, axis=1)[:, :keep]
-            else:
-                cand = np.tile(np.arange(len(tid)), (len(Qc), 1))
-            diff = Qc[:, None, :] - T[cand]
-            exact = np.sqrt((diff * diff).sum(axis=2))
-            for r in range(len(Qc)):
-                order = np.lexsort((tid[cand[r]], exact[r]))[:kk]
-                sel = cand[r][order]
-                out_q.append(np.full(len(sel), qid[s + r], dtype=np.int64))
-                out_t.append(tid[sel])
-                out_l.append(tlab[sel])
-                out_d.append(exact[r][order])
+            # every row that rounding cannot tell from the k-th nearest is
+            # measured exactly, so ties fall to the smaller id
+            bound = np.partition(approx, keep - 1, axis=1)[:, keep - 1] + 2 * slack
+            r, c = np.nonzero(approx <= bound[:, None])
+            exact = np.empty(len(r))
+            for lo in range(0, len(r), chunk_pairs):
+                hi = lo + chunk_pairs
+                diff = Qc[r[lo:hi]] - T[c[lo:hi]]
+                exact[lo:hi] = np.sqrt((diff * diff).sum(axis=1))
+            order = np.lexsort((tid[c], exact, r))
+            r, c, exact = r[order], c[order], exact[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < kk
+            out_q.append(qid[s + r[first]])
+            out_t.append(tid[c[first]])
+            out_l.append(tlab[c[first]])
+            out_d.append(exact[first])
         return pd.DataFrame({"q_id": np.concatenate(out_q), "t_id": np.concatenate(out_t),
                              "t_label": np.concatenate(out_l), "dist": np.concatenate(out_d)})
 

@@ -25,6 +25,11 @@ BUCKETS = 1000
 MAX_GROUPS = 1000
 
 
+def _present(col: str):
+    """Neither null nor NaN."""
+    return F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))
+
+
 def _interval(x, lo, hi):
     cond = F.lit(True)
     if lo is not None:
@@ -53,7 +58,7 @@ def _pick(counts: list[tuple[float, int]], ranks: Sequence[int]) -> dict[int, fl
 def kth_values(df: DataFrame, col: str, ranks: Sequence[int],
                exact_limit: int = EXACT_LIMIT, buckets: int = BUCKETS) -> dict[int, float]:
     """0-based ranks over the non-null values of ``col`` -> exact values."""
-    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+    x = df.select(F.col(col).cast("double").alias("x")).where("x is not null and not isnan(x)")
     result: dict[int, float] = {}
     few = _bounded_counts(x.groupBy("x").agg(F.count(F.lit(1)).alias("n")), exact_limit)
     if few is not None:  # one pass: few distinct values
@@ -136,7 +141,8 @@ def _interp(n: int, q: float) -> tuple[int, int, float]:
 def quantiles(df: DataFrame, col: str, qs: Sequence[float],
               exact_limit: int = EXACT_LIMIT) -> list[float | None]:
     """Exact quantiles with linear interpolation (numpy / quantile_cont)."""
-    few = _bounded_counts(df.where(F.col(col).isNotNull()).groupBy(col)
+    df = df.where(_present(col))
+    few = _bounded_counts(df.groupBy(col)
                           .agg(F.count(F.lit(1)).alias("n")), exact_limit)
     if few is not None:  # one pass
         counts = sorted((float(r[col]), r["n"]) for r in few)
@@ -146,7 +152,7 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float],
         plan = [_interp(n, q) for q in qs]
         got = _pick(counts, [r for lo, hi, _ in plan for r in (lo, hi)])
         return [got[lo] + (got[hi] - got[lo]) * f for lo, hi, f in plan]
-    n = df.where(F.col(col).isNotNull()).count()
+    n = df.count()
     plan = [_interp(n, q) for q in qs]
     ranks = sorted({r for lo, hi, _ in plan for r in (lo, hi)})
     vals = kth_values(df, col, ranks)
@@ -156,7 +162,8 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float],
 def grouped_quantiles(df: DataFrame, by: str, col: str, qs: Sequence[float],
                       exact_limit: int = EXACT_LIMIT) -> dict:
     """{group value: [quantiles]}; groups must be few (class labels)."""
-    few = _bounded_counts(df.where(F.col(col).isNotNull() & F.col(by).isNotNull())
+    df = df.where(_present(col))
+    few = _bounded_counts(df.where(F.col(by).isNotNull())
                           .groupBy(by, col).agg(F.count(F.lit(1)).alias("n")), exact_limit)
     if few is not None:  # one pass: every group has few distinct values
         per: dict = {}
@@ -172,7 +179,7 @@ def grouped_quantiles(df: DataFrame, by: str, col: str, qs: Sequence[float],
             got = _pick(counts, [r for lo, hi, _ in plan for r in (lo, hi)])
             res[g] = [got[lo] + (got[hi] - got[lo]) * f for lo, hi, f in plan]
         return res
-    stats = (df.where(F.col(col).isNotNull()).groupBy(by)
+    stats = (df.groupBy(by)
              .agg(F.count(F.lit(1)).alias("n"),
                   F.approx_count_distinct(col, 0.05).alias("nd"))
              .limit(MAX_GROUPS + 1).collect())
@@ -219,7 +226,7 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
     out: dict = {}
     if small:
         parts = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in small)
-        long = df.selectExpr(f"stack({len(small)}, {parts}) AS (__c, __v)").where("__v IS NOT NULL")
+        long = df.selectExpr(f"stack({len(small)}, {parts}) AS (__c, __v)").where("__v IS NOT NULL AND NOT isnan(__v)")
         per: dict = {}
         for r in long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("n")).collect():
             per.setdefault(r["__c"], []).append((r["__v"], r["n"]))

@@ -92,7 +92,7 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     figures. Otherwise moments come from one aggregate and the quartiles
     from exact order statistics."""
     parts = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {parts}) AS (__c, __v)").where("__v IS NOT NULL")
+    long = df.selectExpr(f"stack({len(cols)}, {parts}) AS (__c, __v)").where("__v IS NOT NULL AND NOT isnan(__v)")
     few = _bounded_counts(long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("n")),
                           EXACT_LIMIT)
     rows = []
@@ -102,6 +102,8 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
             per[r["__c"]].append((r["__v"], r["n"]))
         rows = [(c, *_describe_from_counts(per[c])) for c in cols]
     else:
+        # NaN counts as missing, as in the other branch
+        df = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
         aggs = []
         for c in cols:
             aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"),

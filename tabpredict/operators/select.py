@@ -19,11 +19,14 @@ def _df(spark: SparkSession, rows, schema: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, features: Sequence[str], label: str, digits: int = 6) -> DataFrame:
-    """Long-form Pearson matrix over features and the label."""
-    g = G.gram(df, features, label)
-    names, R = G.correlations(g)
-    rows = [(a, b, float(round(R[i, j], digits))) for i, a in enumerate(names)
-            for j, b in enumerate(names)]
+    """Long-form Pearson matrix over features and the label; each pair over the
+    rows that hold both. Null where undefined (constant or no rows)."""
+    names = [*features, label]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    of = {}
+    for (a, b), v in zip(pairs, G.pair_correlations(df, pairs)):
+        of[a, b] = of[b, a] = None if v is None else round(v, digits)
+    rows = [(a, b, of[a, b]) for a in names for b in names]
     return _df(df.sparkSession, rows, "feature_a string, feature_b string, corr double")
 
 
@@ -31,11 +34,9 @@ def select_pearson(df: DataFrame, features: Sequence[str], label: str, threshold
                    digits: int = 6) -> DataFrame:
     """Columns whose |corr with label| exceeds ``threshold`` (label itself
     included, as a correlation-table filter yields it)."""
-    g = G.gram(df, features, label)
-    names, R = G.correlations(g)
-    yi = len(names) - 1
-    rows = [(n, float(round(abs(R[i, yi]), digits))) for i, n in enumerate(names)
-            if abs(R[i, yi]) > threshold]
+    names = [*features, label]
+    found = G.pair_correlations(df, [(n, label) for n in names])
+    rows = [(n, round(abs(v), digits)) for n, v in zip(names, found) if v is not None and abs(v) > threshold]
     return _df(df.sparkSession, rows, "feature string, abs_corr double")
 
 

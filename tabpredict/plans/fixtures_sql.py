@@ -53,7 +53,7 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, h,
        CASE WHEN {_SIGNAL} + h / CAST(4294967295 AS DOUBLE) > 2.3 THEN 1 ELSE 0 END AS label
 FROM (SELECT *, {_LINE_H} AS h FROM lineitem)""", []),
     "scored_obs": (f"""
-SELECT {_LINE_H} AS row_id, l_extendedprice,
+SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_id, l_extendedprice,
        CASE WHEN {_SIGNAL} + {_LINE_H} / CAST(4294967295 AS DOUBLE) > 2.3 THEN 1 ELSE 0 END AS label,
        round(1.0 / (1.0 + exp(-({_SIGNAL} - 1.9))), 6) AS p
 FROM lineitem""", []),

@@ -248,7 +248,9 @@ def score_density(spark, sf):
 # -- J1 --------------------------------------------------------------------------
 
 @query("pair_truth_prediction", with_ctes(
-    "SELECT row_id, label AS true_value, p AS predicted_value FROM scored_obs", "scored_obs"))
+    "SELECT a.row_id, a.label AS true_value, b.p AS predicted_value FROM scored_obs a "
+    "JOIN scored_obs b ON a.row_id = b.row_id WHERE b.p > 0.2", "scored_obs"))
 def pair_truth_prediction(spark, sf):
-    return scored_obs(spark, sf).select("row_id", F.col("label").alias("true_value"),
-                                        F.col("p").alias("predicted_value"))
+    """Truth and (some rows') predictions, from two tables, aligned on their key."""
+    d = scored_obs(spark, sf)
+    return EV.pair(d.select("row_id", "label"), d.where("p > 0.2").select("row_id", "p"), "row_id", "label", "p")

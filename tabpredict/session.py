@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -11,18 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "tabpredict") -> SparkSession:
-    """Session with AQE on and the UI off; reuses an active session."""
+    """Session with AQE on and the UI off; reuses an active session. Master and
+    shuffle partitions are left to the cluster's settings unless given."""
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or cpus
     builder = (
-        SparkSession.builder.master(master).appName(app_name)
+        SparkSession.builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -30,6 +26,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
     )
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -28,20 +28,12 @@ HASH_SPAN = 4294967295.0               # 16**8 - 1
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan. A file that cannot be split (one row group) yields a
-    single scan task; then the rows are spread round-robin over the
-    cluster's parallelism so per-row work downstream is not serial. Large
-    inputs already scan in many tasks and are left as they are (filters and
-    column pruning still reach the scan through the repartition)."""
+    """Parquet scan. ``spark.tabpredict.spread`` (a number, unset by default)
+    deals the rows round-robin to so many tasks: for a laptop's single-file
+    tables, whose scan is one task. On a cluster leave it unset."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        want = spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Connect session)
-        return df
-    if have < want:
-        df = df.repartition(want)
-    return df
+    spread = int(spark.conf.get("spark.tabpredict.spread", "0"))
+    return df.repartition(spread) if spread > 1 else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -140,7 +132,8 @@ def scored_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_obs with a fixed probability score, for model-free evaluation."""
     lo = line_obs(spark, sf_dir)
     p = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-(_line_signal() - SCORE_OFFSET))), 6)
-    return lo.select(F.col("h").alias("row_id"), "l_extendedprice", "label", p.alias("p"))
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return lo.select(key.alias("row_id"), "l_extendedprice", "label", p.alias("p"))
 
 
 def embeddings_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
