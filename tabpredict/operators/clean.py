@@ -1,13 +1,12 @@
 """Cleaning and encoding: flags, sentinels, text slices, ordinal codes,
 null fill, casts, column drops and moves. All are projections except the
-ordinal encoder's fit, which gathers only the distinct values."""
+ordinal encoder, which sorts the distinct values and joins their codes."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,19 +33,24 @@ def keep_prefix(df: DataFrame, col: str, n: int = 1) -> DataFrame:
     return df.withColumn(col, str_prefix(col, n))
 
 
-def fit_label_encoder(df: DataFrame, cols: Sequence[str]):
-    """Codes 0..k-1 in ascending text order per column. Only the distinct
-    values of each column reach the driver."""
-    idx = StringIndexer(inputCols=list(cols), outputCols=[f"__code_{c}" for c in cols],
-                        stringOrderType="alphabetAsc", handleInvalid="error")
-    return idx.fit(df)
-
-
-def label_encode(df: DataFrame, cols: Sequence[str], model=None) -> DataFrame:
-    model = model or fit_label_encoder(df, cols)
-    out = model.transform(df)
-    return out.withColumns({c: F.col(f"__code_{c}").cast("int") for c in cols}) \
-              .drop(*[f"__code_{c}" for c in cols])
+def label_codes(df: DataFrame, col: str) -> DataFrame:
+    """(value, code): codes 0..k-1 of the column's distinct values in ascending text
+    order. Only the distinct values are sorted (in one task, which may spill);
+    nothing goes to the driver."""
+    values = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
+    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+
+
+def label_encode(df: DataFrame, cols: Sequence[str], codes: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Columns replaced by their codes: those of ``df`` itself, or of given code
+    tables (a fitted encoding). A null or a value without a code raises."""
+    for c in cols:
+        table = (codes or {}).get(c)
+        table = (label_codes(df, c) if table is None else table).toDF("__value", "__code")
+        unknown = F.raise_error(F.concat(F.lit(f"no code in {c} for "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))
+        df = (df.join(table, df[c] == F.col("__value"), "left")
+              .withColumn(c, F.coalesce("__code", unknown.cast("int"))).select(*df.columns))
+    return df
 
 
 def fill_nulls(df: DataFrame, number=0, text: str = "0") -> DataFrame:

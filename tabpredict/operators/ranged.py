@@ -2,10 +2,10 @@
 
 A window with an ``orderBy`` and no ``partitionBy`` moves every row to one
 task. Instead the ordered domain is cut into ranges at approximate
-quantiles, each range is summed (at most ``max_buckets`` rows reach the
-driver), the exclusive prefix of those totals becomes a per-range offset,
-and the running sum is a window *within* each range plus its offset.
-Ranges hold about the same number of rows, so the window stage is balanced.
+quantiles, each range is summed, the exclusive prefix of those totals (one
+row a range) becomes a per-range offset that is joined back, and the running
+sum is a window *within* each range plus its offset. The number of ranges
+follows from the rows, so a range holds about ``target_rows`` at any size.
 """
 
 from __future__ import annotations
@@ -18,42 +18,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TARGET_ROWS = 200_000
-MAX_BUCKETS = 1000
 
 
 def ranged_cumsum(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                   descending: bool = True, prefix: str = "cum_",
-                  target_rows: int = TARGET_ROWS, max_buckets: int = MAX_BUCKETS,
-                  n: int | None = None) -> DataFrame:
+                  target_rows: int = TARGET_ROWS, n: int | None = None) -> DataFrame:
     """Adds ``cum_<c>``: inclusive running sum of each ``c`` in ``order_col``
     order. ``order_col`` must be unique (aggregate to distinct values first).
     ``n`` = row count of ``df`` if the caller already has it."""
     n = df.count() if n is None else n
-    nb = max(1, min(max_buckets, math.ceil(n / target_rows)))
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    if nb == 1:
-        w = Window.partitionBy(F.lit(0)).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in sum_cols})
-    bounds = sorted(set(df.approxQuantile(order_col, [i / nb for i in range(1, nb)],
-                                          1.0 / (4 * nb))))
-    splits = [-math.inf] + bounds + [math.inf]
-    bz = Bucketizer(splits=splits, inputCol="__o", outputCol="__b")
-    b = bz.transform(df.withColumn("__o", F.col(order_col).cast("double"))).drop("__o")
-    b = b.withColumn("__b", F.col("__b").cast("int"))
-    totals = {r["__b"]: r for r in
-              b.groupBy("__b").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()}
-    nbk = len(splits) - 1
-    order = range(nbk - 1, -1, -1) if descending else range(nbk)
-    offsets = {c: [0] * nbk for c in sum_cols}
-    run = {c: 0 for c in sum_cols}
-    for i in order:
-        for c in sum_cols:
-            offsets[c][i] = run[c]
-            t = totals.get(i)
-            run[c] += (t[c] or 0) if t is not None else 0
-    w = Window.partitionBy("__b").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    cols = {}
-    for c in sum_cols:
-        off = F.element_at(F.array(*[F.lit(v) for v in offsets[c]]), F.col("__b") + 1)
-        cols[f"{prefix}{c}"] = F.sum(c).over(w) + off
-    return b.withColumns(cols).drop("__b")
+    ranges = max(1, math.ceil(n / target_rows))
+    bounds = (sorted(set(df.approxQuantile(order_col, [i / ranges for i in range(1, ranges)],
+                                           1.0 / (4 * ranges)))) if ranges > 1 else [])
+    cut = df.withColumn("__o", F.col(order_col).cast("double"))
+    if bounds:
+        cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__o", outputCol="__b").transform(cut)
+    else:
+        cut = cut.withColumn("__b", F.lit(0.0))
+    cut = cut.drop("__o")
+
+    def way(c: str):
+        return F.col(c).desc() if descending else F.col(c).asc()
+
+    before = Window.orderBy(way("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("__b").agg(*[F.sum(c).alias(c) for c in sum_cols])
+    offsets = totals.select("__b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__off_{c}") for c in sum_cols])
+    within = Window.partitionBy("__b").orderBy(way(order_col)).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(offsets, "__b").withColumns(
+        {f"{prefix}{c}": F.sum(c).over(within) + F.col(f"__off_{c}") for c in sum_cols})
+    return out.select(*df.columns, *[f"{prefix}{c}" for c in sum_cols])
