@@ -18,10 +18,10 @@ from .common import ALNUM, SPACED, U64, byte_codes, lower_codes, mix, text_bytes
 from .decontaminate import slices
 
 #: Bounds of the samples: labelled rows to fit on, and rows of the pool for pseudo-labels.
-FIT_ROWS, POOL_ROWS = 20_000, 20_000
+FIT_ROWS, POOL_ROWS = 12_000, 12_000
 ROUNDS = 2
 #: Penalty and most steps of each view's regression.
-FIT = {"words": (1e-4, 100), "meta": (1e-3, 100)}
+FIT = {"words": (1e-4, 60), "meta": (1e-3, 60)}
 #: A view passes on a label it gives this calibrated probability or more, and so many rows a class and round.
 SURE, PASSED_ON = 0.97, 1000
 WORD_BITS = 17
@@ -119,12 +119,22 @@ def logistic(cols: np.ndarray, vals: np.ndarray, off: np.ndarray, y: np.ndarray,
     by limited-memory quasi-Newton steps over sparse rows."""
     n, row = len(y), np.repeat(np.arange(len(y)), np.diff(off))
     shrink = np.append(np.full(width, penalty), 0.0)
+    # the same cells by column, for the gradient
+    turn = np.argsort(cols, kind="stable")
+    row, by_col = row[turn], vals[turn]
+    own, first = np.unique(cols[turn], return_index=True)
+    full = np.flatnonzero(np.diff(off))                  # rows that have cells
 
     def loss(w):
-        z = np.bincount(row, w[cols] * vals, n) + w[-1]
+        z = np.full(n, w[-1])
+        if len(full):
+            z[full] += np.add.reduceat(w[cols] * vals, off[full])
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         error = (p - y) / n
-        grad = np.append(np.bincount(cols, error[row] * vals, width), error.sum()) + shrink * w
+        grad = shrink * w
+        if len(own):
+            grad[own] += np.add.reduceat(error[row] * by_col, first)
+        grad[-1] += error.sum()
         return (np.logaddexp(0, z) - y * z).mean() + 0.5 * (shrink * w) @ w, grad
 
     w = np.zeros(width + 1)
