@@ -1,34 +1,47 @@
 """Quality classifier by co-training.
 
 Two views of a document, its words and its metadata, each have a logistic
-regression of their own. Round by round each view labels the documents of a pool
-that it is sure about for the other's training set. Both are calibrated on
-labelled rows kept apart, and a last small regression combines the two scores.
-Fitting uses bounded samples (documented parameters); every document is scored.
+regression of their own. Round by round each view labels every unlabelled document
+that it is sure about for the other's training set. A third regression, on words and
+with both classes at equal weight, tells toxic texts. All are calibrated on labelled
+rows kept apart, and a last small regression combines the scores; there the rejected, of
+whom toxic texts are a part, weigh as much as the good. Fits are distributed
+over all labelled documents and all pseudo-labels; every document is scored.
 """
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import ALNUM, SPACED, U64, byte_codes, lower_codes, mix, text_bytes, word_bounds, word_hashes, written
+from ..session import shared_path
+from .common import ALNUM, SPACED, U64, byte_codes, lower_codes, mix, short_lived_shuffles, text_bytes, word_bounds, word_hashes
 from .decontaminate import slices
 
-#: Bounds of the samples: labelled rows to fit on, and rows of the pool for pseudo-labels.
-FIT_ROWS, POOL_ROWS = 12_000, 12_000
 ROUNDS = 2
-#: Penalty and most steps of each view's regression.
-FIT = {"words": (1e-4, 60), "meta": (1e-3, 60)}
-#: A view passes on a label it gives this calibrated probability or more, and so many rows a class and round.
-SURE, PASSED_ON = 0.97, 1000
-WORD_BITS = 17
+#: Penalty and most steps of each regression.
+FIT = {"words": (1e-4, 100), "meta": (1e-3, 100), "toxic": (1e-4, 100)}
+#: A view passes on a label that it gives this calibrated probability or more.
+SURE = 0.97
+#: Labelled rows kept apart for the calibration: a fifth, of many labels about so many.
+HELD_ROWS = 50_000
+#: Rows that a task of a fit holds.
+PART_ROWS = 20_000
+WORD_BITS = 18
 N_STYLE = 8
 #: The few style columns are scaled up, so that the penalty weighs less on them than on the many words.
 STYLE_WEIGHT = 4.0
 META_BITS = 12
+WIDTH = {"words": (1 << WORD_BITS) + N_STYLE, "meta": 1 << META_BITS}
 SLICE_BYTES = 2 << 20
 
 
@@ -87,98 +100,56 @@ def meta_view(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return flat[first], np.ones(int(first.sum())), np.concatenate([[0], np.cumsum(first.sum(1))])
 
 
-VIEW = "array<struct<i:int,v:double>>"
-_CELL = pa.list_(pa.struct([("i", pa.int32()), ("v", pa.float64())]))
+#: A sparse vector as Spark stores it.
+VIEW = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-def _cells(view) -> pa.Array:
+def _vectors(view, width: int) -> pa.Array:
     cols, vals, off = view
-    return pa.ListArray.from_arrays(pa.array(off, pa.int32()),
-                                    pa.StructArray.from_arrays([pa.array(cols, pa.int32()), pa.array(vals)], names=["i", "v"]))
+    n, off = len(off) - 1, pa.array(off, pa.int32())
+    return pa.StructArray.from_arrays(
+        [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32)), pa.ListArray.from_arrays(off, pa.array(cols, pa.int32())),
+         pa.ListArray.from_arrays(off, pa.array(vals, pa.float64()))], names=["type", "size", "indices", "values"])
 
 
 def viewed(rows: DataFrame, text_col: str, meta_cols: list[str], keep: list[str]) -> DataFrame:
-    """Both views of (a sample of) rows, as arrays of (column, value)."""
+    """Both views of the rows as vectors, written as a table."""
     def see(batches):
         for batch in batches:
             buf, off = text_bytes(batch.column(len(keep)))
             for lo, hi in slices(off, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k).slice(lo, hi - lo) for k in range(len(keep))]
-                    + [_cells(text_view(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])),
-                       _cells(meta_view([batch.column(len(keep) + 1 + k).slice(lo, hi - lo) for k in range(len(meta_cols))]))],
+                    + [_vectors(text_view(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]), WIDTH["words"]),
+                       _vectors(meta_view([batch.column(len(keep) + 1 + k).slice(lo, hi - lo) for k in range(len(meta_cols))]), WIDTH["meta"])],
                     names=[*keep, "words", "meta"])
 
     rows = rows.select(*keep, F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"meta_{k}") for k, c in enumerate(meta_cols)])
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(see, f"{kinds}, words {VIEW}, meta {VIEW}")
-
-
-def logistic(cols: np.ndarray, vals: np.ndarray, off: np.ndarray, y: np.ndarray, width: int, penalty: float, steps: int) -> np.ndarray:
-    """Weights and, last, the (unpenalised) intercept that minimise mean log-loss + penalty / 2 * |w|^2,
-    by limited-memory quasi-Newton steps over sparse rows."""
-    n, row = len(y), np.repeat(np.arange(len(y)), np.diff(off))
-    shrink = np.append(np.full(width, penalty), 0.0)
-    # the same cells by column, for the gradient
-    turn = np.argsort(cols, kind="stable")
-    row, by_col = row[turn], vals[turn]
-    own, first = np.unique(cols[turn], return_index=True)
-    full = np.flatnonzero(np.diff(off))                  # rows that have cells
-
-    def loss(w):
-        z = np.full(n, w[-1])
-        if len(full):
-            z[full] += np.add.reduceat(w[cols] * vals, off[full])
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        error = (p - y) / n
-        grad = shrink * w
-        if len(own):
-            grad[own] += np.add.reduceat(error[row] * by_col, first)
-        grad[-1] += error.sum()
-        return (np.logaddexp(0, z) - y * z).mean() + 0.5 * (shrink * w) @ w, grad
-
-    w = np.zeros(width + 1)
-    f, g = loss(w)
-    past: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for _ in range(steps):
-        d, used = -g, []
-        for s, t, r in reversed(past):
-            a = r * (s @ d)
-            d = d - a * t
-            used.append(a)
-        if past:
-            d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]))
-        for (s, t, r), a in zip(past, reversed(used)):
-            d = d + (a - r * (t @ d)) * s
-        step, slope = (1.0 if past else min(1.0, 1 / (np.abs(g).sum() + 1e-12))), g @ d
-        while step > 1e-10:
-            new_f, new_g = loss(w + step * d)
-            if new_f <= f + 1e-4 * step * slope:
-                break
-            step /= 2
-        else:
-            break
-        s, t = step * d, new_g - g
-        if s @ t > 1e-12:
-            past = [*past[-9:], (s, t, 1 / (s @ t))]
-        done = f - new_f < 1e-7 * abs(f)
-        w, f, g = w + s, new_f, new_g
-        if done:
-            break
-    return w
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "views")
+    with short_lived_shuffles(spark):
+        rows.mapInArrow(see, f"{kinds}, words {VIEW}, meta {VIEW}").write.parquet(path)
+    return spark.read.schema(StructType([*[rows.schema[c] for c in keep], *[StructField(v, VectorUDT()) for v in WIDTH]])).parquet(path)
+
+
+def fitted(rows: DataFrame, view: str, label: str, penalty: float, steps: int, parts: int):
+    """Logistic regression on (view, label, weight): weights and, last, the (unpenalised) intercept
+    that minimise mean log-loss + penalty / 2 * |w|^2, summed over all rows in the cluster."""
+    return LogisticRegression(labelCol=label, featuresCol=view, weightCol="weight", regParam=penalty, standardization=False, maxIter=steps,
+                              tol=1e-6, family="binomial", rawPredictionCol="raw", probabilityCol="", predictionCol="").fit(rows.coalesce(parts))
+
 
+def with_margins(rows: DataFrame, models: dict) -> DataFrame:
+    """Margin m_<name> of each model; the views stay."""
+    for name, model in models.items():
+        rows = model.transform(rows).withColumn(f"m_{name}", vector_to_array("raw")[1]).drop("raw")
+    return rows
 
-def fitted(rows: DataFrame, view: str, width: int, penalty: float, steps: int) -> np.ndarray:
-    """Logistic regression on (view, good). The sample is bounded (FIT_ROWS and what the
-    rounds pass on), so one task holds it: a job a step would cost more than the steps."""
-    def fit(table: pa.Table) -> pa.Table:
-        cells = table.column(view).combine_chunks()
-        off = cells.offsets.to_numpy().astype(np.int64)
-        flat = cells.values.slice(off[0], off[-1] - off[0])
-        w = logistic(flat.field("i").to_numpy(), flat.field("v").to_numpy(), off - off[0], table.column("good").to_numpy().astype(float), width, penalty, steps)
-        return pa.table({"w": pa.array([w.tobytes()], pa.binary())})
 
-    return np.frombuffer(rows.select("good", view).groupBy().applyInArrow(fit, "w binary").first()["w"], np.float64)
+def in_step(spark, tasks: list) -> list:
+    """Results of the functions, run side by side."""
+    with ThreadPool(len(tasks)) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda f: f()), tasks)
 
 
 def margins(view, weights: np.ndarray) -> np.ndarray:
@@ -187,44 +158,27 @@ def margins(view, weights: np.ndarray) -> np.ndarray:
     return run[off[1:]] - run[off[:-1]] + weights[-1]
 
 
-def scored(rows: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """Margins of viewed rows by SQL functions alone would need a join; they come from one Arrow pass."""
-    names = [c for c in rows.columns if c not in ("words", "meta")]
-
-    def score(batches):
-        for batch in batches:
-            out = []
-            for view in ("words", "meta"):
-                cells = batch.column(view)
-                off = cells.offsets.to_numpy().astype(np.int64)
-                flat = cells.values.slice(off[0], off[-1] - off[0])
-                out.append(pa.array(margins((flat.field("i").to_numpy(), flat.field("v").to_numpy(), off - off[0]), weights[view])))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + out, names=[*names, "m_words", "m_meta"])
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(score, f"{kinds}, m_words double, m_meta double")
-
-
-def small_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-2) -> np.ndarray:
-    """A few-column logistic regression by Newton steps (calibration, combination)."""
+def small_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-2, even: bool = False) -> np.ndarray:
+    """A few-column logistic regression by Newton steps (calibration, combination); ``even``: both classes weigh the same."""
+    share = y.mean()
+    c = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) if even else np.ones(len(y))
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w = w - np.linalg.solve(h, x.T @ (p - y) + ridge * w)
+        h = (x * (c * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w = w - np.linalg.solve(h, x.T @ (c * (p - y)) + ridge * w)
     return w
 
 
 def _sure(pool: DataFrame, margin: str, line: np.ndarray) -> DataFrame:
-    """Rows that a view is sure of, with its label, a bounded number of each class."""
+    """All rows that a view is sure of, with its label."""
     p = 1 / (1 + F.exp(-(F.lit(float(line[0])) * F.col(margin) + F.lit(float(line[1])))))
-    marked = pool.withColumn("good", F.when(p >= SURE, 1).when(p <= 1 - SURE, 0)).where("good is not null")
-    return marked.where("good = 1").orderBy("draw").limit(PASSED_ON).union(marked.where("good = 0").orderBy("draw").limit(PASSED_ON))
+    return pool.withColumn("good", F.when(p >= SURE, 1).when(p <= 1 - SURE, 0)).where("good is not null")
 
 
 class QualityModel:
-    """Weights of the two views, their calibration lines and their combination."""
+    """Weights of the views and of the toxic words, their calibration lines and their combination."""
 
     def __init__(self, weights, lines, mixed):
         self.weights, self.lines, self.mixed = weights, lines, mixed
@@ -232,47 +186,73 @@ class QualityModel:
     def scores(self, buf: np.ndarray, off: np.ndarray, meta: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probability of each view, and the combined one."""
         views = {"words": text_view(buf, off), "meta": meta_view(meta)}
-        z = [self.lines[v][0] * margins(views[v], self.weights[v]) + self.lines[v][1] for v in views]
-        both = self.mixed[0] * z[0] + self.mixed[1] * z[1] + self.mixed[2]
-        return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*z, both))
+        z = {v: self.lines[v][0] * margins(views["words" if v == "toxic" else v], w) + self.lines[v][1] for v, w in self.weights.items()}
+        both = combined(z, self.mixed)
+        return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (z["words"], z["meta"], both))
+
+
+def combined(z: dict[str, np.ndarray], mixed: np.ndarray) -> np.ndarray:
+    """Log-odds from all regressions' calibrated log-odds."""
+    return sum(m * x for m, x in zip(mixed, z.values())) + mixed[-1]
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, meta_cols: list[str], good, id_col: str = "doc_id",
-                  text_col: str = "text", *, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS,
-                  rounds: int = ROUNDS) -> QualityModel | None:
-    """Co-train on the labelled documents; None if the labels don't hold both classes."""
-    known = (labels.select(F.col(id_col).alias("id"), good.cast("int").alias("good")).where("good is not null and id is not null")
-             .groupBy("id").agg(F.min("good").alias("good")))
-    n = known.groupBy("good").count().collect()
-    n_docs = docs.count()
-    if len(n) < 2 or not n_docs:
+                  text_col: str = "text", *, toxic=None, rounds: int = ROUNDS) -> QualityModel | None:
+    """Co-train on all documents; None if the labels don't hold both classes. ``toxic`` is a label
+    (1 or 0) of its own, by default the column of that name if the labels have one."""
+    spark = docs.sparkSession
+    if toxic is None:
+        toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None)
+    known = (labels.select(F.col(id_col).cast("long").alias("id"), good.cast("int").alias("good"), toxic.cast("int").alias("toxic"))
+             .where("good is not null and id is not null").groupBy("id").agg(F.min("good").alias("good"), F.max("toxic").alias("toxic")))
+    if len(known.select("good").distinct().take(2)) < 2 or docs.isEmpty():
         return None
-    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c) for c in dict.fromkeys([text_col, *meta_cols])])
-    drawn = rows.join(known.where(draw < fit_rows / sum(r["count"] for r in n)), "id")
-    base = written(viewed(drawn.withColumn("draw", F.xxhash64("id", F.lit(7))), text_col, meta_cols, ["id", "good", "draw"]), "labelled")
-    pool = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_003)) / 1_000_003 < pool_rows / n_docs)
-    pool = written(viewed(pool.join(known.select("id"), "id", "left_anti").withColumn("draw", F.xxhash64("id", F.lit(7))),
-                          text_col, meta_cols, ["id", "draw"]), "pool")
-    apart = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0
+    every = viewed(rows.join(known, "id", "left"), text_col, meta_cols, ["id", "good", "toxic"]).withColumn("weight", F.lit(1.0))
+    n = {(r["good"], r["toxic"]): r["count"] for r in every.groupBy("good", "toxic").count().collect()}
+    parts = max(1, -(-sum(n.values()) // PART_ROWS))
+    n_known = sum(c for (g, _), c in n.items() if g is not None)
+    base, pool = every.where("good is not null"), every.where("good is null")
+    apart = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_003)) < 1_000_003 * min(0.2, HELD_ROWS / max(n_known, 1))
     fit, held = base.where(~apart), base.where(apart)
     if len(fit.select("good").distinct().take(2)) < 2 or len(held.select("good").distinct().take(2)) < 2:
         fit = held = base
-    width = {"words": (1 << WORD_BITS) + N_STYLE, "meta": 1 << META_BITS}
-    own = {"words": fit.select("good", "words"), "meta": fit.select("good", "meta")}
+    if len(base.select("good").distinct().take(2)) < 2:
+        return None
+    own = {"words": fit.select("good", "weight", "words"), "meta": fit.select("good", "weight", "meta")}
+
+    def view_fit(v):
+        if v == "meta":                                  # equal rows as one
+            rows = own[v].groupBy("good", "meta").agg(F.sum("weight").alias("weight"))
+            return fitted(rows, v, "good", *FIT[v], parts)
+        return fitted(own[v], v, "good", *FIT[v], parts)
+
+    def toxic_fit():
+        told = fit.where("toxic is not null")
+        count = {r["toxic"]: r["count"] for r in told.groupBy("toxic").count().collect()}
+        if set(count) != {0, 1} or held.where("toxic is not null").select("toxic").distinct().count() < 2:
+            return None
+        weight = F.when(F.col("toxic") == 1, count[0] / count[1]).otherwise(1.0)
+        return fitted(told.select("toxic", weight.alias("weight"), "words"), "words", "toxic", *FIT["toxic"], parts)
+
+    models = {}
     for turn in range(rounds + 1):
-        weights = {v: fitted(own[v], v, width[v], *FIT[v]) for v in own}
-        told = scored(held, weights).select("good", "m_words", "m_meta").toPandas()
-        y = told["good"].to_numpy(float)
-        lines = {v: small_logistic(told[[f"m_{v}"]].to_numpy(), y) for v in own}
+        tasks = [lambda: view_fit("words"), lambda: view_fit("meta")]
+        found = in_step(spark, tasks if turn else [*tasks, toxic_fit])
+        models |= {v: m for v, m in zip(("words", "meta", "toxic"), found) if m is not None}
+        told = with_margins(held, models).select("good", "toxic", *[f"m_{v}" for v in models]).toPandas()
+        lines = {}
+        for v in models:
+            seen = told[told["toxic"].notna()] if v == "toxic" else told
+            lines[v] = small_logistic(seen[[f"m_{v}"]].to_numpy(), seen["toxic" if v == "toxic" else "good"].to_numpy(float))
         if turn == rounds:
             break
-        guessed = written(scored(pool.select("id", "draw", "words", "meta"), weights), "guessed")
         for v, other in (("words", "meta"), ("meta", "words")):
-            passed = _sure(guessed, f"m_{v}", lines[v]).select("id", "good")
-            own[other] = fit.select("good", other).union(pool.join(F.broadcast(passed), "id").select("good", other))
-    both = np.stack([lines[v][0] * told[f"m_{v}"].to_numpy() + lines[v][1] for v in ("words", "meta")], 1)
-    return QualityModel(weights, lines, small_logistic(both, y))
+            passed = _sure(with_margins(pool, {v: models[v]}), f"m_{v}", lines[v])
+            own[other] = fit.select("good", "weight", other).union(passed.select("good", "weight", other))
+    z = np.stack([lines[v][0] * told[f"m_{v}"].to_numpy() + lines[v][1] for v in models], 1)
+    weights = {v: np.append(m.coefficients.toArray(), m.intercept) for v, m in models.items()}
+    return QualityModel(weights, lines, small_logistic(z, told["good"].to_numpy(float), even=True))
 
 
 def judge_quality(docs: DataFrame, model: QualityModel | None, meta_cols: list[str], id_col: str = "doc_id",

@@ -157,6 +157,23 @@ def test_quality_edges(spark, make_docs):
     assert Q.quality(make_docs([]), both).count() == 0
 
 
+def test_quality_pseudo_labels_have_no_cap(spark):
+    pool = spark.range(9000).select("id", F.col("id").alias("draw"), (F.col("id") % 3 - 1).cast("double").alias("m"))
+    got = Q._sure(pool, "m", np.array([10.0, 0.0])).groupBy("good").count().collect()
+    assert sorted((r["good"], r["count"]) for r in got) == [(0, 3000), (1, 3000)]
+
+
+def test_quality_fits_toxic_texts_apart(spark, make_docs):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(30)) + (" vile" if k % 20 == 0 else "") for k in range(600)]
+    docs = make_docs(rows_of(texts))
+    labels = spark.createDataFrame([(k, int(k % 7 > 0), int(k % 20 == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
+    model = Q.train_quality(docs, labels, ["lang"], Q.good_label(), rounds=0)
+    assert set(model.weights) == {"words", "meta", "toxic"}
+    got = Q.judge_quality(docs, model, ["lang"]).where("doc_id >= 400 and doc_id % 20 = 0").collect()
+    assert len(got) == 10 and not any(r.keep for r in got)
+
+
 # -------------------------------------------------------------- licenses
 
 def test_license_scan(spark, make_docs):
