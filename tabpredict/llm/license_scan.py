@@ -1,9 +1,10 @@
 """License scan by conditional compression.
 
-Lines that share enough words with a template are candidates. Each is compressed
-with every template in turn as a zstandard raw dictionary; the template that saves
-most is the likely source. It is confirmed by the exact difference in wording: which
-words the line lacks and which it has beyond the template.
+Windows of words that share enough words with a template are candidates; white space and
+line breaks don't count, so a notice may be wrapped, and a line may hold several. Each
+window is aligned with its template: which words it lacks and which it has beyond the
+template. Few enough differences, none of them in a word that names another license,
+and bytes saved by the template as a zstandard raw dictionary confirm the notice.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import ALNUM, lower_codes, text_bytes, word_bounds, word_hashes
 from .decontaminate import plain_words, slices
 
 #: Wording of common notices, a line each.
@@ -30,7 +31,9 @@ TEMPLATES = {
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
                 "Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+                "Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -39,10 +42,15 @@ TEMPLATES = {
     "CC0-1.0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
     "all-rights-reserved": ["All rights reserved."],
 }
-#: A line is a candidate if so large a share of a template's words is in it, and confirmed if so few of them differ.
+#: A window is a candidate if so large a share of a template's distinct words is in it, and confirmed if so few words differ.
 SHARED, DIFFERENT = 0.6, 0.25
+#: Words that tell licenses apart, besides numbers. None of them may be missing or added.
+TELLING = set("mit apache gnu affero lesser library mozilla cc cc0 nc nd sa noncommercial noderivatives noderivs sharealike bsd".split())
 SLICE_BYTES = 2 << 20
 
+#: Words are runs of ASCII letters, digits and bytes beyond ASCII.
+WORDS = ALNUM.copy()
+WORDS[0x41:0x5B] = True
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 FOUND = "array<struct<line:int,license:string,saved:int,exact:boolean,missing:array<string>,added:array<string>>>"
 RESULT = f"doc_id long, n_lines long, n_candidates long, licenses array<string>, found {FOUND}"
@@ -54,97 +62,131 @@ def spoken(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def wording(template: list[str], line: list[str]) -> tuple[list[str], list[str]]:
-    """Words of the template that the best-matching part of the line lacks, and words put between them.
-    What stands before the first and behind the last common word is not the notice's."""
-    missing, added = [], []
-    steps = difflib.SequenceMatcher(None, template, line, autojunk=False).get_opcodes()
+def wording(template: list[str], words: list[str]) -> tuple[list[str], list[str], int, int]:
+    """Words of the template that the best-matching part of the words lacks, words put between them,
+    and where that part begins and ends. What stands around it is not the notice's."""
+    missing, added, first, last = [], [], len(words), 0
+    steps = difflib.SequenceMatcher(None, template, words, autojunk=False).get_opcodes()
     for k, (what, a, b, c, d) in enumerate(steps):
-        if what != "equal":
+        if what == "equal":
+            first, last = min(first, c), d
+        else:
             missing += template[a:b]
             if 0 < k < len(steps) - 1:
-                added += line[c:d]
-    return missing, added
+                added += words[c:d]
+    return missing, added, first, last
 
 
 class Scanner:
-    """Templates as raw dictionaries, and the words that tell of them."""
+    """Templates as raw dictionaries."""
 
-    def __init__(self, templates: dict[str, list[str]]):
+    def __init__(self, templates: list[tuple[str, str]]):
         import zstandard
-        self.z = zstandard
-        self.names = [(name, spoken(line), line) for name, lines in templates.items() for line in lines]
+        self.names = [(name, spoken(line)) for name, line in templates]
         self.plain = zstandard.ZstdCompressor(level=19)
         self.given = [zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(
-            line.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, line in self.names]
-
-    def judge(self, line: str):
-        """(license, bytes saved, missing, added) of the first template in the ranking that the wording confirms, or None."""
-        raw, own = line.lower().encode(), spoken(line)
-        size = len(self.plain.compress(raw))
-        ranked = sorted(((len(c.compress(raw)) - size, -len(words), name, words) for c, (name, words, _) in zip(self.given, self.names)), key=lambda x: x[:3])
-        best = None
-        for saved, _, name, words in ranked:
-            if saved >= 0:
-                break
-            missing, added = wording(words, own)
-            if len(missing) + len(added) <= DIFFERENT * len(words):
-                key = ((len(missing) + len(added)) / len(words), saved, -len(words), name)
-                if best is None or key < best[0]:
-                    best = key, (name, -saved, missing, added)
-        return best and best[1]
+            line.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, line in templates]
+
+    def saved(self, k: int, text: str) -> int:
+        """Bytes that the template saves on a text."""
+        raw = " ".join(text.lower().split()).encode()
+        return len(self.plain.compress(raw)) - len(self.given[k].compress(raw))
+
+    def notices(self, windows: list[tuple[int, int, int, bool]], read) -> list[dict]:
+        """Non-overlapping confirmed notices of a text. ``windows``: template, first word, end, and whether the
+        words there are the template's own; ``read(i, j)``: the text of the words i to j."""
+        out: list[dict] = []
+
+        def accept(found):
+            for key, k, first, end, missing, added in sorted(found, key=lambda x: x[0]):
+                if all(end <= o["first"] or o["end"] <= first for o in out):
+                    out.append({"first": first, "end": end, "license": self.names[k][0], "saved": -key[1], "exact": not missing and not added,
+                                "missing": missing, "added": added})
+
+        def key(k, first, end, n):
+            name, own = self.names[k]
+            return n / len(own), -self.saved(k, read(first, end)), -len(own), name, first
+
+        accept([(x, k, at, at + len(self.names[k][1]), [], []) for k, at, _, same in windows if same
+                for x in [key(k, at, at + len(self.names[k][1]), 0)] if x[1] < 0])
+        taken, found = sorted((o["first"], o["end"]) for o in out), []
+        for k, at, end, same in windows:
+            if same or any(a <= at < b for a, b in taken):
+                continue
+            end = min([end, *(a for a, _ in taken if a > at)])
+            name, own = self.names[k]
+            missing, added, first, last = wording(own, spoken(read(at, end)))
+            if len(missing) + len(added) > DIFFERENT * len(own) or any(w in TELLING or w.isdigit() for w in missing + added):
+                continue
+            x = key(k, at + first, at + last, len(missing) + len(added))
+            if x[1] < 0:
+                found.append((x, k, at + first, at + last, missing, added))
+        accept(found)
+        return sorted(out, key=lambda o: o["first"])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """License notices in every text, line by line.
-
-    Returns one row per input row: doc_id, n_lines, n_candidates, licenses (distinct, sorted) and
-    found: line number (from 0), license, bytes saved, exact (same words in the same order),
-    missing and added words. Among confirmed templates the closest in wording wins, then the
-    larger saving, the longer template, the name. A null or empty text has no lines. Repeated
-    rows give equal rows, a notice on several lines is listed for each. An empty table gives
-    no rows. Other columns are not read."""
-    texts = pa.array([line for lines in templates.values() for line in lines], pa.large_string())
-    codes, off = plain_words(*text_bytes(texts))
+    """License notices in every text, wherever its lines break.
+
+    Returns one row per input row: doc_id, n_lines, n_candidates (places where windows are like a
+    template), licenses (distinct, sorted) and found, every notice that overlaps no better one: line
+    number of its first word (from 0), license, bytes saved, exact (same words in the same order),
+    missing and added words. Of overlapping ones the closest in wording wins, then the larger saving,
+    the longer template, the name. A null or empty text has no lines. Repeated rows give equal
+    rows. An empty table gives no rows. Other columns are not read."""
+    every = [(name, line) for name, lines in templates.items() for line in lines if spoken(line)]
+    codes, off = plain_words(*text_bytes(pa.array([line for _, line in every], pa.large_string())))
     vocabulary = np.unique(codes)
-    # templates by word: how many of its distinct words does a line hold?
-    owns = np.zeros((len(texts), len(vocabulary)), bool)
-    for k in range(len(texts)):
-        owns[k, np.searchsorted(vocabulary, codes[off[k]:off[k + 1]])] = True
+    own_codes = [codes[a:b] for a, b in zip(off, off[1:])]
+    owns = np.zeros((len(every), len(vocabulary)), bool)
+    for k, own in enumerate(own_codes):
+        owns[k, np.searchsorted(vocabulary, own)] = True
     need = np.ceil(SHARED * owns.sum(1))
+    # a confirmed notice lacks at most ``slack`` words and has at most so many more
+    slack = [int(DIFFERENT * len(own)) for own in own_codes]
+
+    def windows(words, woff):
+        """By text: (template, first word, end, same words) of every window that holds enough words of a template."""
+        at = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
+        known = np.flatnonzero(vocabulary[at] == words) if len(vocabulary) else np.zeros(0, np.int64)
+        kind, end = at[known], woff[np.searchsorted(woff, known, "right")]
+        out: dict[int, list] = {}
+        for k, own in enumerate(own_codes):
+            mine = owns[k][kind]
+            first, kinds = known[mine], kind[mine]
+            stop = np.minimum(first + len(own) + slack[k], end[mine])
+            held = np.searchsorted(first, stop) - np.arange(len(first))
+            for i in np.flatnonzero(held >= len(own) - slack[k]).tolist():
+                if len(np.unique(kinds[i:i + held[i]])) >= need[k]:
+                    a, b = int(first[i]), int(stop[i])
+                    doc = int(np.searchsorted(woff, a, "right")) - 1
+                    out.setdefault(doc, []).append((k, a, b, b - a >= len(own) and bool((words[a:a + len(own)] == own).all())))
+        return out
 
     def run(batches):
-        scanner = Scanner(templates)
+        scanner = Scanner(every)
         for batch in batches:
             buf, doc_off = text_bytes(batch.column(1))
             for lo, hi in slices(doc_off, SLICE_BYTES):
                 part, poff = buf[doc_off[lo]:doc_off[hi]], doc_off[lo:hi + 1] - doc_off[lo]
+                feeds = np.concatenate([[0], np.cumsum(part == 0x0A)])
                 # a line ends behind its line feed or with its text
-                ends = np.unique(np.concatenate([np.flatnonzero(part == 0x0A) + 1, poff[1:][np.diff(poff) > 0]]))
-                loff = np.concatenate([[0], ends])
-                words, woff = plain_words(part, loff)
-                at = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
-                known = np.flatnonzero(vocabulary[at] == words) if len(vocabulary) else np.zeros(0, np.int64)
-                line = np.searchsorted(woff, known, "right") - 1
-                pairs = np.unique(line * len(vocabulary) + at[known])
-                lines, first = np.unique(pairs // max(len(vocabulary), 1), return_index=True)
-                doc_of = np.searchsorted(poff, loff[:-1], "right") - 1
-                first_line = np.searchsorted(loff[:-1], poff)
-                found: dict[int, list] = {}
-                candidates = np.zeros(hi - lo, np.int64)
-                cells = np.split(pairs % max(len(vocabulary), 1), first[1:]) if len(lines) else []
-                for k, held in zip(lines.tolist(), cells):
-                    if len(held) >= need.min() and (owns[:, held].sum(1) >= need).any():
-                        doc = int(doc_of[k])
-                        candidates[doc] += 1
-                        got = scanner.judge(part[loff[k]:loff[k + 1]].tobytes().decode("utf-8", "replace").strip())
-                        if got:
-                            name, saved, missing, added = got
-                            found.setdefault(doc, []).append({"line": int(k - first_line[doc]), "license": name, "saved": saved,
-                                                              "exact": not missing and not added, "missing": missing, "added": added})
-                cell = [found.get(k, []) for k in range(hi - lo)]
+                n_lines = feeds[poff[1:]] - feeds[poff[:-1]]
+                full = np.flatnonzero(np.diff(poff))
+                n_lines[full] += part[poff[full + 1] - 1] != 0x0A
+                starts, ends, woff = word_bounds(part, poff, WORDS)
+                like = windows(word_hashes(part, starts, ends, lower_codes()), woff)
+                found, candidates = {}, np.zeros(hi - lo, np.int64)
+                for doc, seen in like.items():
+                    reach = -1
+                    for _, a, b, _ in sorted(seen, key=lambda x: x[1:3]):
+                        candidates[doc] += a >= reach
+                        reach = max(reach, b)
+                    found[doc] = [{"line": int(feeds[starts[o.pop("first")]] - feeds[poff[doc]]), **o}
+                                  for o in scanner.notices(seen, lambda i, j: part[starts[i]:ends[j - 1]].tobytes().decode("utf-8", "replace"))]
+                cell = [[{f: v for f, v in o.items() if f != "end"} for o in found.get(k, [])] for k in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo), pa.array(np.bincount(doc_of, minlength=hi - lo)[:hi - lo].astype(np.int64)), pa.array(candidates),
+                    batch.column(0).slice(lo, hi - lo), pa.array(n_lines.astype(np.int64)), pa.array(candidates),
                     pa.array([sorted({f["license"] for f in c}) for c in cell], pa.list_(pa.string())), pa.array(cell, FOUND_ARROW)],
                     names=["doc_id", "n_lines", "n_candidates", "licenses", "found"])
 

@@ -194,6 +194,27 @@ def test_license_scan(spark, make_docs):
     assert scan_licenses(make_docs([])).count() == 0
 
 
+def test_license_notices_across_lines(spark, make_docs):
+    from tabpredict.llm.license_scan import TEMPLATES
+
+    def wrapped(text, n=9, lead=" * "):
+        words = text.split()
+        return "\n".join(lead + " ".join(words[k:k + n]) for k in range(0, len(words), n))
+
+    mit, gpl, bsd = TEMPLATES["MIT"][2], TEMPLATES["GPL-3.0"][1], TEMPLATES["BSD-3-Clause"][0]
+    texts = ["x y\n" + wrapped(mit) + "\nz", wrapped(gpl), wrapped(bsd, 5, "# "), wrapped(mit.replace("sublicense, ", "")),
+             "words Released under the MIT License. more of the words here Licensed under CC BY-NC 4.0. end",
+             "This work is licensed under the GNU Affero General Public License, version 3.",
+             "This work is licensed under the GNU Lesser General Public License, version 3.",
+             wrapped(gpl.replace("GNU General", "GNU Lesser General")), "Licensed under the Apache License, Version 1.1.",
+             "All rights reserved. All rights\nreserved."]
+    got = {r.doc_id: r for r in scan_licenses(make_docs(rows_of(texts))).collect()}
+    assert [got[k].licenses for k in range(10)] == [["MIT"], ["GPL-3.0"], ["BSD-3-Clause"], ["MIT"], ["CC-BY-NC-4.0", "MIT"], [], [], [], [], ["all-rights-reserved"]]
+    assert [(f.line, f.exact) for f in got[0].found] == [(1, True)]
+    assert [(f.exact, f.missing, f.added) for f in got[3].found] == [(False, ["sublicense"], [])]
+    assert [f.license for f in got[4].found] == ["MIT", "CC-BY-NC-4.0"] and [f.line for f in got[9].found] == [0, 0]
+
+
 # -------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark, make_docs, texts, tmp_path):
