@@ -37,11 +37,14 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
-#: Fixed values of HTML: elements without content, elements whose content is no text, block elements.
+#: Fixed values of HTML: elements without content, elements whose content is no text, elements that a trailing slash
+#: closes (as all in them), block elements, and what stands in a select.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe svg math object select".split())
+RAW = set("script style title textarea iframe noscript".split())
+FOREIGN = {"svg", "math"}
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
             "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul button label option".split())
+CHOICES = {"option", "button", "legend"}
 #: An element that a new one of the key's tag closes, up to one of the stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, set())}
@@ -67,6 +70,8 @@ class Page:
         self.parent, self.tag, self.tokens, self.mark, self.unit = [-1], ["html"], [()], [None], [True]
         self.pieces: list[tuple[int, str]] = []          # (node, text); node -1: a border between blocks
         stack, at, end, head = [0], 0, len(source), 0
+        opened: dict[int, int] = {}                      # templates that are not shown, with their first piece
+        seen = set()                                     # which of select, svg and math the page holds
         for m in iter(lambda: TAG.search(source, at), None):
             if m.start() > at:
                 self.pieces.append((stack[-1], source[at:m.start()]))
@@ -81,9 +86,15 @@ class Page:
                     self.pieces.append((-1, ""))
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] == name:
+                        if stack[k] in opened:
+                            self.pieces[opened[stack[k]]:] = [(-1, "")]
                         del stack[k:]
                         break
                 continue
+            attributes = m[3] or m[6] or ""
+            foreign = name in FOREIGN or bool(seen & FOREIGN) and any(self.tag[k] in FOREIGN for k in stack)
+            if foreign and attributes.rstrip().endswith("/"):
+                continue
             if name in RAW:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = close.end() if close else end
@@ -98,11 +109,16 @@ class Page:
                 continue
             if name in BLOCK:
                 self.pieces.append((-1, ""))
+                # blocks end a drawing, a formula or a list of choices that was left open
+                if foreign:
+                    self._close(stack, FOREIGN, {"foreignobject", "annotation-xml", "desc"})
+                if "select" in seen and name not in CHOICES:
+                    self._close(stack, {"select"}, {"template"})
                 self._close(stack, {"p"}, {"td", "th", "caption", "button", "table"} if name != "p" else {"td", "th", "caption", "button"})
                 if name in CLOSES:
                     self._close(stack, *CLOSES[name])
             values, mark = [], None
-            for a in ATTRIBUTE.finditer(m[3] or m[6] or ""):
+            for a in ATTRIBUTE.finditer(attributes):
                 value = a[2] or a[3] or a[4] or ""
                 if a[1].lower() == "data-y":
                     mark = int(value == "1")
@@ -114,6 +130,10 @@ class Page:
             self.mark.append(mark)
             self.unit.append(name in BLOCK or bool(values))
             stack.append(len(self.tag) - 1)
+            if name == "select" or name in FOREIGN:
+                seen.add(name)
+            if name == "template" and "shadowroot" not in attributes.lower():
+                opened[stack[-1]] = len(self.pieces)
         if at < end:
             self.pieces.append((stack[-1], source[at:]))
 

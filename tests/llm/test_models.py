@@ -100,6 +100,19 @@ def test_parser_keeps_blocks():
         assert page.text(np.ones(len(page.tag))) == want, source
 
 
+def test_parser_keeps_what_follows_open_elements():
+    for inside, want in [("<svg viewBox='0 0 1 1'/>", ""), ("<math/>", ""), ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1"), ("<svg><path d='M0'/><title/></svg>", ""),
+                         ("<svg><text>label</text></svg>", "label"), ("<svg><g>", ""), ("<math><mi>y</mi>", "y"), ("<object data=a>", ""), ("<object>other</object>", "other"),
+                         ("<select><option>A<option>B</select>", "A\n\nB"), ("<select><option>A", "A"), ("<select>", ""), ("<template>", ""),
+                         ("<template><p>no</p></template>", ""), ("<iframe>no</iframe><noscript>no</noscript>", "")]:
+        page = H.Page(f"<article><p>one</p>{inside}<p>two</p></article><p>three</p>")
+        assert page.text(np.ones(len(page.tag))) == "\n\n".join(filter(None, ["one", want, "two", "three"])), inside
+        at = next(n for n, t in page.pieces if t == "two")
+        while at > 0:
+            at = page.parent[at]
+            assert page.tag[at] not in ("svg", "math", "select", "option"), inside
+
+
 def test_no_kept_node_in_a_dropped_one():
     page = H.Page("<div><section><p>a</p></section></div><p>b</p>")
     assert page.text(np.array([1, -4, -4, 1.5, 1])) == "b"
