@@ -14,6 +14,7 @@ from ..operators.boost import boost
 from ..operators.scale import apply_scaler, fit_scaler
 from ..operators.select import top_k
 from ..operators.split import assign_folds, split_holdout_sized
+from ..session import shared_dir
 from ..sources.models import load_model, save_model
 from ..sources.tables import CHURN_FEATURES, LINE_FEATURES, churn_obs, line_obs
 from .registry import query
@@ -22,12 +23,17 @@ KEEP = ["row_key", "label"]
 
 # Boosted-tree settings of the reference's "advanced" set
 # (learning rate, depth, min rows per leaf, min hessian, L1, L2, feature
-# fraction, positive-class weight, bins), with few rounds for the queries.
+# fraction, positive-class weight, bins).
 GBT_PARAMS = dict(step=0.01, depth=5, min_rows=21, bins=140, feature_fraction=0.5, pos_weight=99.0)
 BOOST_PARAMS = dict(learning_rate=0.01, max_depth=5, min_rows=21, min_hessian=5.0, l1=0.5, l2=0.5,
                     pos_weight=99.0, max_bins=140)
-QUERY_ROUNDS = 5
-MAX_EXACT_MONOMIALS = 2000   # wider cubic maps switch to the tensor sketch
+#: Defaults of the queries' parameters, the reference's: boosting rounds of a model (and of its
+#: continuation), depths and trees of the forest sweep, sizes of the two importance lists.
+ROUNDS = 1000
+SWEEP_DEPTHS, SWEEP_TREES = tuple(range(1, 11)), 25
+TOP_SPLITS, TOP_IMPORTANCE = 10, 20
+#: Rounds of each cell of the (reduced, see README) grid search.
+GRID_ROUNDS = 5
 
 
 def line_split(spark, sf):
@@ -70,47 +76,48 @@ def train_random_forest(spark, sf):
     return M.scored(M.train_random_forest(tr, num_trees=10, max_depth=6), te, KEEP)
 
 
-def gbt_model(spark, sf, rounds=QUERY_ROUNDS):
+def gbt_model(spark, sf, rounds=ROUNDS):
+    shared_dir(spark)            # many rounds need checkpoints
     tr, te = line_sets(spark, sf)
     return M.train_gbt(tr, rounds=rounds, **GBT_PARAMS), tr, te
 
 
 @query("train_gbt")
-def train_gbt(spark, sf):
-    model, _, te = gbt_model(spark, sf)
+def train_gbt(spark, sf, rounds=ROUNDS):
+    model, _, te = gbt_model(spark, sf, rounds)
     return M.scored(model, te, KEEP)
 
 
 @query("train_gbt_continue")
-def train_gbt_continue(spark, sf):
-    model, tr, te = gbt_model(spark, sf)
-    more = boost(tr, rounds=QUERY_ROUNDS, init=model, **BOOST_PARAMS)
+def train_gbt_continue(spark, sf, rounds=ROUNDS, more_rounds=ROUNDS):
+    model, tr, te = gbt_model(spark, sf, rounds)
+    more = boost(tr, rounds=more_rounds, init=model, **BOOST_PARAMS)
     return more.transform(te).select(*KEEP, "prediction", "p1")
 
 
 @query("gbt_round_metrics")
-def gbt_round_metrics(spark, sf):
+def gbt_round_metrics(spark, sf, rounds=ROUNDS):
     tr, _ = line_sets(spark, sf)
-    m = boost(tr, rounds=QUERY_ROUNDS, track_auc=True, **BOOST_PARAMS)
+    m = boost(tr, rounds=rounds, track_auc=True, **BOOST_PARAMS)
     auc = dict(m.auc_history)
     return spark.createDataFrame([(int(n), float(v), auc.get(n)) for n, v in m.history],
                                  "n_trees int, train_log_loss double, train_auc double")
 
 
 @query("select_top_importance")
-def select_top_importance(spark, sf):
-    model, _, _ = gbt_model(spark, sf)
+def select_top_importance(spark, sf, rounds=ROUNDS, k=TOP_SPLITS):
+    model, _, _ = gbt_model(spark, sf, rounds)
     imp = spark.createDataFrame(M.split_counts(model, LINE_FEATURES), "feature string, importance long")
-    return top_k(imp, 3)
+    return top_k(imp, k)
 
 
 @query("top_k_importance")
-def top_k_importance(spark, sf):
+def top_k_importance(spark, sf, k=TOP_IMPORTANCE):
     tr, _ = line_sets(spark, sf)
     rf = M.train_random_forest(tr, num_trees=10, max_depth=6)
     imp = spark.createDataFrame([(f, float(v)) for f, v in zip(LINE_FEATURES, rf.featureImportances.toArray())],
                                 "feature string, importance double")
-    return top_k(imp, 2)
+    return top_k(imp, k)
 
 
 @query("model_roundtrip")
@@ -137,9 +144,7 @@ def _mapped_sets(spark, sf, kind: str):
     sets = line_sets(spark, sf, scaled=True)
     tr, te = sets
     gamma = M.gamma_scale(tr, LINE_FEATURES)
-    if kind == "sketch" or (kind == "poly"
-                            and M.cubic_width(len(LINE_FEATURES)) > MAX_EXACT_MONOMIALS):
-        # wide inputs: sketch the cubic kernel instead of listing monomials
+    if kind == "sketch":         # the caller's choice: an estimate of the cubic kernel for wide inputs
         out = LineSets((M.tensor_sketch(tr, LINE_FEATURES, gamma, KEEP),
                         M.tensor_sketch(te, LINE_FEATURES, gamma, KEEP)))
         out.n_train = sets.n_train
@@ -220,18 +225,18 @@ def forest_prefix_accuracy(tr, te, depths, max_trees, label="label"):
 
 
 @query("sweep_random_forest")
-def sweep_random_forest(spark, sf):
+def sweep_random_forest(spark, sf, depths=SWEEP_DEPTHS, max_trees=SWEEP_TREES):
     tr, te = line_sets(spark, sf)
-    return forest_prefix_accuracy(tr, te, depths=[2, 4, 6], max_trees=5)
+    return forest_prefix_accuracy(tr, te, depths=depths, max_trees=max_trees)
 
 
 @query("grid_search_gbt")
-def grid_search_gbt(spark, sf):
+def grid_search_gbt(spark, sf, rounds=GRID_ROUNDS, depths=(2, 3), steps=(0.1, 0.3)):
     d = assign_folds(churn_obs(spark, sf), "row_id", 4)
     d = M.assemble(d, CHURN_FEATURES)
-    gbt = M.GBTClassifier(labelCol="label", featuresCol="features", maxIter=QUERY_ROUNDS, seed=1337)
-    grid = (ParamGridBuilder().addGrid(gbt.maxDepth, [2, 3])
-            .addGrid(gbt.stepSize, [0.1, 0.3]).build())
+    gbt = M.GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, seed=1337)
+    grid = (ParamGridBuilder().addGrid(gbt.maxDepth, list(depths))
+            .addGrid(gbt.stepSize, list(steps)).build())
     cv = CrossValidator(estimator=gbt, estimatorParamMaps=grid, foldCol="fold",
                         evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"),
                         numFolds=4, parallelism=4, seed=1337)

@@ -195,3 +195,20 @@ def test_logistic_gradient_vanishes_at_optimum(spark, line):
     for c, wc in zip(feats, w):
         assert abs(g[c] + reg * wc) < 1e-4
     assert abs(g["b"]) < 1e-4
+
+
+def test_training_queries_take_their_size(spark):
+    import inspect
+
+    from tabpredict.plans import q_train as T
+
+    default = lambda f: {k: p.default for k, p in inspect.signature(f).parameters.items() if p.default is not p.empty}
+    assert default(T.train_gbt) == default(T.gbt_round_metrics) == {"rounds": 1000}
+    assert default(T.train_gbt_continue) == {"rounds": 1000, "more_rounds": 1000}
+    assert default(T.sweep_random_forest) == {"depths": tuple(range(1, 11)), "max_trees": 25}
+    assert default(T.select_top_importance)["k"] == 10 and default(T.top_k_importance)["k"] == 20
+    small = "/root/testdata/sf0.001"
+    assert T.gbt_round_metrics(spark, small, rounds=2).count() == 2
+    assert T.sweep_random_forest(spark, small, depths=(1, 3), max_trees=4).count() == 8
+    assert T.train_gbt_continue(spark, small, rounds=2, more_rounds=1).count() > 0
+    assert T.top_k_importance(spark, small).count() == 4
