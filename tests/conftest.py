@@ -7,9 +7,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -32,4 +29,6 @@ def spark():
 @pytest.fixture(scope="session")
 def duck_small():
     from check_oracle import duck
+    from paths import SF_SMALL
+
     return duck(SF_SMALL)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 from tabpredict.operators import evaluate as EV
 from tabpredict.operators import models as M
 from tabpredict.operators.bayes import fit_gaussian_nb

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 from tabpredict.functions.expr import inverse_log
 from tabpredict.operators import clean as C
 from tabpredict.operators import evaluate as EV

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from check_oracle import compare
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 SQL = E.oracle_sql()
 QUERIES = E.queries()
