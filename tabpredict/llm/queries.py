@@ -12,6 +12,7 @@ from .decontaminate import decontaminate
 from .html_extract import extract, train_extractor
 from .jaccard_join import jaccard_join
 from .license_scan import scan_licenses
+from .line_dedup import line_dedup
 from .neighbours import nearest
 from .packing import pack
 from .quality import quality
@@ -154,3 +155,18 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op13_line_dedup", """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+k AS (SELECT doc_id, i, l[i] AS line, translate(trim(l[i], concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM x),
+g AS (SELECT k, max(doc_id) AS last FROM k WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT doc_id, i, line, g.k IS NOT NULL AND last <> doc_id AS gone FROM k LEFT JOIN g USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id""")
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
