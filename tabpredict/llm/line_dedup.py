@@ -56,8 +56,9 @@ def dropped_lines(entries: DataFrame, min_docs: int) -> DataFrame:
     in a document with a larger id. ``entries`` is read three times: a written table."""
     n = entries.count()
     parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    # 64 sketches, then one of them; in one partition, as combine fails on a partition without any
     sketches = entries.groupBy((F.spark_partition_id() % 64).alias("some")).agg(F.expr(f"approx_top_k_accumulate(h1, {HOT_TRACKED})").alias("s"))
-    found = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {HOT_TRACKED}), {HOT_KEYS})").alias("top"))
+    found = sketches.repartition(1).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {HOT_TRACKED}), {HOT_KEYS})").alias("top"))
     often = F.col("h1").isin([r["item"] for r in (found.first()["top"] if n else []) if r["count"] > n / (4 * parts)])
 
     # frequent keys: exact figures by partial sums; entries are judged where they lie
