@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_trie import prefix_trie
 from .decontaminate import decontaminate
 from .html_extract import extract, train_extractor
 from .jaccard_join import jaccard_join
@@ -170,3 +171,25 @@ FROM j GROUP BY doc_id""")
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op12_conversation_prefix_trie", """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i,
+                  {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(x ORDER BY i) AS own,
+             xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                 lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+                     lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295) % 9 AS h FROM t GROUP BY c),
+q AS (SELECT o.c, list_concat(coalesce(b.own, [])[1:o.h], o.own[o.h + 1:]) AS q FROM o LEFT JOIN o b ON b.c = o.c - o.c % 5),
+r AS (SELECT c, d, len(q) = d AS e, octet_length(encode(q[d].t)) AS nb, md5(to_json(q[1:d])) AS k FROM (SELECT *, unnest(range(0, len(q) + 1)) AS d FROM q)),
+n AS (SELECT k, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(nb), 0) AS nb,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (e), '')) AS ends_sha256 FROM r GROUP BY k),
+p AS (SELECT DISTINCT r.k, a.k AS pk FROM r JOIN r a ON a.c = r.c AND a.d = r.d - 1),
+f AS (SELECT pk AS k, count(*) AS n_children FROM p GROUP BY pk),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN f USING (k)),
+s AS (SELECT r.k, count(*) FILTER (v.n_children = 0) AS n_leaves, CAST(sum((v.n_convs - 1) * v.nb) AS BIGINT) AS saved_tokens
+      FROM v JOIN r ON r.c = v.conv_id AND r.d <= v.depth GROUP BY r.k)
+SELECT v.conv_id, v.depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN s USING (k) LEFT JOIN p USING (k) LEFT JOIN n a ON a.k = p.pk""")
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
