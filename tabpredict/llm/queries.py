@@ -12,6 +12,7 @@ from .conversation_trie import prefix_trie
 from .decontaminate import decontaminate
 from .html_extract import extract, train_extractor
 from .jaccard_join import jaccard_join
+from .lexical_search import index_terms, search
 from .license_scan import scan_licenses
 from .line_dedup import line_dedup
 from .neighbours import nearest
@@ -193,3 +194,21 @@ SELECT v.conv_id, v.depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children,
 FROM v JOIN s USING (k) LEFT JOIN p USING (k) LEFT JOIN n a ON a.k = p.pk""")
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_ranked_lexical_search", """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n_all, CAST(sum(len(t)) AS BIGINT) AS l_all FROM d),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS t FROM d)
+      WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_all) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY t),
+i AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_all) // l_all))) AS impact FROM p JOIN w USING (t), s),
+r AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM q JOIN i USING (t) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 20""")
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(index_terms(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
