@@ -13,10 +13,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 MAX_CLASSES = 1000
+VERSION = 1
 
 
 @dataclass
@@ -51,6 +54,24 @@ class GaussianNBModel:
         return d.drop(*[f"__jll{i}" for i in range(len(self.classes))])
 
 
+    def save(self, spark: SparkSession, path: str | None = None) -> str:
+        """Write the model, a row a class, under ``path``."""
+        path = path or shared_path(spark, "gaussian-nb")
+        rows = [(VERSION, self.features, c, p, m, v) for c, p, m, v in zip(self.classes, self.log_prior, self.means, self.variances)]
+        kind = "long" if all(isinstance(c, int) for c in self.classes) else "double" if all(isinstance(c, (int, float)) for c in self.classes) else "string"
+        spark.createDataFrame(rows, f"version int, features array<string>, class {kind}, log_prior double, means array<double>, variances array<double>") \
+            .coalesce(1).write.parquet(path)
+        return path
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> GaussianNBModel:
+        """Read a model that ``save`` wrote; a table that isn't one raises an error."""
+        rows = spark.read.parquet(path).orderBy("class").collect()
+        if not rows or any(r["version"] != VERSION or r["features"] != rows[0]["features"] or len(r["means"]) != len(r["features"]) for r in rows):
+            raise ValueError(f"{path} holds no naive Bayes model of version {VERSION}")
+        return cls(rows[0]["features"], [r["class"] for r in rows], [r["log_prior"] for r in rows], [r["means"] for r in rows], [r["variances"] for r in rows])
+
+
 def fit_gaussian_nb(df: DataFrame, features: Sequence[str], label: str = "label",
                     var_smoothing: float = 1e-9) -> GaussianNBModel:
     aggs = [F.count(F.lit(1)).alias("__n")]

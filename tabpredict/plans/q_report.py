@@ -15,7 +15,7 @@ from ..sources.tables import CHURN_FEATURES, churn_obs, scored_obs
 from .fixtures_sql import register, with_ctes
 from .q_evaluate import class_medians
 from .q_models import nb_predictions
-from .q_train import KEEP, gbt_model, line_sets
+from .q_train import KEEP, boosted_scores, gbt_model, line_sets
 from .registry import query
 
 # scores over scored_obs: name -> (Spark column builder, SQL expression)
@@ -160,7 +160,7 @@ def model_report(spark, sf):
 @query("model_scoreboard")
 def model_scoreboard(spark, sf):
     model, _, te = gbt_model(spark, sf)
-    gbt = M.scored(model, te, KEEP)
+    gbt = boosted_scores(model, te)
     tr, te2 = line_sets(spark, sf)
     rf = M.scored(M.train_random_forest(tr, num_trees=10, max_depth=6), te2, KEEP)
     nb = nb_predictions(spark, sf)

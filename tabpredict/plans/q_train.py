@@ -10,26 +10,27 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from ..operators import models as M
-from ..operators.boost import boost
+from ..operators.bayes import GaussianNBModel, fit_gaussian_nb
+from ..operators.gbm import BoostedTrees, Settings, boost
 from ..operators.scale import apply_scaler, fit_scaler
 from ..operators.select import top_k
 from ..operators.split import assign_folds, split_holdout_sized
-from ..session import shared_dir
 from ..sources.models import load_model, save_model
 from ..sources.tables import CHURN_FEATURES, LINE_FEATURES, churn_obs, line_obs
+from .fixtures_sql import with_ctes
 from .registry import query
 
 KEEP = ["row_key", "label"]
 
-# Boosted-tree settings of the reference's "advanced" set
-# (learning rate, depth, min rows per leaf, min hessian, L1, L2, feature
-# fraction, positive-class weight, bins).
-GBT_PARAMS = dict(step=0.01, depth=5, min_rows=21, bins=140, feature_fraction=0.5, pos_weight=99.0)
-BOOST_PARAMS = dict(learning_rate=0.01, max_depth=5, min_rows=21, min_hessian=5.0, l1=0.5, l2=0.5,
-                    pos_weight=99.0, max_bins=140)
+# The reference's three boosted-tree settings.
+CORE_GBM = Settings(learning_rate=0.05, max_leaves=31)
+ADVANCED_GBM = Settings(learning_rate=0.01, max_leaves=41, max_depth=5, min_rows=21, min_hessian=5.0, l1=0.5, l2=0.5,
+                        feature_fraction=0.5, pos_weight=99.0, max_bins=1000)
+TEST_GBM = Settings(learning_rate=0.01, max_leaves=60, max_depth=5, min_rows=15, min_hessian=5.0, l1=0.1, l2=0.1,
+                    feature_fraction=0.7, pos_weight=120.0, max_bins=500)
 #: Defaults of the queries' parameters, the reference's: boosting rounds of a model (and of its
 #: continuation), depths and trees of the forest sweep, sizes of the two importance lists.
-ROUNDS = 1000
+ROUNDS, CORE_ROUNDS = 1000, 100
 SWEEP_DEPTHS, SWEEP_TREES = tuple(range(1, 11)), 25
 TOP_SPLITS, TOP_IMPORTANCE = 10, 20
 #: Rounds of each cell of the (reduced, see README) grid search.
@@ -76,39 +77,121 @@ def train_random_forest(spark, sf):
     return M.scored(M.train_random_forest(tr, num_trees=10, max_depth=6), te, KEEP)
 
 
-def gbt_model(spark, sf, rounds=ROUNDS):
-    shared_dir(spark)            # many rounds need checkpoints
+def gbt_model(spark, sf, rounds=ROUNDS, settings=ADVANCED_GBM):
     tr, te = line_sets(spark, sf)
-    return M.train_gbt(tr, rounds=rounds, **GBT_PARAMS), tr, te
+    return boost(tr, LINE_FEATURES, rounds=rounds, settings=settings), tr, te
+
+
+def boosted_scores(model, df):
+    return model.transform(df.select(*KEEP, *LINE_FEATURES)).select(*KEEP, "prediction", "p1")
 
 
 @query("train_gbt")
 def train_gbt(spark, sf, rounds=ROUNDS):
     model, _, te = gbt_model(spark, sf, rounds)
-    return M.scored(model, te, KEEP)
+    return boosted_scores(model, te)
+
+
+@query("train_gbt_core")
+def train_gbt_core(spark, sf, rounds=CORE_ROUNDS):
+    """The first settings: 31 leaves, the leaf with the largest gain first, any depth."""
+    model, _, te = gbt_model(spark, sf, rounds, CORE_GBM)
+    return boosted_scores(model, te)
+
+
+@query("train_gbt_third")
+def train_gbt_third(spark, sf, rounds=ROUNDS):
+    model, _, te = gbt_model(spark, sf, rounds, TEST_GBM)
+    return boosted_scores(model, te)
 
 
 @query("train_gbt_continue")
 def train_gbt_continue(spark, sf, rounds=ROUNDS, more_rounds=ROUNDS):
     model, tr, te = gbt_model(spark, sf, rounds)
-    more = boost(tr, rounds=more_rounds, init=model, **BOOST_PARAMS)
-    return more.transform(te).select(*KEEP, "prediction", "p1")
+    more = boost(tr, LINE_FEATURES, rounds=more_rounds, settings=ADVANCED_GBM, init=model)
+    return boosted_scores(more, te)
 
 
 @query("gbt_round_metrics")
 def gbt_round_metrics(spark, sf, rounds=ROUNDS):
-    tr, _ = line_sets(spark, sf)
-    m = boost(tr, rounds=rounds, track_auc=True, **BOOST_PARAMS)
-    auc = dict(m.auc_history)
-    return spark.createDataFrame([(int(n), float(v), auc.get(n)) for n, v in m.history],
-                                 "n_trees int, train_log_loss double, train_auc double")
+    """Training log-loss (class weights as in the fit) and AUC after each round, from one scan."""
+    model, tr, _ = gbt_model(spark, sf, rounds)
+    return model.round_metrics(tr, weight=ADVANCED_GBM.pos_weight).where("n_trees > 0").select(
+        "n_trees", F.col("log_loss").alias("train_log_loss"), F.col("auc").alias("train_auc"), "auc_error")
+
+
+@query("gbt_early_stop")
+def gbt_early_stop(spark, sf, rounds=300, patience=10):
+    """Rounds end when the hold-out's log-loss has not fallen for ``patience`` of them."""
+    tr, te = line_sets(spark, sf)
+    model = boost(tr, LINE_FEATURES, rounds=rounds, settings=CORE_GBM, valid=te, early_stopping=patience)
+    return model.round_metrics(te).select("n_trees", F.col("log_loss").alias("valid_log_loss"), F.col("auc").alias("valid_auc"))
 
 
 @query("select_top_importance")
 def select_top_importance(spark, sf, rounds=ROUNDS, k=TOP_SPLITS):
     model, _, _ = gbt_model(spark, sf, rounds)
-    imp = spark.createDataFrame(M.split_counts(model, LINE_FEATURES), "feature string, importance long")
-    return top_k(imp, k)
+    return top_k(model.split_counts(spark), k)
+
+
+STUMP = Settings(learning_rate=0.01, max_leaves=2, max_depth=1, min_rows=21, min_hessian=5.0, l1=0.5, l2=0.5, pos_weight=99.0)
+STUMP_FEATURES = ["l_discount", "l_tax"]
+STUMP_SQL = with_ctes("""
+, w AS (SELECT 99.0 * sum(label) / (99.0 * sum(label) + sum(1 - label)) AS p FROM line_obs),
+v AS (SELECT 'l_discount' AS feature, l_discount AS x, label FROM line_obs UNION ALL SELECT 'l_tax', l_tax, label FROM line_obs),
+b AS (SELECT feature, x, sum(label) AS pos, sum(1 - label) AS neg FROM v GROUP BY feature, x),
+c AS (SELECT feature, x, lead(x) OVER (PARTITION BY feature ORDER BY x) AS nx, sum(pos) OVER (PARTITION BY feature ORDER BY x) AS lp,
+             sum(neg) OVER (PARTITION BY feature ORDER BY x) AS ln, sum(pos) OVER (PARTITION BY feature) AS tp, sum(neg) OVER (PARTITION BY feature) AS tn FROM b),
+g AS (SELECT feature, (x + nx) / 2 AS threshold, lp + ln AS n_left, tp + tn - lp - ln AS n_right,
+             99 * (p - 1) * lp + p * ln AS gl, p * (1 - p) * (99 * lp + ln) AS hl,
+             99 * (p - 1) * (tp - lp) + p * (tn - ln) AS gr, p * (1 - p) * (99 * (tp - lp) + tn - ln) AS hr FROM c, w WHERE nx IS NOT NULL),
+q AS (SELECT *, sign(gl) * greatest(abs(gl) - 0.5, 0) AS sl, sign(gr) * greatest(abs(gr) - 0.5, 0) AS sr,
+             sign(gl + gr) * greatest(abs(gl + gr) - 0.5, 0) AS st FROM g WHERE n_left >= 21 AND n_right >= 21 AND hl >= 5 AND hr >= 5),
+s AS (SELECT *, sl * sl / (hl + 0.5) + sr * sr / (hr + 0.5) - st * st / (hl + hr + 0.5) AS gain FROM q)
+""", "line_obs").rstrip()
+
+
+def stump(spark, sf):
+    return boost(line_obs(spark, sf), STUMP_FEATURES, rounds=1, settings=STUMP).node_table(spark)
+
+
+@query("gbt_stump", STUMP_SQL + """
+SELECT feature, round(threshold, 6) AS threshold, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right, round(gain, 4) AS gain,
+       round(-0.01 * sl / (hl + 0.5), 9) AS left_value, round(-0.01 * sr / (hr + 0.5), 9) AS right_value
+FROM s ORDER BY gain DESC LIMIT 1""")
+def gbt_stump(spark, sf):
+    """One round of one split: gain and leaf values under both penalties and the class weight."""
+    n = stump(spark, sf).groupBy("tree").pivot("node", [0, 1, 2]).agg(
+        *[F.first(c).alias(c) for c in ("feature_name", "threshold", "gain", "n", "value")])
+    return n.select(F.col("0_feature_name").alias("feature"), F.round("0_threshold", 6).alias("threshold"), F.col("1_n").alias("n_left"),
+                    F.col("2_n").alias("n_right"), F.round("0_gain", 4).alias("gain"), F.round("1_value", 9).alias("left_value"), F.round("2_value", 9).alias("right_value"))
+
+
+@query("gbt_split_counts", STUMP_SQL + """
+SELECT f.feature, CAST(count(t.feature) AS BIGINT) AS importance
+FROM (SELECT DISTINCT feature FROM v) f LEFT JOIN (SELECT feature FROM s ORDER BY gain DESC LIMIT 1) t ON t.feature = f.feature GROUP BY f.feature""")
+def gbt_split_counts(spark, sf):
+    """Splits on each feature, counted in the model's node table."""
+    return boost(line_obs(spark, sf), STUMP_FEATURES, rounds=1, settings=STUMP).split_counts(spark)
+
+
+@query("gbt_roundtrip", "SELECT CAST(ceil(0.333 * count(*)) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_differing FROM lineitem")
+def gbt_roundtrip(spark, sf, rounds=20):
+    """A boosted model written and read again scores every hold-out row alike."""
+    model, _, te = gbt_model(spark, sf, rounds)
+    again = BoostedTrees.load(spark, model.save(spark))
+    both = te.select(*LINE_FEATURES).withColumn("a", model.margin()).withColumn("b", again.margin())
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_differing"))
+
+
+@query("nb_roundtrip", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_differing FROM customer")
+def nb_roundtrip(spark, sf):
+    """A naive Bayes model written and read again predicts every row alike."""
+    ob = churn_obs(spark, sf)
+    model = fit_gaussian_nb(ob, CHURN_FEATURES)
+    again = GaussianNBModel.load(spark, model.save(spark))
+    both = again.transform(model.transform(ob, "a"), "b")
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_differing"))
 
 
 @query("top_k_importance")

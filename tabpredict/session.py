@@ -74,3 +74,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
+    spark = table.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
