@@ -7,46 +7,53 @@ with both classes at equal weight, tells toxic texts. All are calibrated on labe
 rows kept apart, and a last small regression combines the scores; there the rejected, of
 whom toxic texts are a part, weigh as much as the good. Fits are distributed
 over all labelled documents and all pseudo-labels; every document is scored.
+
+Both views of all documents are written once, in blocks. A fit takes turns of two jobs:
+the gradient of all rows, added up in the cluster by ranges of columns so that one vector
+reaches the driver; then many steps inside each part of the rows, tilted so that the part
+starts with the gradient of all, whose answers are averaged in the same way. Turns end
+when the loss stands still; a fit of the next round starts from the last one's weights.
+What a job broadcasts is destroyed.
 """
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from ..session import shared_path
-from .common import ALNUM, SPACED, U64, byte_codes, lower_codes, mix, short_lived_shuffles, text_bytes, word_bounds, word_hashes
+from .common import ALNUM, SPACED, U64, byte_codes, drop_written, lower_codes, mix, text_bytes, word_bounds, word_hashes, written
 from .decontaminate import slices
 
 ROUNDS = 2
-#: Penalty and most steps of each regression.
-FIT = {"words": (1e-4, 100), "meta": (1e-3, 100), "toxic": (1e-4, 100)}
+#: View, label, penalties to choose from (by log-loss on the rows kept apart, in the first round) and most turns of each regression.
+FIT = {"words": ("words", "good", (1e-4, 5e-4, 2e-3), 100), "meta": ("meta", "good", (1e-3,), 100), "toxic": ("words", "toxic", (2e-3,), 100)}
 #: A view passes on a label that it gives this calibrated probability or more.
 SURE = 0.97
 #: Labelled rows kept apart for the calibration: a fifth, of many labels about so many.
 HELD_ROWS = 50_000
-#: Rows that a task of a fit holds.
-PART_ROWS = 20_000
+#: A fit ends when a step lowers the mean loss by less than this.
+STILL = 1e-6
+#: Columns of a gradient that are added up together; steps that the quasi-Newton memory holds, and between two looks at the curvature.
+CHUNK = 1 << 14
+MEMORY, RESCALE = 10, 5
+#: Rows of a part that minimises by itself, and its most steps a turn.
+PART_ROWS, LOCAL_STEPS = 20_000, 30
 WORD_BITS = 18
 N_STYLE = 8
 #: The few style columns are scaled up, so that the penalty weighs less on them than on the many words.
 STYLE_WEIGHT = 4.0
 META_BITS = 12
 WIDTH = {"words": (1 << WORD_BITS) + N_STYLE, "meta": 1 << META_BITS}
+DRAWS = 1_000_003
 SLICE_BYTES = 2 << 20
 
 
 def text_view(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (column, value, offsets): which words occur, and shares that tell of the style."""
+    """Rows of ones (columns, offsets) for the words that occur, and the last columns' values: shares that tell of the style."""
     n = len(off) - 1
     table = ALNUM.copy()
     table[0x41:0x5B] = True
@@ -73,15 +80,11 @@ def text_view(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     style = np.stack([upper / letters, np.minimum(10 * marks / size, 3), np.minimum(10 * digits / size, 3),
                       np.bincount(doc, again, n) / words, distinct / words, np.minimum(20 * per_text(twin) / size, 3),
                       np.log1p(np.diff(woff)) / 10, np.minimum(np.diff(off) / words / 10, 3)], 1)
-    cols = np.concatenate([col, np.tile((1 << WORD_BITS) + np.arange(N_STYLE), n)])
-    rows = np.concatenate([row, np.repeat(np.arange(n), N_STYLE)])
-    vals = np.concatenate([np.ones(len(col)), STYLE_WEIGHT * style.ravel()])
-    order = np.argsort(rows, kind="stable")
-    return cols[order], vals[order], np.searchsorted(rows[order], np.arange(n + 1))
+    return col, np.searchsorted(row, np.arange(n + 1)), STYLE_WEIGHT * style
 
 
-def meta_view(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of hashed metadata: each column's value as a token; numbers by their power of two."""
+def meta_view(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, None]:
+    """Rows of ones (columns, offsets) for hashed metadata: each column's value as a token; numbers by their power of two."""
     n, cols = len(columns[0]), []
     for k, column in enumerate(columns):
         if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
@@ -97,65 +100,309 @@ def meta_view(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     # equal columns of one row add up, so each row's are made distinct
     flat = np.sort(np.stack(cols, 1), axis=1)
     first = np.concatenate([np.ones((n, 1), bool), flat[:, 1:] != flat[:, :-1]], 1)
-    return flat[first], np.ones(int(first.sum())), np.concatenate([[0], np.cumsum(first.sum(1))])
-
-
-#: A sparse vector as Spark stores it.
-VIEW = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+    return flat[first], np.concatenate([[0], np.cumsum(first.sum(1))]), None
 
 
-def _vectors(view, width: int) -> pa.Array:
-    cols, vals, off = view
-    n, off = len(off) - 1, pa.array(off, pa.int32())
-    return pa.StructArray.from_arrays(
-        [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32)), pa.ListArray.from_arrays(off, pa.array(cols, pa.int32())),
-         pa.ListArray.from_arrays(off, pa.array(vals, pa.float64()))], names=["type", "size", "indices", "values"])
+BLOCKS = "n long, draw binary, good binary, toxic binary, words_cols binary, words_off binary, style binary, meta_cols binary, meta_off binary"
 
 
-def viewed(rows: DataFrame, text_col: str, meta_cols: list[str], keep: list[str]) -> DataFrame:
-    """Both views of the rows as vectors, written as a table."""
+def viewed(rows: DataFrame, meta_cols: list[str]) -> DataFrame:
+    """Both views of the rows (id, good, toxic, text and metadata) in blocks, written as a table.
+    ``draw`` is a number below DRAWS that a row's id fixes."""
     def see(batches):
         for batch in batches:
-            buf, off = text_bytes(batch.column(len(keep)))
+            buf, off = text_bytes(batch.column(3))
+            told = [c.fill_null(-1).to_numpy().astype(t).tobytes for c, t in ((batch.column(0), np.int32), (batch.column(1), np.int8), (batch.column(2), np.int8))]
+            whole = [np.frombuffer(x(), t) for x, t in zip(told, (np.int32, np.int8, np.int8))]
             for lo, hi in slices(off, SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(lo, hi - lo) for k in range(len(keep))]
-                    + [_vectors(text_view(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]), WIDTH["words"]),
-                       _vectors(meta_view([batch.column(len(keep) + 1 + k).slice(lo, hi - lo) for k in range(len(meta_cols))]), WIDTH["meta"])],
-                    names=[*keep, "words", "meta"])
+                cols, at, style = text_view(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+                m_cols, m_at, _ = meta_view([c.slice(lo, hi - lo) for c in batch.columns[4:]])
+                yield pa.RecordBatch.from_arrays([pa.array([hi - lo])] + [pa.array([x.tobytes()], pa.binary()) for x in (
+                    *(w[lo:hi] for w in whole), cols.astype(np.int32), at.astype(np.int64), style, m_cols.astype(np.int32), m_at.astype(np.int64))],
+                    names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+    draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(DRAWS)).cast("int")
+    rows = rows.select(draw.alias("draw"), "good", "toxic", F.col("text").cast("string"), *[F.col(f"meta_{k}") for k in range(len(meta_cols))])
+    return written(rows.mapInArrow(see, BLOCKS), "views")
+
+
+class Part:
+    """One block's rows."""
 
-    rows = rows.select(*keep, F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"meta_{k}") for k, c in enumerate(meta_cols)])
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "views")
-    with short_lived_shuffles(spark):
-        rows.mapInArrow(see, f"{kinds}, words {VIEW}, meta {VIEW}").write.parquet(path)
-    return spark.read.schema(StructType([*[rows.schema[c] for c in keep], *[StructField(v, VectorUDT()) for v in WIDTH]])).parquet(path)
+    def __init__(self, batch: pa.RecordBatch, k: int):
+        def cell(name, kind):
+            return np.frombuffer(batch.column(name)[k].as_buffer(), kind)
 
+        n = batch.column("n")[k].as_py()
+        self.draw, self.good, self.toxic = cell("draw", np.int32), cell("good", np.int8), cell("toxic", np.int8)
+        self.views = {"words": (cell("words_cols", np.int32), cell("words_off", np.int64), cell("style", np.float64).reshape(n, N_STYLE)),
+                      "meta": (cell("meta_cols", np.int32), cell("meta_off", np.int64), None)}
 
-def fitted(rows: DataFrame, view: str, label: str, penalty: float, steps: int, parts: int):
-    """Logistic regression on (view, label, weight): weights and, last, the (unpenalised) intercept
-    that minimise mean log-loss + penalty / 2 * |w|^2, summed over all rows in the cluster."""
-    return LogisticRegression(labelCol=label, featuresCol=view, weightCol="weight", regParam=penalty, standardization=False, maxIter=steps,
-                              tol=1e-6, family="binomial", rawPredictionCol="raw", probabilityCol="", predictionCol="").fit(rows.coalesce(parts))
 
+@dataclass(frozen=True)
+class Teacher:
+    """What a view passes on: the label of the rows without one that its calibrated line is sure of."""
 
-def with_margins(rows: DataFrame, models: dict) -> DataFrame:
-    """Margin m_<name> of each model; the views stay."""
-    for name, model in models.items():
-        rows = model.transform(rows).withColumn(f"m_{name}", vector_to_array("raw")[1]).drop("raw")
-    return rows
+    view: str
+    line: tuple[float, float]
 
+    def labels(self, part: Part, weights: np.ndarray) -> np.ndarray:
+        return np.where(part.good < 0, sure(margins(part.views[self.view], weights), self.line), -1)
 
-def in_step(spark, tasks: list) -> list:
-    """Results of the functions, run side by side."""
-    with ThreadPool(len(tasks)) as pool:
-        return pool.map(inheritable_thread_target(spark)(lambda f: f()), tasks)
+
+def sure(margin: np.ndarray, line) -> np.ndarray:
+    """1 or 0 where the calibrated probability is SURE or more for it, else -1."""
+    p = 1 / (1 + np.exp(-np.clip(line[0] * margin + line[1], -30, 30)))
+    return np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1))
+
+
+@dataclass(frozen=True)
+class Task:
+    """What one regression is fitted on: a view; the label (``good`` or ``toxic``), the weight of its
+    positives, the rows kept apart (draws below ``apart``), and a teacher's labels."""
+
+    view: str
+    label: str
+    apart: int
+    positive: float = 1.0
+    teacher: Teacher | None = None
+
+    def rows(self, part: Part, taught: np.ndarray | None):
+        """The view, labels and weights of a block's rows that the fit takes."""
+        y = np.where((part.good >= 0) & (part.draw >= self.apart), part.good if self.label == "good" else part.toxic, -1)
+        if self.teacher is not None:
+            y = np.maximum(y, self.teacher.labels(part, taught))
+        at = np.flatnonzero(y >= 0)
+        return only(part.views[self.view], at), y[at] == 1, np.where(y[at] == 1, self.positive, 1.0)
 
 
 def margins(view, weights: np.ndarray) -> np.ndarray:
-    cols, vals, off = view
-    run = np.concatenate([[0.0], np.cumsum(weights[cols] * vals)])
-    return run[off[1:]] - run[off[:-1]] + weights[-1]
+    cols, off, dense = view
+    run = np.concatenate([[0.0], np.cumsum(weights[cols])])
+    out = run[off[1:]] - run[off[:-1]] + weights[-1]
+    return out if dense is None else out + dense @ weights[-1 - dense.shape[1]:-1]
+
+
+def only(view, at: np.ndarray):
+    """Some rows of a view."""
+    cols, off, dense = view
+    n = np.diff(off)[at]
+    first = np.cumsum(n) - n
+    return cols[np.arange(int(n.sum())) + np.repeat(off[at] - first, n)], np.concatenate([[0], np.cumsum(n)]), None if dense is None else dense[at]
+
+
+def add_sums(out: np.ndarray, view, factor: np.ndarray, square: bool = False) -> None:
+    """Add the rows, times their factors, to ``out`` (one place a column, the intercept last)."""
+    cols, off, dense = view
+    out += np.bincount(cols, np.repeat(factor, np.diff(off)), len(out))
+    if dense is not None:
+        out[-1 - dense.shape[1]:-1] += factor @ (dense ** 2 if square else dense)
+    out[-1] += factor.sum()
+
+
+def add_rows(out: list[np.ndarray], rows, w: np.ndarray, curvature: bool) -> None:
+    """Add the rows' loss, weight, gradient and (with ``curvature``) second derivatives to ``out``."""
+    view, y, c = rows
+    z = margins(view, w)
+    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    out[-1] += (c * (np.logaddexp(0, z) - y * z)).sum(), c.sum()
+    add_sums(out[0], view, c * (p - y))
+    if curvature:
+        add_sums(out[1], view, c * p * (1 - p), True)
+
+
+def summed(blocks: DataFrame, lengths: list[int], shared, run) -> list[np.ndarray]:
+    """The vectors that ``run`` makes of each task's blocks, added up in the cluster by ranges of columns."""
+    def send(batches):
+        flat = np.concatenate(run(Part(batch, k) for batch in batches for k in range(batch.num_rows)))
+        for chunk in range(0, len(flat), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk // CHUNK], pa.int32()), pa.array([flat[chunk:chunk + CHUNK].tobytes()], pa.binary())], names=["chunk", "sums"])
+
+    def add(batches):
+        held = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held[chunk] = held.get(chunk, 0.0) + np.frombuffer(data.as_buffer())
+        for chunk, data in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["chunk", "sums"])
+
+    try:
+        found = blocks.mapInArrow(send, "chunk int, sums binary").repartition(min(-(-sum(lengths) // CHUNK), 4), "chunk").mapInArrow(add, "chunk int, sums binary").toArrow()
+    finally:
+        shared.destroy()
+    order = np.argsort(found.column("chunk").to_numpy())
+    cells = found.column("sums").combine_chunks()
+    return np.split(np.concatenate([np.frombuffer(cells[int(k)].as_buffer()) for k in order]), np.cumsum(lengths)[:-1])
+
+
+def gradients(blocks: DataFrame, tasks: list[Task], weights: list[np.ndarray], taught: list) -> list[tuple]:
+    """For each task loss, weight of all rows and gradient over all its rows, by one job."""
+    shared = blocks.sparkSession.sparkContext.broadcast((weights, taught))
+
+    def run(parts):
+        own, others = shared.value
+        sums = [[np.zeros(len(w)), np.zeros(2)] for w in own]
+        for part in parts:
+            for task, w, other, out in zip(tasks, own, others, sums):
+                add_rows(out, task.rows(part, other), w, False)
+        return [x for out in sums for x in out]
+
+    return [(own[-2], own[-1], own[:-2]) for own in summed(blocks, [len(w) + 2 for w in weights], shared, run)]
+
+
+def local_solutions(blocks: DataFrame, tasks: list[Task], fits: list[tuple[float, int]], weights: list[np.ndarray], grads: list[np.ndarray], taught: list) -> list[np.ndarray]:
+    """One job: each part of about PART_ROWS rows minimises its own loss, tilted so that its gradient at
+    ``weights`` is that of all rows; the mean of the parts' answers, by their rows."""
+    shared = blocks.sparkSession.sparkContext.broadcast((weights, grads, taught))
+
+    def run(parts):
+        own, tilts, others = shared.value
+        out = [[np.zeros(len(w)), np.zeros(1)] for w in own]
+
+        def solve(held):
+            for k, ((penalty, _), w, tilt) in enumerate(zip(fits, own, tilts)):
+                told = [parts[k] for parts in held]
+                rows = sum(float(c.sum()) for _, _, c in told)
+                if not rows:
+                    continue
+
+                def evaluate(at, curvature):
+                    sums = [np.zeros(len(w)) for _ in range(1 + curvature)] + [np.zeros(2)]
+                    for part in told:
+                        add_rows(sums, part, at, curvature)
+                    return sums[-1][0], sums[-1][1], sums[0], sums[1] if curvature else None
+
+                out[k][0] += rows * descent(evaluate, penalty, LOCAL_STEPS, w.copy(), tilt)
+                out[k][1] += rows
+
+        held, size = [], 0
+        for part in parts:
+            held.append([task.rows(part, other) for task, other in zip(tasks, others)])
+            size += len(part.good)
+            if size >= PART_ROWS:
+                solve(held)
+                held, size = [], 0
+        solve(held)
+        return [x for o in out for x in o]
+
+    return [own[:-1] / own[-1] for own in summed(blocks, [len(w) + 1 for w in weights], shared, run)]
+
+
+def descent(evaluate, penalty: float, steps: int, w: np.ndarray, tilt: np.ndarray | None) -> np.ndarray:
+    """Minimise mean log-loss + penalty / 2 * |w|^2 (no penalty on the intercept, which is last) + tilt w
+    from ``w``; ``evaluate`` gives the sums at some weights. L-BFGS over columns scaled by their curvature,
+    looked at anew every RESCALE steps; a step that raises the loss is halved."""
+    ridge = np.append(np.full(len(w) - 1, penalty), 0.0)
+    own = None
+
+    def at(w, curvature):
+        nonlocal own
+        loss, rows, grad, second = evaluate(w, curvature)
+        grad = grad / rows + ridge * w
+        if own is None:
+            own = 0.0 if tilt is None else tilt - grad          # the whole's gradient in place of the part's own
+        value = loss / rows + 0.5 * penalty * float(w[:-1] @ w[:-1])
+        return value + (float(own @ w) if tilt is not None else 0.0), grad + own, None if second is None else second / rows + ridge
+
+    loss, grad, second = at(w, True)
+    scale = 1 / np.maximum(second, 1e-12)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for taken in range(steps):
+        step, kept = grad.copy(), []
+        for move, turn in reversed(moves):
+            kept.append(float(move @ step) / float(move @ turn))
+            step -= kept[-1] * turn
+        step *= scale * (float(moves[-1][0] @ moves[-1][1]) / float(moves[-1][1] @ (scale * moves[-1][1])) if moves else 1.0)
+        for (move, turn), a in zip(moves, reversed(kept)):
+            step += (a - float(turn @ step) / float(move @ turn)) * move
+        size, slope = 1.0, float(grad @ step)
+        while True:
+            new = w - size * step
+            found, turned, second = at(new, taken % RESCALE == RESCALE - 1)
+            if found <= loss - 1e-4 * size * slope or size < 1e-3:
+                break
+            size /= 2
+        if not found < loss:
+            break
+        move, turn = new - w, turned - grad
+        if float(move @ turn) > 1e-12 * float(turn @ turn):
+            moves = [*moves, (move, turn)][-MEMORY:]
+        if second is not None:
+            scale = 1 / np.maximum(second, 1e-12)
+        still = loss - found < STILL
+        w, grad, loss = new, turned, found
+        if still:
+            break
+    return w
+
+
+def fitted(blocks: DataFrame, tasks: list[Task], fits: list[tuple[float, int]], starts: list, taught: list) -> list[np.ndarray]:
+    """Weights of several logistic regressions over all rows of their tasks, side by side; ``fits``: penalty
+    and most turns of each. A turn is two jobs, whatever the rows: the gradient of all, and the parts' answers
+    to it. A turn that raises the loss is halved."""
+    w = [np.zeros(WIDTH[t.view] + 1) if s is None else s.copy() for t, s in zip(tasks, starts)]
+    best: list = [None] * len(tasks)                                   # (loss, weights, gradient) so far
+    left = {k: n for k, (_, n) in enumerate(fits)}
+    while left:
+        keys = list(left)
+        found = gradients(blocks, [tasks[k] for k in keys], [w[k] for k in keys], [taught[k] for k in keys])
+        ahead = []
+        for k, (loss, rows, grad) in zip(keys, found):
+            value = loss / rows + 0.5 * fits[k][0] * float(w[k][:-1] @ w[k][:-1])
+            grad = grad / rows + np.append(np.full(len(grad) - 1, fits[k][0]), 0.0) * w[k]
+            left[k] -= 1
+            if best[k] is not None and value > best[k][0] - STILL:
+                if value <= best[k][0] or float(np.abs(w[k] - best[k][1]).max()) < 1e-6 or left[k] <= 0:
+                    left.pop(k)
+                else:
+                    w[k] = (w[k] + best[k][1]) / 2
+                continue
+            best[k] = value, w[k], grad
+            if left[k] > 0:
+                ahead.append(k)
+            else:
+                left.pop(k)
+        if ahead:
+            for k, new in zip(ahead, local_solutions(blocks, [tasks[k] for k in ahead], [fits[k] for k in ahead], [best[k][1] for k in ahead],
+                                                     [best[k][2] for k in ahead], [taught[k] for k in ahead])):
+                w[k] = new
+    return [b[1] for b in best]
+
+
+def held_out(blocks: DataFrame, apart: int, models: dict, views: dict):
+    """Labels and margins of the rows kept apart."""
+    shared = blocks.sparkSession.sparkContext.broadcast(dict(models))
+
+    def told(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = Part(batch, k)
+                at = np.flatnonzero((part.good >= 0) & (part.draw < apart))
+                z = [margins(only(part.views[views[v]], at), w) for v, w in shared.value.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(part.good[at].astype(float)), pa.array(part.toxic[at].astype(float)), *map(pa.array, z)],
+                                                 names=["good", "toxic", *[f"m_{v}" for v in shared.value]])
+
+    try:
+        return blocks.mapInArrow(told, "good double, toxic double, " + ", ".join(f"m_{v} double" for v in models)).toPandas()
+    finally:
+        shared.destroy()
+
+
+def label_counts(blocks: DataFrame) -> np.ndarray:
+    """Rows by draw (tenths of a thousandth), good and toxic (0, 1 or unknown, 2)."""
+    def count(batches):
+        out = np.zeros((10_000, 3, 3), np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = Part(batch, k)
+                np.add.at(out, (part.draw.astype(np.int64) * 10_000 // DRAWS, part.good % 3, part.toxic % 3), 1)
+        d, g, t = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (d, g, t)] + [pa.array(out[d, g, t])], names=["d", "g", "t", "n"])
+
+    out = np.zeros((10_000, 3, 3), np.int64)
+    for r in blocks.select("n", *[c.split()[0] for c in BLOCKS.split(", ")[1:]]).mapInArrow(count, "d int, g int, t int, n long").groupBy("d", "g", "t").agg(F.sum("n").alias("n")).collect():
+        out[r["d"], r["g"], r["t"]] = r["n"]
+    return out
 
 
 def small_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1e-2, even: bool = False) -> np.ndarray:
@@ -171,12 +418,6 @@ def small_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float =
     return w
 
 
-def _sure(pool: DataFrame, margin: str, line: np.ndarray) -> DataFrame:
-    """All rows that a view is sure of, with its label."""
-    p = 1 / (1 + F.exp(-(F.lit(float(line[0])) * F.col(margin) + F.lit(float(line[1])))))
-    return pool.withColumn("good", F.when(p >= SURE, 1).when(p <= 1 - SURE, 0)).where("good is not null")
-
-
 class QualityModel:
     """Weights of the views and of the toxic words, their calibration lines and their combination."""
 
@@ -186,7 +427,7 @@ class QualityModel:
     def scores(self, buf: np.ndarray, off: np.ndarray, meta: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probability of each view, and the combined one."""
         views = {"words": text_view(buf, off), "meta": meta_view(meta)}
-        z = {v: self.lines[v][0] * margins(views["words" if v == "toxic" else v], w) + self.lines[v][1] for v, w in self.weights.items()}
+        z = {v: self.lines[v][0] * margins(views[FIT[v][0]], w) + self.lines[v][1] for v, w in self.weights.items()}
         both = combined(z, self.mixed)
         return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (z["words"], z["meta"], both))
 
@@ -200,59 +441,56 @@ def train_quality(docs: DataFrame, labels: DataFrame, meta_cols: list[str], good
                   text_col: str = "text", *, toxic=None, rounds: int = ROUNDS) -> QualityModel | None:
     """Co-train on all documents; None if the labels don't hold both classes. ``toxic`` is a label
     (1 or 0) of its own, by default the column of that name if the labels have one."""
-    spark = docs.sparkSession
     if toxic is None:
         toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None)
     known = (labels.select(F.col(id_col).cast("long").alias("id"), good.cast("int").alias("good"), toxic.cast("int").alias("toxic"))
              .where("good is not null and id is not null").groupBy("id").agg(F.min("good").alias("good"), F.max("toxic").alias("toxic")))
     if len(known.select("good").distinct().take(2)) < 2 or docs.isEmpty():
         return None
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c) for c in dict.fromkeys([text_col, *meta_cols])])
-    every = viewed(rows.join(known, "id", "left"), text_col, meta_cols, ["id", "good", "toxic"]).withColumn("weight", F.lit(1.0))
-    n = {(r["good"], r["toxic"]): r["count"] for r in every.groupBy("good", "toxic").count().collect()}
-    parts = max(1, -(-sum(n.values()) // PART_ROWS))
-    n_known = sum(c for (g, _), c in n.items() if g is not None)
-    base, pool = every.where("good is not null"), every.where("good is null")
-    apart = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_003)) < 1_000_003 * min(0.2, HELD_ROWS / max(n_known, 1))
-    fit, held = base.where(~apart), base.where(apart)
-    if len(fit.select("good").distinct().take(2)) < 2 or len(held.select("good").distinct().take(2)) < 2:
-        fit = held = base
-    if len(base.select("good").distinct().take(2)) < 2:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"meta_{k}") for k, c in enumerate(meta_cols)])
+    blocks = viewed(rows.join(known, "id", "left"), meta_cols)
+    n = label_counts(blocks)
+    n_known = int(n[:, :2].sum())
+    if not n[:, 0].sum() or not n[:, 1].sum():
         return None
-    own = {"words": fit.select("good", "weight", "words"), "meta": fit.select("good", "weight", "meta")}
-
-    def view_fit(v):
-        if v == "meta":                                  # equal rows as one
-            rows = own[v].groupBy("good", "meta").agg(F.sum("weight").alias("weight"))
-            return fitted(rows, v, "good", *FIT[v], parts)
-        return fitted(own[v], v, "good", *FIT[v], parts)
-
-    def toxic_fit():
-        told = fit.where("toxic is not null")
-        count = {r["toxic"]: r["count"] for r in told.groupBy("toxic").count().collect()}
-        if set(count) != {0, 1} or held.where("toxic is not null").select("toxic").distinct().count() < 2:
-            return None
-        weight = F.when(F.col("toxic") == 1, count[0] / count[1]).otherwise(1.0)
-        return fitted(told.select("toxic", weight.alias("weight"), "words"), "words", "toxic", *FIT["toxic"], parts)
-
-    models = {}
+    # rows kept apart: so many of the draws' ten thousandths; all rows in both if a class is missing on one side
+    cut = int(10_000 * min(0.2, HELD_ROWS / n_known))
+    apart = -(-cut * DRAWS // 10_000)
+    two = all(n[side, c].sum() for side in (slice(cut), slice(cut, None)) for c in (0, 1))
+    fit_apart, held_apart = (apart, apart) if two else (0, DRAWS)
+    told_toxic = n[cut if two else 0:, :2].sum(axis=(0, 1))
+    held_toxic = n[:cut if two else None, :2].sum(axis=(0, 1))
+
+    toxic_too = min(told_toxic[:2]) and min(held_toxic[:2])
+    views = {name: fit[0] for name, fit in FIT.items() if name != "toxic" or toxic_too}
+    models, lines, chosen = {}, {}, {name: FIT[name][2] for name in views}
+
+    def line(told, name, column):
+        """The calibration of a regression, and its loss, on the rows kept apart."""
+        y, z = told[FIT[name][1]].to_numpy(float), told[column].to_numpy()
+        y, z = y[y >= 0], z[y >= 0]
+        own = small_logistic(z[:, None], y)
+        return own, float(np.mean(np.logaddexp(0, own[0] * z + own[1]) - y * (own[0] * z + own[1])))
+
     for turn in range(rounds + 1):
-        tasks = [lambda: view_fit("words"), lambda: view_fit("meta")]
-        found = in_step(spark, tasks if turn else [*tasks, toxic_fit])
-        models |= {v: m for v, m in zip(("words", "meta", "toxic"), found) if m is not None}
-        told = with_margins(held, models).select("good", "toxic", *[f"m_{v}" for v in models]).toPandas()
-        lines = {}
-        for v in models:
-            seen = told[told["toxic"].notna()] if v == "toxic" else told
-            lines[v] = small_logistic(seen[[f"m_{v}"]].to_numpy(), seen["toxic" if v == "toxic" else "good"].to_numpy(float))
-        if turn == rounds:
-            break
-        for v, other in (("words", "meta"), ("meta", "words")):
-            passed = _sure(with_margins(pool, {v: models[v]}), f"m_{v}", lines[v])
-            own[other] = fit.select("good", "weight", other).union(passed.select("good", "weight", other))
+        runs = []
+        for name in views:
+            if turn and name == "toxic":
+                continue
+            other = {"words": "meta", "meta": "words"}.get(name) if turn else None
+            task = Task(views[name], FIT[name][1], fit_apart, told_toxic[0] / told_toxic[1] if name == "toxic" else 1.0,
+                        Teacher(other, tuple(lines[other])) if other else None)
+            runs += [(name, f"{name}_{k}", task, (penalty, FIT[name][3]), models.get(name), models.get(other)) for k, penalty in enumerate(chosen[name])]
+        found = dict(zip([r[1] for r in runs], fitted(blocks, *[[r[k] for r in runs] for k in (2, 3, 4, 5)])))
+        told = held_out(blocks, held_apart, found, {r[1]: views[r[0]] for r in runs})
+        for name in {r[0]: None for r in runs}:
+            best = min(((line(told, name, f"m_{r[1]}"), r) for r in runs if r[0] == name), key=lambda x: x[0][1])
+            models[name], lines[name], chosen[name] = found[best[1][1]], best[0][0], (best[1][3][0],)
+    models = {name: models[name] for name in views}
+    told = held_out(blocks, held_apart, models, views)
+    drop_written(blocks)
     z = np.stack([lines[v][0] * told[f"m_{v}"].to_numpy() + lines[v][1] for v in models], 1)
-    weights = {v: np.append(m.coefficients.toArray(), m.intercept) for v, m in models.items()}
-    return QualityModel(weights, lines, small_logistic(z, told["good"].to_numpy(float), even=True))
+    return QualityModel(models, lines, small_logistic(z, told["good"].to_numpy(float), even=True))
 
 
 def judge_quality(docs: DataFrame, model: QualityModel | None, meta_cols: list[str], id_col: str = "doc_id",
