@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, SPACED, U64, byte_codes, drop_written, lower_codes, mix, text_bytes, word_bounds, word_hashes, written
+from .common import ALNUM, SPACED, U64, byte_codes, drop_written, lower_codes, mix, short_lived_shuffles, text_bytes, word_bounds, word_hashes, written
 from .decontaminate import slices
 
 ROUNDS = 2
@@ -35,8 +35,9 @@ FIT = {"words": ("words", "good", (1e-4, 5e-4, 2e-3), 100), "meta": ("meta", "go
 SURE = 0.97
 #: Labelled rows kept apart for the calibration: a fifth, of many labels about so many.
 HELD_ROWS = 50_000
-#: A fit ends when a step lowers the mean loss by less than this.
-STILL = 1e-6
+#: A fit ends when a turn lowers the loss by less than this share of it; a part's own steps when one
+#: lowers its loss by less than this share of what all have.
+STILL = 1e-2
 #: Columns of a gradient that are added up together; steps that the quasi-Newton memory holds, and between two looks at the curvature.
 CHUNK = 1 << 14
 MEMORY, RESCALE = 10, 5
@@ -226,8 +227,9 @@ def summed(blocks: DataFrame, lengths: list[int], shared, run) -> list[np.ndarra
         for chunk, data in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["chunk", "sums"])
 
-    try:
-        found = blocks.mapInArrow(send, "chunk int, sums binary").repartition(min(-(-sum(lengths) // CHUNK), 4), "chunk").mapInArrow(add, "chunk int, sums binary").toArrow()
+    try:                                                        # a job's shuffle files go with it
+        with short_lived_shuffles(blocks.sparkSession):
+            found = blocks.mapInArrow(send, "chunk int, sums binary").repartition(min(-(-sum(lengths) // CHUNK), 4), "chunk").mapInArrow(add, "chunk int, sums binary").toArrow()
     finally:
         shared.destroy()
     order = np.argsort(found.column("chunk").to_numpy())
@@ -305,6 +307,7 @@ def descent(evaluate, penalty: float, steps: int, w: np.ndarray, tilt: np.ndarra
         return value + (float(own @ w) if tilt is not None else 0.0), grad + own, None if second is None else second / rows + ridge
 
     loss, grad, second = at(w, True)
+    first = loss
     scale = 1 / np.maximum(second, 1e-12)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
     for taken in range(steps):
@@ -329,7 +332,7 @@ def descent(evaluate, penalty: float, steps: int, w: np.ndarray, tilt: np.ndarra
             moves = [*moves, (move, turn)][-MEMORY:]
         if second is not None:
             scale = 1 / np.maximum(second, 1e-12)
-        still = loss - found < STILL
+        still = loss - found < STILL * (first - found)
         w, grad, loss = new, turned, found
         if still:
             break
@@ -351,17 +354,15 @@ def fitted(blocks: DataFrame, tasks: list[Task], fits: list[tuple[float, int]],
             value = loss / rows + 0.5 * fits[k][0] * float(w[k][:-1] @ w[k][:-1])
             grad = grad / rows + np.append(np.full(len(grad) - 1, fits[k][0]), 0.0) * w[k]
             left[k] -= 1
-            if best[k] is not None and value > best[k][0] - STILL:
-                if value <= best[k][0] or float(np.abs(w[k] - best[k][1]).max()) < 1e-6 or left[k] <= 0:
-                    left.pop(k)
-                else:
-                    w[k] = (w[k] + best[k][1]) / 2
-                continue
-            best[k] = value, w[k], grad
-            if left[k] > 0:
-                ahead.append(k)
+            before, halved = best[k], False
+            if before is not None and value > before[0]:
+                w[k], halved = (w[k] + before[1]) / 2, float(np.abs(w[k] - before[1]).max()) > 1e-3
             else:
+                best[k] = value, w[k], grad
+            if left[k] <= 0 or (before is not None and not halved and value > (1 - STILL) * before[0]):
                 left.pop(k)
+            elif not halved:
+                ahead.append(k)
         if ahead:
             for k, new in zip(ahead, local_solutions(blocks, [tasks[k] for k in ahead], [fits[k] for k in ahead], [best[k][1] for k in ahead],
                                                      [best[k][2] for k in ahead], [taught[k] for k in ahead])):
