@@ -30,7 +30,7 @@ from .decontaminate import slices
 
 ROUNDS = 2
 #: View, label, penalties to choose from (by log-loss on the rows kept apart, in the first round) and most turns of each regression.
-FIT = {"words": ("words", "good", (1e-4, 5e-4, 2e-3), 100), "meta": ("meta", "good", (1e-3,), 100), "toxic": ("words", "toxic", (2e-3,), 100)}
+FIT = {"words": ("words", "good", (1e-4,), 100), "meta": ("meta", "good", (1e-3,), 100), "toxic": ("words", "toxic", (2e-3,), 100)}
 #: A view passes on a label that it gives this calibrated probability or more.
 SURE = 0.97
 #: Labelled rows kept apart for the calibration: a fifth, of many labels about so many.
@@ -268,13 +268,20 @@ def local_solutions(blocks: DataFrame, tasks: list[Task], fits: list[tuple[float
                 if not rows:
                     continue
 
+                # over the columns that the part's rows hold; any other one has but its penalty and its tilt
+                used, last = np.unique(np.concatenate([view[0] for view, _, _ in told])), 1 + (told[0][0][2].shape[1] if told[0][0][2] is not None else 0)
+                here = np.concatenate([used, np.arange(len(w) - last, len(w))])
+                own_rows = [((np.searchsorted(used, view[0]), *view[1:]), y, c) for view, y, c in told]
+
                 def evaluate(at, curvature):
-                    sums = [np.zeros(len(w)) for _ in range(1 + curvature)] + [np.zeros(2)]
-                    for part in told:
+                    sums = [np.zeros(len(here)) for _ in range(1 + curvature)] + [np.zeros(2)]
+                    for part in own_rows:
                         add_rows(sums, part, at, curvature)
                     return sums[-1][0], sums[-1][1], sums[0], sums[1] if curvature else None
 
-                out[k][0] += rows * descent(evaluate, penalty, LOCAL_STEPS, w.copy(), tilt)
+                answer = w - tilt / penalty
+                answer[here] = descent(evaluate, penalty, LOCAL_STEPS, w[here], tilt[here])
+                out[k][0] += rows * answer
                 out[k][1] += rows
 
         held, size = [], 0
@@ -451,6 +458,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, meta_cols: list[str], good
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"meta_{k}") for k, c in enumerate(meta_cols)])
     blocks = viewed(rows.join(known, "id", "left"), meta_cols)
     n = label_counts(blocks)
+    blocks = blocks.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(n.sum()) // PART_ROWS)))
     n_known = int(n[:, :2].sum())
     if not n[:, 0].sum() or not n[:, 1].sum():
         return None
