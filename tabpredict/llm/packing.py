@@ -14,6 +14,7 @@ import os
 import unicodedata
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ END_ID = 0
 SLICE_BYTES = 2 << 20
 #: Words whose ids a task keeps at hand; beyond it the store starts anew.
 CACHED_WORDS = 500_000
-#: Fillings tried around one largest length, and bins' choices tried in all.
-FILL_NODES, SEARCH_NODES = 4000, 20_000
+#: Default for the steps of the search (some 1 us each); earlier fillings that a new one is compared with.
+SEARCH_STEPS, REMEMBERED = 10_000_000, 64
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -179,103 +180,159 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> Plan:
     return [x for bins in room.values() for x in bins]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, nodes: int) -> list[tuple[int, dict[int, int]]]:
-    """(waste, filling) of the room left beside the largest length, least waste first.
-
-    Larger lengths come first, so of fillings with one sum the first found holds
-    the larger pieces; the others, which its pieces' split parts could replace, are
-    dominated and left out. The search ends at a filling without waste."""
-    best: dict[int, dict[int, int]] = {}
-    taken: dict[int, int] = {}
-    spent = 0
-
-    def visit(left: int, top: int) -> bool:
-        nonlocal spent
-        spent += 1
-        i = bisect_right(lengths, min(left, top)) - 1
-        maximal = True
-        while i >= 0 and spent < nodes:
-            length = lengths[i]
-            if counts[length] > taken.get(length, 0):
-                maximal = False
-                taken[length] = taken.get(length, 0) + 1
-                done = visit(left - length, length)
-                taken[length] -= 1
-                if not taken[length]:
-                    del taken[length]
-                if done:
-                    return True
-            i -= 1
-        if (maximal or spent >= nodes) and left not in best:
-            best[left] = dict(taken)
-        return left == 0 and left in best
-
-    visit(room, room)
-    return sorted(best.items(), key=lambda x: x[0])[:8] or [(room, {})]
-
-
-def bin_completion(counts: dict[int, int], size: int) -> Plan:
-    """Fewest bins found: incumbent by best fit, then completions of the largest length
-    left, depth first; a branch ends when its waste cannot beat the incumbent."""
+def least_sequences(counts: dict[int, int], size: int) -> int:
+    """A lower bound: the pieces' sum, and for each length k the pieces that cannot share
+    with one of k or more, with what is left beside the others over one half taken by the rest."""
+    k = np.array(sorted(counts), np.int64)
+    c = np.array([counts[x] for x in k.tolist()], np.int64)
+    total = int((k * c).sum())
+    best = -(-total // size)
+    for low in [0, *k[2 * k <= size].tolist()]:
+        alone, large, small = k > size - low, (2 * k > size) & (k <= size - low), (2 * k <= size) & (k >= low)
+        rest = int((k * c)[small].sum() - (size * c[large].sum() - (k * c)[large].sum()))
+        best = max(best, int(c[alone].sum() + c[large].sum()) + max(0, -(-rest // size)))
+    return best
+
+
+def reach(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each i, a bit set of the sums up to ``room`` that pieces of the first i lengths make."""
+    mask, sums = (1 << room + 1) - 1, [1]
+    for k in lengths:
+        bits, n, step = sums[-1], min(counts[k], room // k), 1
+        while n:
+            use = min(step, n)
+            bits |= bits << use * k & mask
+            n -= use
+            step *= 2
+        sums.append(bits)
+    return sums
+
+
+def covers(a: dict[int, int], b: dict[int, int]) -> bool:
+    """Whether the pieces of ``b`` fit, parted, into the pieces of ``a``: then ``a`` is as good a
+    filling as ``b``, since they can change places. Pieces in both stand for themselves. More
+    than twelve others are not looked at (False), which leaves a filling in."""
+    left = [k for k, c in a.items() for _ in range(c - b.get(k, 0))]
+    own = sorted((k for k, c in b.items() for _ in range(c - a.get(k, 0))), reverse=True)
+    if len(own) > 12 or sum(left) < sum(own):
+        return False
+
+    def place(i: int) -> bool:
+        if i == len(own):
+            return True
+        for j in {r: j for j, r in enumerate(left) if r >= own[i]}.values():
+            left[j] -= own[i]
+            if place(i + 1):
+                return True
+            left[j] += own[i]
+        return False
+
+    return place(0)
+
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int, spare: int, budget: list[int]) -> Iterator[tuple[int, dict[int, int]]]:
+    """Every undominated (waste, filling) of the room beside the largest length that wastes at
+    most ``spare``: least waste first, larger pieces first. ``budget[0]`` steps, then no more.
+
+    A filling that wastes w holds all pieces of at most w, else one more would fit. Sums that the
+    pieces cannot make are never entered. Of equal sums a filling comes before those that part
+    its pieces, so only earlier ones can dominate."""
+    seen: list[dict[int, int]] = []
+    lengths = [k for k in lengths if k <= room and counts[k]]
+    held, sums = -1, []
+
+    def exact(i: int, left: int) -> Iterator[dict[int, int]]:
+        if not left:
+            yield {}
+            return
+        j = bisect_right(lengths, left, held, held + i) - 1
+        while j >= held and sums[j + 1 - held] >> left & 1:
+            k = lengths[j]
+            for c in range(min(counts[k], left // k), 0, -1):
+                if sums[j - held] >> left - c * k & 1:
+                    budget[0] -= 1
+                    if budget[0] <= 0:
+                        return
+                    for rest in exact(j - held, left - c * k):
+                        yield {k: c, **rest}
+            j -= 1
+
+    for waste in range(min(room, spare) + 1):
+        small = bisect_right(lengths, waste)
+        if small != held:
+            held = small
+            whole = {k: counts[k] for k in lengths[:held]}
+            used = sum(k * c for k, c in whole.items())
+            if used > room:
+                return
+            sums = reach(lengths[held:], counts, room - used)
+            budget[0] -= len(sums)
+        target = room - waste - used
+        if target < 0 or budget[0] <= 0:
+            return
+        if not sums[-1] >> target & 1:
+            continue
+        for more in exact(len(lengths) - held, target):
+            fill = {**whole, **more}
+            if not any(covers(a, fill) for a in seen):
+                if len(seen) < REMEMBERED:
+                    seen.append(fill)
+                yield waste, fill
+
+
+def bin_completion(counts: dict[int, int], size: int, steps: int = SEARCH_STEPS) -> tuple[Plan, int, bool]:
+    """Fewest bins, a lower bound on them, and whether no fewer can do.
+
+    Incumbent by best fit; then depth first: the largest length left is completed by every
+    undominated filling, used as often as the counts allow, then less often. A branch ends
+    when its waste cannot beat the incumbent. The search is complete unless its ``steps``
+    run out first; then the best found so far is returned, and the last value is False."""
     total = sum(k * c for k, c in counts.items())
-    best = best_fit_decreasing(counts, size)
-    fewest, bound = sum(m for _, m in best), -(-total // size)
-    bound = max(bound, sum(c for k, c in counts.items() if 2 * k > size))
+    best, bound = best_fit_decreasing(counts, size), least_sequences(counts, size)
+    fewest = sum(m for _, m in best)
     if fewest <= bound:
-        return best
-    left = dict(counts)
-    lengths = sorted(left)
+        return best, bound, True
+    left, budget = {k: c for k, c in counts.items() if c}, [steps]
     plan: Plan = []
-    bins = waste = nodes = 0
-    open_choices: list[list[tuple[int, dict[int, int]]]] = []
-    down = True
-    while nodes < SEARCH_NODES:
-        if down:
-            if not lengths:
-                if bins < fewest:
-                    best, fewest = list(plan), bins
-                    if fewest <= bound:
-                        break
-                down = False
-                continue
-            top = lengths[-1]
-            left[top] -= 1
-            choices = fillings(lengths if left[top] else lengths[:-1], left, size - top, FILL_NODES)
-            left[top] += 1
-            open_choices.append([(w, {top: f.get(top, 0) + 1, **{k: v for k, v in f.items() if k != top}}) for w, f in choices][::-1])
-        elif not open_choices:
-            break
-        else:                                       # take the last bins back
-            if len(plan) == len(open_choices):
-                fill, m = plan.pop()
-                bins -= m
-                waste -= m * (size - sum(k * c for k, c in fill.items()))
-                for k, c in fill.items():
-                    left[k] = left.get(k, 0) + c * m
-                lengths = sorted(k for k, c in left.items() if c)
-        if not open_choices[-1]:
-            open_choices.pop()
-            down = False
+    waste = 0
+
+    def choices() -> Iterator[tuple[dict[int, int], int]]:
+        own, lengths = dict(left), sorted(left)
+        top, spare = lengths[-1], (fewest - 1) * size - total - waste
+        own[top] -= 1
+        for w, fill in fillings(lengths, own, size - top, spare, budget):
+            fill = {top: fill.get(top, 0) + 1, **{k: c for k, c in fill.items() if k != top}}
+            most = min(left[k] // c for k, c in fill.items())
+            for m in range(min(most, spare // w) if w else most, 0, -1):
+                yield fill, m
+
+    levels = [choices()]
+    while levels and fewest > bound and budget[0] > 0:
+        if len(plan) == len(levels):                # take this level's last bins back
+            fill, m = plan.pop()
+            waste -= m * (size - sum(k * c for k, c in fill.items()))
+            for k, c in fill.items():
+                left[k] = left.get(k, 0) + c * m
+        step = next(levels[-1], None)
+        budget[0] -= 1
+        if step is None:
+            levels.pop()
             continue
-        nodes += 1
-        w, fill = open_choices[-1].pop()
-        m = min(left[k] // c for k, c in fill.items())
-        if waste + w * m > (fewest - 1) * size - total:      # as many bins as the incumbent: use it less often or not
-            spare = (fewest - 1) * size - total - waste
-            m = 0 if spare < 0 else min(m, spare // w) if w else m
-            if m <= 0:
-                down = False
-                if len(plan) < len(open_choices):
-                    plan.append(({}, 0))
-                continue
-        plan.append((fill, m))
-        bins += m
-        waste += w * m
+        fill, m = step
+        lost = m * (size - sum(k * c for k, c in fill.items()))
+        if waste + lost > (fewest - 1) * size - total:      # the incumbent got better meanwhile
+            continue
+        plan.append(step)
+        waste += lost
         for k, c in fill.items():
             left[k] -= c * m
-        lengths = [k for k in lengths if left[k]]
-        down = True
-    return [(f, m) for f, m in best if m]
+            if not left[k]:
+                del left[k]
+        if left:
+            levels.append(choices())
+        else:
+            best, fewest = list(plan), sum(m for _, m in plan)
+    return best, bound, fewest <= bound or budget[0] > 0
 
 
 def places(plan: Plan) -> np.ndarray:
@@ -293,18 +350,22 @@ def places(plan: Plan) -> np.ndarray:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *,
-         size: int = SEQUENCE_TOKENS) -> DataFrame:
+         size: int = SEQUENCE_TOKENS, search_steps: int = SEARCH_STEPS) -> DataFrame:
     """Pack all documents into few sequences of at most ``size`` tokens.
 
     A document's ids are its tokens and the end id 0; longer ones are cut into pieces of
     ``size``, the last may be shorter. Returns one row per piece: doc_id, piece, start,
     length, ids_crc32, sequence_id, offset. A null or empty text is the end id alone.
     Repeated rows, and rows of one doc_id, are documents of their own; a null id stays
-    null. An empty table gives no rows. Other columns are not read."""
+    null. An empty table gives no rows. Other columns are not read.
+
+    The fewest sequences are found unless the search runs out of ``search_steps``, a bound
+    on the driver's time alone: no piece is ever lost, and ``bin_completion`` says whether
+    fewer could do."""
     pieces = token_pieces(docs, tokenizer_path, id_col, text_col, size)
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = places(bin_completion(counts, size))
+    table = places(bin_completion(counts, size, search_steps)[0])
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = by_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ranked = pieces.join(before, ["part", "length"]).select(

@@ -52,7 +52,7 @@ def test_ids_equal_on_documents():
 def test_fillings_hold_all_pieces(seed):
     rng = random.Random(seed)
     sizes = [rng.randint(1, 60) if seed % 2 else rng.randint(20, 55) for _ in range(rng.randint(1, 400))]
-    plan = P.bin_completion(dict(collections.Counter(sizes)), 100)
+    plan, bound, _ = P.bin_completion(dict(collections.Counter(sizes)), 100, 100_000)
     got = collections.Counter()
     for fill, bins in plan:
         assert sum(k * c for k, c in fill.items()) <= 100
@@ -60,12 +60,59 @@ def test_fillings_hold_all_pieces(seed):
             got[k] += c * bins
     assert got == collections.Counter(sizes)
     fit = sum(m for _, m in P.best_fit_decreasing(dict(collections.Counter(sizes)), 100))
-    assert -(-sum(sizes) // 100) <= sum(m for _, m in plan) <= fit
+    assert -(-sum(sizes) // 100) <= bound <= sum(m for _, m in plan) <= fit
 
 
 def test_completion_beats_best_fit():
     sizes = collections.Counter({60: 2, 50: 2, 40: 1, 30: 2, 20: 4})         # total 400
-    assert sum(m for _, m in P.bin_completion(dict(sizes), 100)) == 4
+    assert sum(m for _, m in P.bin_completion(dict(sizes), 100)[0]) == 4
+    plan, bound, sure = P.bin_completion({k: 1 for k in (30, 32, 38, 49, 16, 21, 25, 29, 34, 26)}, 100)
+    assert (sum(m for _, m in plan), bound, sure) == (3, 3, True)
+
+
+def fewest_bins(sizes, room):
+    """Exact, over all subsets: the fewest bins, then the least used of the last one."""
+    best = [(0, room)] + [(len(sizes) + 1, 0)] * ((1 << len(sizes)) - 1)
+    for own, (bins, used) in enumerate(best):
+        bins, used = best[own]
+        for i, x in enumerate(sizes):
+            if not own >> i & 1:
+                best[own | 1 << i] = min(best[own | 1 << i], (bins, used + x) if used + x <= room else (bins + 1, x))
+    return best[-1][0]
+
+
+def test_completion_is_exact_on_small_mixes():
+    rng, worse = random.Random(11), 0
+    for _ in range(3000):
+        room = rng.choice([20, 50, 100])
+        sizes = [rng.randint(rng.choice([1, room // 6]), rng.choice([room // 2, room])) for _ in range(rng.randint(1, 10))]
+        counts = dict(collections.Counter(sizes))
+        plan, bound, sure = P.bin_completion(counts, room)
+        want = fewest_bins(sizes, room)
+        assert sure and bound <= want == sum(m for _, m in plan), sizes
+        assert collections.Counter({k: sum(f.get(k, 0) * m for f, m in plan) for k in counts}) == collections.Counter(sizes)
+        worse += sum(m for _, m in P.best_fit_decreasing(counts, room)) > want
+    assert worse > 20                      # best fit alone would fail
+
+
+def test_fillings_are_the_undominated_ones():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 8))]
+        room, counts = rng.randint(10, 40), collections.Counter(sizes)
+        every = {tuple(sorted(x for i, x in enumerate(sizes) if own >> i & 1)) for own in range(1 << len(sizes))}
+        every = [collections.Counter(f) for f in every if sum(f) <= room]
+        want = [b for b in every if not any(a != b and P.covers(a, b) for a in every)]
+        got = list(P.fillings(sorted(counts), dict(counts), room, room, [10 ** 6]))
+        assert all(w == room - sum(k * c for k, c in f.items()) for w, f in got) and [w for w, _ in got] == sorted(w for w, _ in got)
+        assert sorted(map(sorted, (collections.Counter(f).elements() for _, f in got))) == sorted(sorted(f.elements()) for f in want)
+
+
+def test_search_ends_with_its_steps():
+    rng = random.Random(2)
+    counts = dict(collections.Counter(rng.randint(200, 1400) for _ in range(300)))
+    plan, bound, sure = P.bin_completion(counts, 2048, 5000)
+    assert not sure and bound < sum(m for _, m in plan) == sum(m for _, m in P.best_fit_decreasing(counts, 2048))
 
 
 def test_pack(spark, make_docs, texts):
