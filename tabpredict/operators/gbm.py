@@ -458,13 +458,13 @@ def best_round(loss: list[float], start: int, patience: int) -> int | None:
 
 def boost(df: DataFrame, features: Sequence[str], label: str = "label", rounds: int = 1000, settings: Settings = Settings(), *,
           init: BoostedTrees | None = None, together: int | None = None, valid: DataFrame | None = None, early_stopping: int = 0,
-          stop_every: int = 50) -> BoostedTrees:
+          stop_every: int = 50, edges: list[list[float]] | None = None) -> BoostedTrees:
     """Fit ``rounds`` trees, or as many more on top of ``init``.
 
     ``early_stopping`` > 0: stop when the log-loss on ``valid`` (default: the training rows) has not
     fallen for so many rounds, and cut back to its best; looked at every ``stop_every`` rounds. Rows
     without a label are left out; missing values go left. One class only, or no rows: the base margin
-    alone. ``together`` overrides TOGETHER."""
+    alone. ``together`` overrides TOGETHER; ``edges`` are bins made before (``bin_edges``)."""
     features = list(features)
     y = F.col(f"`{label}`").cast("int")
     counts = df.agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")).first()
@@ -473,7 +473,7 @@ def boost(df: DataFrame, features: Sequence[str], label: str = "label", rounds:
     model = init if init is not None else BoostedTrees(features, base)
     if not pos or not neg or not features or rounds <= 0:
         return model
-    edges = bin_edges(df, features, settings.max_bins)
+    edges = bin_edges(df, features, settings.max_bins) if edges is None else edges
     blocks = bin_rows(df, features, label, init.margin() if init is not None else F.lit(base), edges)
     here = (counts["pos"] + counts["neg"]) * len(features) <= (TOGETHER if together is None else together)
     start, apart = model.n_trees, None if here else RowsApart(blocks, len(features), settings)

@@ -20,22 +20,25 @@ from pyspark.sql import functions as F
 TARGET_ROWS = 200_000
 
 
+def in_ranges(df: DataFrame, order_col: str, target_rows: int = TARGET_ROWS, n: int | None = None) -> DataFrame:
+    """Adds ``__b``: the number of the row's range of ``order_col``, in ascending order."""
+    n = df.count() if n is None else n
+    ranges = max(1, math.ceil(n / target_rows))
+    bounds = (sorted(set(df.approxQuantile(order_col, [i / ranges for i in range(1, ranges)],
+                                           1.0 / (4 * ranges)))) if ranges > 1 else [])
+    if not bounds:
+        return df.withColumn("__b", F.lit(0.0))
+    cut = df.withColumn("__o", F.col(order_col).cast("double"))
+    return Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__o", outputCol="__b").transform(cut).drop("__o")
+
+
 def ranged_cumsum(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                   descending: bool = True, prefix: str = "cum_",
                   target_rows: int = TARGET_ROWS, n: int | None = None) -> DataFrame:
     """Adds ``cum_<c>``: inclusive running sum of each ``c`` in ``order_col``
     order. ``order_col`` must be unique (aggregate to distinct values first).
     ``n`` = row count of ``df`` if the caller already has it."""
-    n = df.count() if n is None else n
-    ranges = max(1, math.ceil(n / target_rows))
-    bounds = (sorted(set(df.approxQuantile(order_col, [i / ranges for i in range(1, ranges)],
-                                           1.0 / (4 * ranges)))) if ranges > 1 else [])
-    cut = df.withColumn("__o", F.col(order_col).cast("double"))
-    if bounds:
-        cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__o", outputCol="__b").transform(cut)
-    else:
-        cut = cut.withColumn("__b", F.lit(0.0))
-    cut = cut.drop("__o")
+    cut = in_ranges(df, order_col, target_rows, n)
 
     def way(c: str):
         return F.col(c).desc() if descending else F.col(c).asc()

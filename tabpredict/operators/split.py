@@ -15,12 +15,13 @@ import math
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash32
 from ..session import materialize as write_once
 from .orderstat import kth_values
+from .ranged import TARGET_ROWS, in_ranges
 
 
 MAX_TIED_KEYS = 100_000
@@ -126,6 +127,46 @@ def assign_folds(df: DataFrame, key: str, k: int = 5, out: str = "fold") -> Data
     return df.withColumn(out, fold.cast("int"))
 
 
+#: Classes up to which the table of their folds' first keys is broadcast (k - 1 numbers a class).
+BROADCAST_CLASSES = 10_000
+
+
+def assign_stratified_folds(df: DataFrame, key: str, label: str = "label", k: int = 4, out: str = "fold",
+                            target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Contiguous folds in key order within each class, as an unshuffled stratified k-fold
+    split: of a class's n rows the first n % k folds get one more.
+
+    No class is ranked as a whole. The key is cut into ranges of about ``target_rows`` rows;
+    counts by (class, range) say in which range each fold of a class begins, and only the
+    rows of those ranges are counted by key to find the fold's first key. The fold is then a
+    projection. Three passes. Equal keys of a class share a fold; a null label is a class;
+    rows whose (numeric) key is null or NaN get fold 0. A class of fewer than k rows leaves its
+    last folds empty."""
+    v = F.nanvl(F.col(key).cast("double"), F.lit(None).cast("double"))
+    cut = in_ranges(df.select(F.col(label).alias("c"), v.alias("v")).where("v IS NOT NULL"), "v", target_rows)
+    sizes = cut.groupBy("c", "__b").agg(F.count(F.lit(1)).alias("n"))
+    by_class = Window.partitionBy("c")
+    before = F.coalesce(F.sum("n").over(by_class.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fold = F.col("i")
+    first = fold * F.expr(f"total div {k}") + F.least(fold, F.col("total") % k)         # rows of the class ahead of fold i
+    begins = (sizes.select("*", before.alias("before"), F.sum("n").over(by_class).alias("total"))
+              .withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(k - 1))) if k > 1 else F.explode(F.array().cast("array<int>")))
+              .withColumn("first", first - F.col("before")).where("first >= 0 AND first < n").select("c", "__b", "first"))
+    begins = write_once(begins, "folds")
+    a, b = F.col("x.c").eqNullSafe(F.col("y.c")), F.col("x.__b") == F.col("y.__b")
+    near = cut.alias("x").join(begins.select("c", "__b").distinct().alias("y"), a & b, "left_semi")
+    upto = F.sum("m").over(Window.partitionBy("c", "__b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = near.groupBy("c", "__b", "v").agg(F.count(F.lit(1)).alias("m")).withColumn("upto", upto)
+    here = (F.col("y.first") < F.col("x.upto")) & (F.col("y.first") >= F.col("x.upto") - F.col("x.m"))
+    starts = ranked.alias("x").join(begins.alias("y"), a & b & here).groupBy("x.c").agg(F.collect_list("x.v").alias("__starts"))
+    starts = write_once(starts.withColumnRenamed("c", "__class"), "folds")
+    if starts.count() <= BROADCAST_CLASSES:
+        starts = F.broadcast(starts)
+    passed = F.coalesce(F.size(F.filter("__starts", lambda x: x <= v)), F.lit(0))
+    return df.join(starts, F.col(label).eqNullSafe(F.col("__class")), "left").select(
+        *[F.col(f"`{c}`") for c in df.columns if c != out], F.when(v.isNull() | F.col("__starts").isNull(), 0).otherwise(passed).alias(out))
+
+
 def hash_folds(df: DataFrame, key: str, k: int = 5, seed: int = 0, out: str = "fold") -> DataFrame:
     """Shuffled folds of near-equal size: hash of (key, seed) modulo k."""
     return df.withColumn(out, (hash32(key, F.lit(seed)) % k).cast("int"))

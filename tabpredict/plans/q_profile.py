@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as C
 from ..operators import profile as PR
 from ..operators.scale import standardize
-from ..operators.split import assign_folds, split_holdout
+from ..operators.split import assign_folds, assign_stratified_folds, split_holdout
 from ..session import shared_path
 from ..sources.tables import CHURN_FEATURES, churn_obs, raw_obs, read_csv
 from .fixtures_sql import with_ctes
@@ -127,6 +127,14 @@ def q_assign_folds(spark, sf):
     return assign_folds(churn_obs(spark, sf), "row_id", 5).select("row_id", "fold")
 
 
+@query("assign_stratified_folds", with_ctes("""
+SELECT row_id, label, CAST(CASE WHEN i < n % 4 * (n // 4 + 1) THEN i // (n // 4 + 1) ELSE n % 4 + (i - n % 4 * (n // 4 + 1)) // (n // 4) END AS INTEGER) AS fold
+FROM (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY row_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM churn_obs)""", "churn_obs"))
+def q_assign_stratified_folds(spark, sf):
+    """Four folds with the same share of each class."""
+    return assign_stratified_folds(churn_obs(spark, sf), "row_id", "label", 4).select("row_id", "label", "fold")
+
+
 # -- X4, X5 --------------------------------------------------------------------
 
 def _std_sql(cols: list[str]) -> str:
