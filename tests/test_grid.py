@@ -95,6 +95,6 @@ def test_halving(rows):
     for _, _, cell, share, area in flat:
         assert share == sum(r[3] for r in scores if r[0] == cell) / 600
         assert area == pytest.approx(np.mean([r[4] for r in scores if r[0] == cell]))
-    twins = R.successive_halving(rows, ["a", "b"], [CELLS[2], replace(CELLS[2], max_leaves=9, learning_rate=0.5, min_hessian=0.0)], 3, keep=2)
+    twins = R.successive_halving(rows, ["a", "b"], [CELLS[2], replace(CELLS[2], max_leaves=9, learning_rate=0.5, min_hessian=0.0, l2=1.0)], 3, keep=2)
     assert [r[3] for r in twins] == [twins[0][3]] * 2 and twins[0][2] == 1 and twins[0][4] > twins[1][4]     # all say no: AUC decides
     assert R.successive_halving(rows, ["a", "b"], [], 4) == [] == R.fold_scores(rows.limit(0), ["a", "b"], CELLS, 4)
