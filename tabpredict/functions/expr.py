@@ -43,8 +43,8 @@ def str_prefix(c, n: int) -> Column:
     return F.left(_col(c), F.lit(n))
 
 
-def binarize(c, cut: float = 0.5, strict_above: bool = True) -> Column:
-    """1 where the score is above ``cut`` (or below it when not strict_above)."""
+def binarize(c, cut: float | None = 0.5, strict_above: bool = True) -> Column:
+    """1 where the score is above ``cut`` (or below it when not strict_above); without a cut, 0."""
     cond = _col(c) > F.lit(cut) if strict_above else _col(c) < F.lit(cut)
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
 

@@ -1,6 +1,6 @@
 """Cleaning and encoding: flags, sentinels, text slices, ordinal codes,
 null fill, casts, column drops and moves. All are projections except the
-ordinal encoder, which sorts the distinct values and joins their codes."""
+ordinal encoder, which numbers the distinct values and joins their codes."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import flag, str_prefix, str_suffix
+from ..session import materialize
 
 
 def encode_flags(df: DataFrame, positives: Mapping[str, str]) -> DataFrame:
@@ -35,10 +36,15 @@ def keep_prefix(df: DataFrame, col: str, n: int = 1) -> DataFrame:
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
     """(value, code): codes 0..k-1 of the column's distinct values in ascending text
-    order. Only the distinct values are sorted (in one task, which may spill);
-    nothing goes to the driver."""
+    order. The distinct values are dealt out by ranges, written once (ranges come from a
+    sample and must not change between uses) and numbered within their range, after the
+    sizes of the ranges before it; nothing goes to the driver."""
     values = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+    dealt = materialize(values.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "codes")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))    # a row a range
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("value"))
+    return dealt.join(offsets, "part").select("value", (F.col("before") + nth - 1).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], codes: Mapping[str, DataFrame] | None = None) -> DataFrame:

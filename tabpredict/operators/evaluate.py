@@ -175,12 +175,13 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "p", digits: int
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "p", digits: int = 6) -> DataFrame:
     """Trapezoid area under the ROC curve of a continuous score (ties share
-    a diagonal segment, as in the rank formula)."""
+    a diagonal segment, as in the rank formula). The pairs are summed in 38
+    digits: their number passes 64 bits from some 2e9 rows a class."""
     pts, P, N = roc_points(df, label, score)
     if P == 0 or N == 0:
         return pts.sparkSession.range(1).select(F.lit(None).cast("double").alias("roc_auc"))
-    area = F.sum(F.col("fp") * (2 * F.col("cum_tp") - F.col("tp")))
-    return pts.agg(F.round(area / F.lit(2.0 * P * N), digits).alias("roc_auc"))
+    area = F.sum(F.col("fp").cast("decimal(18,0)") * (2 * F.col("cum_tp") - F.col("tp")).cast("decimal(19,0)"))
+    return pts.agg(F.round(area.cast("double") / F.lit(2.0 * P * N), digits).alias("roc_auc"))
 
 
 def youden_threshold(df: DataFrame, label: str = "label", score: str = "p",

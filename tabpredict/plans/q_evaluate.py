@@ -69,8 +69,8 @@ def class_median_score(spark, sf):
 def binarize_median(spark, sf):
     d = scored_s(spark, sf)
     med = class_medians(d)
-    return d.select("row_id", "label", binarize("s", med[0], strict_above=False).alias("pred_mnc"),
-                    binarize("s", med[1], strict_above=False).alias("pred_mc"))
+    return d.select("row_id", "label", binarize("s", med.get(0), strict_above=False).alias("pred_mnc"),
+                    binarize("s", med.get(1), strict_above=False).alias("pred_mc"))
 
 
 @query("segment_at_risk", with_ctes(
@@ -79,7 +79,7 @@ def binarize_median(spark, sf):
 def segment_at_risk(spark, sf):
     d = scored_s(spark, sf)
     med = class_medians(d)
-    return d.where(F.col("s") <= F.lit(med[0])).select("row_id", "label", F.round("s", 6).alias("s"))
+    return d.where(F.col("s") <= F.lit(med.get(0))).select("row_id", "label", F.round("s", 6).alias("s"))
 
 
 @query("segment_class_share", with_ctes(
@@ -88,7 +88,7 @@ def segment_at_risk(spark, sf):
 def segment_class_share(spark, sf):
     d = scored_s(spark, sf)
     med = class_medians(d)
-    return PR.segment_class_share(d.where(F.col("s") <= F.lit(med[1])), "label")
+    return PR.segment_class_share(d.where(F.col("s") <= F.lit(med.get(1))), "label")
 
 
 # -- E1 - E3, E6, E8, E9 ---------------------------------------------------------

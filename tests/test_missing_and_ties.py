@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from tabpredict.operators import clean as C
 from tabpredict.operators import evaluate as EV
 from tabpredict.operators import gram as G
 from tabpredict.operators import select as S
@@ -89,3 +91,27 @@ def test_early_stop_cuts_back_to_the_best(spark):
     best = min(range(len(losses)), key=losses.__getitem__)
     assert len(got.trees) == got.history[best][0] or len(losses) == 8
     assert not any(math.isnan(v) for v in losses)
+
+
+def test_codes_over_ranges(spark):
+    rng = np.random.default_rng(6)
+    words = sorted({"".join(chr(97 + c) for c in rng.integers(0, 26, 3)) for _ in range(900)} | {"", "\u00e9", "Z"}, key=lambda w: w.encode())
+    df = spark.createDataFrame([(w,) for w in words * 2] + [(None,)], "m string").repartition(5)
+    got = C.label_codes(df, "m")
+    assert [(r["value"], r["code"]) for r in got.orderBy("code").collect()] == [(w, i) for i, w in enumerate(words)]
+    assert C.label_codes(df.limit(0), "m").count() == 0
+
+
+def test_area_beyond_64_bits(spark, monkeypatch):
+    points = spark.createDataFrame([(0.9, 3 * 10 ** 9, 10 ** 9, 3 * 10 ** 9, 10 ** 9), (0.1, 10 ** 9, 3 * 10 ** 9, 4 * 10 ** 9, 4 * 10 ** 9)],
+                                   "threshold double, tp long, fp long, cum_tp long, cum_fp long")
+    monkeypatch.setattr(EV, "roc_points", lambda *a: (points, 4 * 10 ** 9, 4 * 10 ** 9))
+    assert EV.roc_auc(points).first()["roc_auc"] == 0.75
+
+
+def test_cuts_of_an_absent_class(spark, monkeypatch):
+    from tabpredict.plans import q_evaluate as Q
+    rows = spark.createDataFrame([(i, 0, i / 10) for i in range(5)], "row_id long, label int, s double")
+    monkeypatch.setattr(Q, "scored_s", lambda *a: rows)
+    assert [tuple(r) for r in Q.binarize_median(spark, "").orderBy("row_id").collect()] == [(i, 0, int(i < 2), 0) for i in range(5)]
+    assert Q.segment_at_risk(spark, "").count() == 3 and Q.segment_class_share(spark, "").count() == 0
