@@ -96,7 +96,11 @@ class Partition:
     """A learned partition: classifier weights and how many parts a query probes."""
 
     def __init__(self, sample: np.ndarray, parts: int, k: int, recall: float):
-        x = unit(sample)
+        every = unit(sample)
+        # queries that measure recall are kept out of the graph and of the fit
+        held = np.zeros(len(every), bool)
+        held[::max(4, len(every) // MEASURE_ROWS)] = len(every) >= 8
+        x, asked = every[~held], every[held]
         parts = max(1, min(parts, len(x) // 16))
         edges = graph(x, GRAPH_DEGREE)
         part = balanced_parts(x, edges, parts)
@@ -105,13 +109,12 @@ class Partition:
             np.add.at(target, (np.repeat(np.arange(len(x)), edges.shape[1]), part[edges].ravel()), 1 / edges.shape[1])
         target = 0.5 * target + 0.5 * np.eye(parts)[part] if edges.shape[1] else np.eye(parts)[part]
         self.w, self.b = train_classifier(x, target)
-        # how far down a query's ranking of parts its true neighbours lie, on the sample
+        # how far down a held-out query's ranking of parts its true neighbours in the sample lie
         own = (x @ self.w + self.b).argmax(1)
-        asked = np.arange(0, len(x), max(1, len(x) // MEASURE_ROWS))
-        order = np.argsort(-(x[asked] @ self.w + self.b), axis=1, kind="stable")
+        order = np.argsort(-(asked @ self.w + self.b), axis=1, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(parts)[None, :].repeat(len(asked), 0), 1)
-        near = graph(x, k)[asked]
+        near = np.argpartition(-(asked @ x.T), min(k, len(x)) - 1, axis=1)[:, :k] if len(asked) else np.zeros((0, 1), np.int64)
         depth = np.take_along_axis(rank, own[near], 1).ravel() if near.size else np.zeros(1, np.int64)
         found = np.cumsum(np.bincount(depth, minlength=parts)) / len(depth)
         self.probes = int(np.argmax(found >= recall)) + 1
@@ -134,8 +137,9 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     the smaller vec_id; all candidates if fewer than k. A query is no candidate of itself;
     other rows, copies of it too, are. Vectors that are null, empty, zero or hold null or
     non-finite components take no part, nor do null ids and vectors of another length than
-    the most common (ties: the shorter). Repeated rows of one id are searched once: the
-    first in the order of their components counts. An empty table gives no rows."""
+    the most common (ties: the shorter). Rows of one id are queries and candidates of their
+    own, repeated rows too: equal rows are searched once and counted as often as they are
+    there. An empty table gives no rows."""
     cell = F.col("cell")
     fine = (F.col("id").isNotNull() & cell.isNotNull() & ~F.exists(cell, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
             & F.exists(cell, lambda v: v != 0))
@@ -146,9 +150,10 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     if common is None:
         return rows.sparkSession.createDataFrame([], shape)
     size, n = common["n"], common["count"]
-    full = sized.where(F.size("cell") == size).groupBy("id").agg(F.min("cell").alias("cell"), F.max("asked").alias("asked"))
+    full = sized.where(F.size("cell") == size).groupBy("id", "cell").agg(
+        F.count(F.lit(1)).alias("copies"), F.count_if("asked").alias("asks"))
     share = min(1.0, sample_rows / n)
-    sample = full.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).select("cell").limit(2 * sample_rows).toPandas()
+    sample = full.where(F.pmod(F.xxhash64("id", "cell"), F.lit(1_000_003)) < share * 1_000_003).select("cell").limit(2 * sample_rows).toPandas()
     if len(sample) < 2:
         sample = full.select("cell").limit(sample_rows).toPandas()
     learned = Partition(np.stack(sample["cell"].to_numpy()), int(np.clip(n // part_rows, LEAST_PARTS, MOST_PARTS)), k, recall)
@@ -159,50 +164,60 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
             if not len(x):
                 continue
             probe = learned.ranked(x, learned.probes)
-            asked = batch.column("asked").to_numpy(zero_copy_only=False).astype(bool)
+            asked = batch.column("asks").to_numpy() > 0
             lists = [p if a else p[:0] for p, a in zip(probe, asked)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cell"), pa.array(probe[:, 0].astype(np.int32)),
-                                              pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], names=["id", "cell", "part", "probes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "cell", "copies", "asks")), pa.array(probe[:, 0].astype(np.int32)),
+                                              pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], names=["id", "cell", "copies", "asks", "part", "probes"])
 
-    placed = full.mapInArrow(route, "id long, cell array<double>, part int, probes array<int>")
+    placed = full.mapInArrow(route, "id long, cell array<double>, copies long, asks long, part int, probes array<int>")
     sizes = placed.groupBy("part").agg(F.count("*").alias("n_rows"))
-    asks = placed.select("id", "cell", F.explode("probes").alias("part"))
+    asks = placed.select("id", "cell", "asks", F.explode("probes").alias("part"))
     loads = asks.groupBy("part").agg(F.count("*").alias("n_asks"))
     cuts = sizes.join(loads, "part").select("part", F.ceil(F.col("n_rows") / BLOCK_ROWS).cast("int").alias("rb"),
                                             F.ceil(F.col("n_asks") / BLOCK_QUERIES).cast("int").alias("qb"))
     cuts = F.broadcast(cuts)                                    # a row a part: at most MOST_PARTS
-    base = placed.select("id", "cell", "part").join(cuts, "part").select(
-        "id", "cell", "part", F.pmod(F.xxhash64("id"), F.col("rb")).cast("int").alias("r"),
+    base = placed.select("id", "cell", "copies", "part").join(cuts, "part").select(
+        "id", "cell", "copies", "part", F.pmod(F.xxhash64("id", "cell"), F.col("rb")).cast("int").alias("r"),
         F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"))
     asks = asks.join(cuts, "part").select(
-        F.col("id").alias("ask"), F.col("cell").alias("ask_cell"), "part", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"),
-        F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("q"))
+        F.col("id").alias("ask"), F.col("cell").alias("ask_cell"), "asks", "part", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"),
+        F.pmod(F.xxhash64("id", "cell"), F.col("qb")).cast("int").alias("q"))
+    asks = asks.select("ask", "ask_cell", F.xxhash64("ask_cell").alias("ask_key"), "asks", "part", "r", "q")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, qids = left.column("id").to_numpy(), right.column("ask").to_numpy()
-        out = [[], [], []]
+        copies, keys, times = left.column("copies").to_numpy(), right.column("ask_key").to_numpy(), right.column("asks").to_numpy()
+        out = [[], [], [], [], []]
         if len(ids) and len(qids):
             x, y = vectors(left.column("cell").combine_chunks(), size), vectors(right.column("ask_cell").combine_chunks(), size)
             norm, asked_norm = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
             scaled = (x / norm[:, None]).T
             for lo in range(0, len(y), 256):
                 near = (y[lo:lo + 256] / asked_norm[lo:lo + 256, None]) @ scaled
-                near[qids[lo:lo + 256, None] == ids[None, :]] = -np.inf
+                # a query's own row: of equal rows all but one are candidates
+                at, own = np.nonzero(qids[lo:lo + 256, None] == ids[None, :])
+                same = (y[lo + at] == x[own]).all(1)
+                itself = dict(zip(at[same].tolist(), own[same].tolist()))
+                alone = same & (copies[own] == 1)
+                near[at[alone], own[alone]] = -np.inf
                 most = min(k, near.shape[1])
                 floor = np.partition(near, near.shape[1] - most, axis=1)[:, near.shape[1] - most]
                 for i in range(len(near)):
                     # all rows that rounding cannot tell from the k-th, scored once more row by row
                     own = np.flatnonzero((near[i] >= floor[i] - 1e-12) & (near[i] > -np.inf))
                     score = (x[own] * y[lo + i]).sum(1) / (norm[own] * asked_norm[lo + i])
-                    best = own[np.lexsort((ids[own], -score))[:k]]
-                    out[0].append(np.full(len(best), qids[lo + i]))
-                    out[1].append(ids[best])
-                    out[2].append((x[best] * y[lo + i]).sum(1) / (norm[best] * asked_norm[lo + i]))
+                    best = np.lexsort((ids[own], -score))[:k]
+                    n = copies[own[best]] - (own[best] == itself.get(i, -1))
+                    best = np.repeat(best, np.minimum(n, k))[:k]
+                    for column, cell in zip(out, (qids[lo + i], keys[lo + i], times[lo + i])):
+                        column.append(np.full(len(best), cell))
+                    out[3].append(ids[own[best]])
+                    out[4].append(score[best])
         cells = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table({"query_id": pa.array(cells[0].astype(np.int64)), "vec_id": pa.array(cells[1].astype(np.int64)),
-                         "score": pa.array(cells[2].astype(np.float64))})
+        return pa.table({c: pa.array(cells[i].astype(np.int64 if i < 4 else np.float64)) for i, c in enumerate(("query_id", "ask_key", "asks", "vec_id", "score"))})
 
-    found = base.groupBy("part", "r", "q").cogroup(asks.toDF("ask", "ask_cell", "ask_part", "ask_r", "ask_q").groupBy("ask_part", "ask_r", "ask_q")).applyInArrow(
-        search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = base.groupBy("part", "r", "q").cogroup(asks.toDF("ask", "ask_cell", "ask_key", "asks", "ask_part", "ask_r", "ask_q").groupBy("ask_part", "ask_r", "ask_q")).applyInArrow(
+        search, "query_id long, ask_key long, asks long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "ask_key").orderBy(F.desc("score"), "vec_id"))
+    first = found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    return first.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "asks"))).select("query_id", "rank", "vec_id", "score")

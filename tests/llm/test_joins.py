@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("tabpredict.llm")
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from tabpredict.llm import components as C  # noqa: E402
 from tabpredict.llm import jaccard_join as J  # noqa: E402
 from tabpredict.llm.decontaminate import decontaminate  # noqa: E402
-from tabpredict.llm.neighbours import nearest  # noqa: E402
+from tabpredict.llm.neighbours import Partition, nearest  # noqa: E402
 from tabpredict.llm.queries import ORACLE  # noqa: E402,F401
 from tabpredict.llm.url_filter import filter_urls, mine_rules  # noqa: E402
 
@@ -148,6 +149,40 @@ def test_nearest(spark):
     assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_rows_of_one_id_are_candidates(spark):
+    rows = [(50, [1.0, 0.0])] + [(7, [1.0, 0.1]), (7, [0.0, 1.0])] + [(3, [1.0, 1.0])] * 3 + [(100, [2.0, 2.0])] * 2 + [(100, [-1.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 50 == 0, recall=1.0).collect():
+        got.setdefault((r.query_id, r.rank), []).append((r.vec_id, round(r.score, 6)))
+    near = [(i, np.array(v)) for i, v in rows if i is not None]
+    want = {}
+    for k, (q, x) in enumerate(near):
+        if q % 50 == 0:
+            found = sorted((-round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 6), i) for j, (i, y) in enumerate(near) if j != k)[:5]
+            for n, (score, i) in enumerate(found):
+                want.setdefault((q, n + 1), []).append((i, -score))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert got[50, 1] == [(7, 0.995037)] and sorted(len(v) for v in got.values()) == [1] * 5 + [3] * 5
+
+
+def test_clustered_rows_probe_few_parts(spark):
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(300, 16))
+    x = (middle[rng.integers(0, 300, 40_000)] + 0.25 * rng.normal(size=(40_000, 16))).astype(np.float32).astype(float)
+    learned = Partition(x[:16_384], 64, 5, 0.97)
+    assert 2 * learned.probes < 64 and learned.measured >= 0.97
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()})).repartition(8)
+    got = {(r.query_id, r.vec_id) for r in nearest(df, F.col("vec_id") % 50 == 0, part_rows=625).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(x), 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += sum((q, int(i)) in got for i in np.argsort(-score)[:5])
+    assert len(got) == 5 * 800 and hits >= 0.9 * len(got)
+
+
 def test_nearest_recall_on_the_tables(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = {(r.query_id, r.vec_id) for r in nearest(df, F.col("vec_id") % 50 == 0).collect()}
