@@ -1,16 +1,18 @@
 """License scan by conditional compression.
 
 Windows of words that share enough words with a template are candidates; white space and
-line breaks don't count, so a notice may be wrapped, and a line may hold several. Each
-window is aligned with its template: which words it lacks and which it has beyond the
-template. Few enough differences, none of them in a word that names another license,
-and bytes saved by the template as a zstandard raw dictionary confirm the notice.
+line breaks don't count, so a notice may be wrapped, and a line may hold several. Every
+candidate is compressed with each template as a zstandard raw dictionary, and templates are
+ranked by the bytes that they save. Down this ranking the candidate is aligned with the
+template: which words it lacks and which it has beyond it. The first with few enough
+differences, none of them in a word that names another license, is confirmed.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,7 @@ SHARED, DIFFERENT = 0.6, 0.25
 #: Words that tell licenses apart, besides numbers. None of them may be missing or added.
 TELLING = set("mit apache gnu affero lesser library mozilla cc cc0 nc nd sa noncommercial noderivatives noderivs sharealike bsd".split())
 SLICE_BYTES = 2 << 20
+LEVEL = 19
 
 #: Words are runs of ASCII letters, digits and bytes beyond ASCII.
 WORDS = ALNUM.copy()
@@ -83,46 +86,62 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]]):
         import zstandard
         self.names = [(name, spoken(line)) for name, line in templates]
-        self.plain = zstandard.ZstdCompressor(level=19)
-        self.given = [zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(
-            line.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, line in templates]
-
-    def saved(self, k: int, text: str) -> int:
-        """Bytes that the template saves on a text."""
+        self.plain = zstandard.ZstdCompressor(level=LEVEL)
+        self.given = []
+        for _, line in templates:
+            own = zstandard.ZstdCompressionDict(line.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(level=LEVEL)
+            self.given.append(zstandard.ZstdCompressor(dict_data=own))
+
+    def savings(self, text: str) -> list[int]:
+        """Bytes that each template saves on a text."""
         raw = " ".join(text.lower().split()).encode()
-        return len(self.plain.compress(raw)) - len(self.given[k].compress(raw))
-
-    def notices(self, windows: list[tuple[int, int, int, bool]], read) -> list[dict]:
-        """Non-overlapping confirmed notices of a text. ``windows``: template, first word, end, and whether the
-        words there are the template's own; ``read(i, j)``: the text of the words i to j."""
-        out: list[dict] = []
-
-        def accept(found):
-            for key, k, first, end, missing, added in sorted(found, key=lambda x: x[0]):
-                if all(end <= o["first"] or o["end"] <= first for o in out):
-                    out.append({"first": first, "end": end, "license": self.names[k][0], "saved": -key[1], "exact": not missing and not added,
-                                "missing": missing, "added": added})
-
-        def key(k, first, end, n):
-            name, own = self.names[k]
-            return n / len(own), -self.saved(k, read(first, end)), -len(own), name, first
-
-        accept([(x, k, at, at + len(self.names[k][1]), [], []) for k, at, _, same in windows if same
-                for x in [key(k, at, at + len(self.names[k][1]), 0)] if x[1] < 0])
-        taken, found = sorted((o["first"], o["end"]) for o in out), []
-        for k, at, end, same in windows:
-            if same or any(a <= at < b for a, b in taken):
-                continue
-            end = min([end, *(a for a, _ in taken if a > at)])
-            name, own = self.names[k]
-            missing, added, first, last = wording(own, spoken(read(at, end)))
-            if len(missing) + len(added) > DIFFERENT * len(own) or any(w in TELLING or w.isdigit() for w in missing + added):
+        alone = len(self.plain.compress(raw))
+        return [alone - len(c.compress(raw)) for c in self.given]
+
+    def confirmed(self, text: str) -> tuple | None:
+        """The first template that wording confirms, of those that save bytes on the text, the largest
+        saving first (ties: the longer template, then the name): (saving, template, missing, added, first, last)."""
+        gains, words = self.savings(text), spoken(text)
+        for k in sorted(range(len(gains)), key=lambda k: (-gains[k], -len(self.names[k][1]), self.names[k][0], k)):
+            if gains[k] <= 0:
+                return None
+            own = self.names[k][1]
+            if len(own) - len(words) > DIFFERENT * len(own):
                 continue
-            x = key(k, at + first, at + last, len(missing) + len(added))
-            if x[1] < 0:
-                found.append((x, k, at + first, at + last, missing, added))
-        accept(found)
-        return sorted(out, key=lambda o: o["first"])
+            missing, added, first, last = wording(own, words)
+            if len(missing) + len(added) <= DIFFERENT * len(own) and not any(w in TELLING or w.isdigit() for w in missing + added):
+                return gains[k], k, missing, added, first, last
+        return None
+
+    def notices(self, windows: list[tuple[int, int, int]], read) -> list[dict]:
+        """Non-overlapping confirmed notices of a text. ``windows``: template that they are like, first
+        word, end; ``read(i, j)``: the text of the words i to j."""
+        found: dict[int, list] = {}
+        for at, end in sorted({w[1:] for w in windows}):
+            best = self.confirmed(read(at, end))
+            if best is not None:
+                _, k, missing, added, first, last = best
+                gain = self.savings(read(at + first, at + last))[k]
+                if gain > 0:
+                    found.setdefault(k, []).append(((len(missing) + len(added)) / len(self.names[k][1]), -gain, at + first, at + last, missing, added))
+        # of one template's overlapping places the closest in wording, then of all templates' the larger saving
+        places = [(gain, far, -len(self.names[k][1]), self.names[k][0], first, end, missing, added)
+                  for k, own in found.items() for far, gain, first, end, missing, added in apart(sorted(own), 2)]
+        return sorted(({"first": first, "end": end, "license": name, "saved": -gain, "exact": not missing and not added, "missing": missing, "added": added}
+                       for gain, _, _, name, first, end, missing, added in apart(sorted(places), 4)), key=lambda o: o["first"])
+
+
+def apart(places: list[tuple], at: int) -> list[tuple]:
+    """The places, best first, that overlap no better one; items ``at`` and the next are a place's first word and end."""
+    starts, ends, out = [], [], []
+    for x in places:
+        k = bisect_right(starts, x[at])
+        if (k == 0 or ends[k - 1] <= x[at]) and (k == len(starts) or x[at + 1] <= starts[k]):
+            starts.insert(k, x[at])
+            ends.insert(k, x[at + 1])
+            out.append(x)
+    return out
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -130,9 +149,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns one row per input row: doc_id, n_lines, n_candidates (places where windows are like a
     template), licenses (distinct, sorted) and found, every notice that overlaps no better one: line
-    number of its first word (from 0), license, bytes saved, exact (same words in the same order),
-    missing and added words. Of overlapping ones the closest in wording wins, then the larger saving,
-    the longer template, the name. A null or empty text has no lines. Repeated rows give equal
+    number of its first word (from 0), license, bytes saved, exact (same words in the same
+    order), missing and added words. Of overlapping ones of a template the closest in wording wins, of different
+    templates the larger saving, then the closer wording, the longer template, the name. A null or empty text has no lines. Repeated rows give equal
     rows. An empty table gives no rows. Other columns are not read."""
     every = [(name, line) for name, lines in templates.items() for line in lines if spoken(line)]
     codes, off = plain_words(*text_bytes(pa.array([line for _, line in every], pa.large_string())))
@@ -146,7 +165,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slack = [int(DIFFERENT * len(own)) for own in own_codes]
 
     def windows(words, woff):
-        """By text: (template, first word, end, same words) of every window that holds enough words of a template."""
+        """By text: (template, first word, end) of every window that holds enough words of a template."""
         at = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
         known = np.flatnonzero(vocabulary[at] == words) if len(vocabulary) else np.zeros(0, np.int64)
         kind, end = at[known], woff[np.searchsorted(woff, known, "right")]
@@ -160,7 +179,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if len(np.unique(kinds[i:i + held[i]])) >= need[k]:
                     a, b = int(first[i]), int(stop[i])
                     doc = int(np.searchsorted(woff, a, "right")) - 1
-                    out.setdefault(doc, []).append((k, a, b, b - a >= len(own) and bool((words[a:a + len(own)] == own).all())))
+                    out.setdefault(doc, []).append((k, a, b))
         return out
 
     def run(batches):
@@ -179,7 +198,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 found, candidates = {}, np.zeros(hi - lo, np.int64)
                 for doc, seen in like.items():
                     reach = -1
-                    for _, a, b, _ in sorted(seen, key=lambda x: x[1:3]):
+                    for _, a, b in sorted(seen, key=lambda x: x[1:3]):
                         candidates[doc] += a >= reach
                         reach = max(reach, b)
                     found[doc] = [{"line": int(feeds[starts[o.pop("first")]] - feeds[poff[doc]]), **o}
