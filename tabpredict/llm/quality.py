@@ -8,11 +8,11 @@ rows kept apart, and a last small regression combines the scores; there the reje
 whom toxic texts are a part, weigh as much as the good. Fits are distributed
 over all labelled documents and all pseudo-labels; every document is scored.
 
-Both views of all documents are written once, in blocks. A fit takes turns of two jobs:
-the gradient of all rows, added up in the cluster by ranges of columns so that one vector
-reaches the driver; then many steps inside each part of the rows, tilted so that the part
-starts with the gradient of all, whose answers are averaged in the same way. Turns end
-when the loss stands still; a fit of the next round starts from the last one's weights.
+Both views of all documents are written once, in blocks. A fit writes the rows that it takes
+once more, joined to larger blocks; then each look at the loss is one job, whose gradients are
+added up in the cluster by ranges of columns so that one vector a regression reaches the driver.
+The steps are quasi-Newton ones, over columns scaled by the root of their greatest curvature.
+They end when the loss stands still; a fit of the next round starts from the last one's weights.
 What a job broadcasts is destroyed.
 """
 
@@ -29,20 +29,19 @@ from .common import ALNUM, SPACED, U64, byte_codes, drop_written, lower_codes, m
 from .decontaminate import slices
 
 ROUNDS = 2
-#: View, label, penalties to choose from (by log-loss on the rows kept apart, in the first round) and most turns of each regression.
+#: View, label, penalties to choose from (by log-loss on the rows kept apart, in the first round) and most looks at the loss of each regression.
 FIT = {"words": ("words", "good", (1e-4,), 100), "meta": ("meta", "good", (1e-3,), 100), "toxic": ("words", "toxic", (2e-3,), 100)}
 #: A view passes on a label that it gives this calibrated probability or more.
 SURE = 0.97
 #: Labelled rows kept apart for the calibration: a fifth, of many labels about so many.
 HELD_ROWS = 50_000
-#: A fit ends when a turn lowers the loss by less than this share of it; a part's own steps when one
-#: lowers its loss by less than this share of what all have.
-STILL = 1e-2
-#: Columns of a gradient that are added up together; steps that the quasi-Newton memory holds, and between two looks at the curvature.
+#: A fit ends when so many steps together lower the loss by less than this share of it.
+FEW, STILL = 5, 1e-2
+#: Columns of a gradient that are added up together; steps that the quasi-Newton memory holds.
 CHUNK = 1 << 14
-MEMORY, RESCALE = 10, 5
-#: Rows of a part that minimises by itself, and its most steps a turn.
-PART_ROWS, LOCAL_STEPS = 20_000, 30
+MEMORY = 10
+#: Documents of one task, and of a block of the rows that a fit takes.
+PART_ROWS, FIT_ROWS = 20_000, 4_000
 WORD_BITS = 18
 N_STYLE = 8
 #: The few style columns are scaled up, so that the penalty weighs less on them than on the many words.
@@ -61,12 +60,12 @@ def text_view(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts, ends, woff = word_bounds(buf, off, table)
     hashes = word_hashes(buf, starts, ends, lower_codes())
     doc = np.repeat(np.arange(n), np.diff(woff))
-    keys = np.unique((doc.astype(U64) << U64(WORD_BITS)) | (hashes >> U64(64 - WORD_BITS)))
+    keys = np.sort((doc.astype(U64) << U64(WORD_BITS)) | (hashes >> U64(64 - WORD_BITS)))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     col, row = (keys & U64((1 << WORD_BITS) - 1)).astype(np.int64), (keys >> U64(WORD_BITS)).astype(np.int64)
 
     def per_text(flags):
-        run = np.concatenate([[0], np.cumsum(flags)])
-        return (run[off[1:]] - run[off[:-1]]).astype(float)
+        return np.diff(np.searchsorted(np.flatnonzero(flags), off)).astype(float)
 
     size, words = np.maximum(np.diff(off), 1), np.maximum(np.diff(woff), 1)
     upper = per_text((buf >= 0x41) & (buf <= 0x5A))
@@ -201,21 +200,61 @@ def add_sums(out: np.ndarray, view, factor: np.ndarray, square: bool = False) ->
     out[-1] += factor.sum()
 
 
-def add_rows(out: list[np.ndarray], rows, w: np.ndarray, curvature: bool) -> None:
-    """Add the rows' loss, weight, gradient and (with ``curvature``) second derivatives to ``out``."""
+def add_rows(out: list[np.ndarray], rows, w: np.ndarray) -> None:
+    """Add the rows' gradient, and their loss and weight, to ``out``."""
     view, y, c = rows
     z = margins(view, w)
     p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     out[-1] += (c * (np.logaddexp(0, z) - y * z)).sum(), c.sum()
     add_sums(out[0], view, c * (p - y))
-    if curvature:
-        add_sums(out[1], view, c * p * (1 - p), True)
 
 
-def summed(blocks: DataFrame, lengths: list[int], shared, run) -> list[np.ndarray]:
+TAKEN = "task int, cols binary, off binary, style binary, y binary, c binary"
+
+
+def taken(blocks: DataFrame, tasks: list[Task], shared) -> DataFrame:
+    """The rows that each task takes, in blocks of about FIT_ROWS; ``shared``: what teachers each task has."""
+    def join(k, held):
+        views = [view for view, _, _ in held]
+        off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(v[1]) for v in views]))])
+        cells = [np.concatenate([v[0] for v in views]).astype(np.int32), off.astype(np.int64),
+                 np.concatenate([v[2] for v in views]) if views[0][2] is not None else np.zeros(0),
+                 np.concatenate([y for _, y, _ in held]), np.concatenate([c for _, _, c in held])]
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], names=[c.split()[0] for c in TAKEN.split(", ")])
+
+    def take(batches):
+        held, size = [[] for _ in tasks], [0] * len(tasks)
+        for batch in batches:
+            for b in range(batch.num_rows):
+                part = Part(batch, b)
+                for k, (task, other) in enumerate(zip(tasks, shared.value)):
+                    rows = task.rows(part, other)
+                    if len(rows[1]):
+                        held[k].append(rows)
+                        size[k] += len(rows[1])
+                    if size[k] >= FIT_ROWS:
+                        yield join(k, held[k])
+                        held[k], size[k] = [], 0
+        for k, rows in enumerate(held):
+            if rows:
+                yield join(k, rows)
+
+    return blocks.mapInArrow(take, TAKEN)
+
+
+def taken_rows(batches):
+    """Task and rows of each block that ``taken`` made."""
+    for batch in batches:
+        for b in range(batch.num_rows):
+            cols, off, style, y, c = (np.frombuffer(batch.column(j)[b].as_buffer(), t) for j, t in
+                                      enumerate((np.int32, np.int64, np.float64, np.bool_, np.float64), 1))
+            yield batch.column(0)[b].as_py(), ((cols.astype(np.int64), off, style.reshape(len(y), -1) if len(style) else None), y, c)
+
+
+def summed(rows: DataFrame, lengths: list[int], run) -> list[np.ndarray]:
     """The vectors that ``run`` makes of each task's blocks, added up in the cluster by ranges of columns."""
     def send(batches):
-        flat = np.concatenate(run(Part(batch, k) for batch in batches for k in range(batch.num_rows)))
+        flat = np.concatenate(run(taken_rows(batches)))
         for chunk in range(0, len(flat), CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([chunk // CHUNK], pa.int32()), pa.array([flat[chunk:chunk + CHUNK].tobytes()], pa.binary())], names=["chunk", "sums"])
 
@@ -227,97 +266,71 @@ def summed(blocks: DataFrame, lengths: list[int], shared, run) -> list[np.ndarra
         for chunk, data in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["chunk", "sums"])
 
-    try:                                                        # a job's shuffle files go with it
-        with short_lived_shuffles(blocks.sparkSession):
-            found = blocks.mapInArrow(send, "chunk int, sums binary").repartition(min(-(-sum(lengths) // CHUNK), 4), "chunk").mapInArrow(add, "chunk int, sums binary").toArrow()
-    finally:
-        shared.destroy()
+    with short_lived_shuffles(rows.sparkSession):               # a job's shuffle files go with it
+        found = rows.mapInArrow(send, "chunk int, sums binary").repartition(min(-(-sum(lengths) // CHUNK), 4), "chunk").mapInArrow(add, "chunk int, sums binary").toArrow()
+    if not found.num_rows:                                      # no rows at all
+        return [np.zeros(n) for n in lengths]
     order = np.argsort(found.column("chunk").to_numpy())
     cells = found.column("sums").combine_chunks()
     return np.split(np.concatenate([np.frombuffer(cells[int(k)].as_buffer()) for k in order]), np.cumsum(lengths)[:-1])
 
 
+def evaluated(rows: DataFrame, weights: dict[int, np.ndarray]) -> dict[int, tuple]:
+    """Loss, weight of all rows and gradient of some tasks at some weights, by one job over what ``taken`` made."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(blocks):
+        own = shared.value
+        sums = {k: [np.zeros(len(w)), np.zeros(2)] for k, w in own.items()}
+        for k, told in blocks:
+            add_rows(sums[k], told, own[k])
+        return [x for out in sums.values() for x in out]
+
+    try:
+        found = summed(rows.where(F.col("task").isin(list(weights))), [len(w) + 2 for w in weights.values()], run)
+    finally:
+        shared.destroy()
+    return {k: (x[-2], x[-1], x[:-2]) for k, x in zip(weights, found)}
+
+
+def steepest(rows: DataFrame, lengths: list[int]) -> list[np.ndarray]:
+    """For each task the greatest second derivatives that its loss, added up, can have."""
+    def run(blocks):
+        sums = [np.zeros(n) for n in lengths]
+        for k, (view, _, c) in blocks:
+            add_sums(sums[k], view, c / 4, True)
+        return sums
+
+    return summed(rows, lengths, run)
+
+
 def gradients(blocks: DataFrame, tasks: list[Task], weights: list[np.ndarray], taught: list) -> list[tuple]:
     """For each task loss, weight of all rows and gradient over all its rows, by one job."""
-    shared = blocks.sparkSession.sparkContext.broadcast((weights, taught))
-
-    def run(parts):
-        own, others = shared.value
-        sums = [[np.zeros(len(w)), np.zeros(2)] for w in own]
-        for part in parts:
-            for task, w, other, out in zip(tasks, own, others, sums):
-                add_rows(out, task.rows(part, other), w, False)
-        return [x for out in sums for x in out]
-
-    return [(own[-2], own[-1], own[:-2]) for own in summed(blocks, [len(w) + 2 for w in weights], shared, run)]
-
-
-def local_solutions(blocks: DataFrame, tasks: list[Task], fits: list[tuple[float, int]], weights: list[np.ndarray], grads: list[np.ndarray], taught: list) -> list[np.ndarray]:
-    """One job: each part of about PART_ROWS rows minimises its own loss, tilted so that its gradient at
-    ``weights`` is that of all rows; the mean of the parts' answers, by their rows."""
-    shared = blocks.sparkSession.sparkContext.broadcast((weights, grads, taught))
-
-    def run(parts):
-        own, tilts, others = shared.value
-        out = [[np.zeros(len(w)), np.zeros(1)] for w in own]
-
-        def solve(held):
-            for k, ((penalty, _), w, tilt) in enumerate(zip(fits, own, tilts)):
-                told = [parts[k] for parts in held]
-                rows = sum(float(c.sum()) for _, _, c in told)
-                if not rows:
-                    continue
-
-                # over the columns that the part's rows hold; any other one has but its penalty and its tilt
-                used, last = np.unique(np.concatenate([view[0] for view, _, _ in told])), 1 + (told[0][0][2].shape[1] if told[0][0][2] is not None else 0)
-                here = np.concatenate([used, np.arange(len(w) - last, len(w))])
-                own_rows = [((np.searchsorted(used, view[0]), *view[1:]), y, c) for view, y, c in told]
-
-                def evaluate(at, curvature):
-                    sums = [np.zeros(len(here)) for _ in range(1 + curvature)] + [np.zeros(2)]
-                    for part in own_rows:
-                        add_rows(sums, part, at, curvature)
-                    return sums[-1][0], sums[-1][1], sums[0], sums[1] if curvature else None
-
-                answer = w - tilt / penalty
-                answer[here] = descent(evaluate, penalty, LOCAL_STEPS, w[here], tilt[here])
-                out[k][0] += rows * answer
-                out[k][1] += rows
-
-        held, size = [], 0
-        for part in parts:
-            held.append([task.rows(part, other) for task, other in zip(tasks, others)])
-            size += len(part.good)
-            if size >= PART_ROWS:
-                solve(held)
-                held, size = [], 0
-        solve(held)
-        return [x for o in out for x in o]
-
-    return [own[:-1] / own[-1] for own in summed(blocks, [len(w) + 1 for w in weights], shared, run)]
-
-
-def descent(evaluate, penalty: float, steps: int, w: np.ndarray, tilt: np.ndarray | None) -> np.ndarray:
-    """Minimise mean log-loss + penalty / 2 * |w|^2 (no penalty on the intercept, which is last) + tilt w
-    from ``w``; ``evaluate`` gives the sums at some weights. L-BFGS over columns scaled by their curvature,
-    looked at anew every RESCALE steps; a step that raises the loss is halved."""
+    shared = blocks.sparkSession.sparkContext.broadcast(taught)
+    try:
+        return list(evaluated(taken(blocks, tasks, shared), dict(enumerate(weights))).values())
+    finally:
+        shared.destroy()
+
+
+def descent(penalty: float, looks: int, w: np.ndarray, steep: np.ndarray):
+    """Minimise mean log-loss + penalty / 2 * |w|^2 (no penalty on the intercept, which is last) from ``w``:
+    yields weights to look at, at most ``looks``, is sent loss, weight and gradient of all rows there, and
+    returns the best weights. L-BFGS over columns scaled by the root of their greatest curvature; a step that
+    does not lower the loss is shortened to where a parabola has its least, within a tenth and a half."""
     ridge = np.append(np.full(len(w) - 1, penalty), 0.0)
-    own = None
-
-    def at(w, curvature):
-        nonlocal own
-        loss, rows, grad, second = evaluate(w, curvature)
-        grad = grad / rows + ridge * w
-        if own is None:
-            own = 0.0 if tilt is None else tilt - grad          # the whole's gradient in place of the part's own
-        value = loss / rows + 0.5 * penalty * float(w[:-1] @ w[:-1])
-        return value + (float(own @ w) if tilt is not None else 0.0), grad + own, None if second is None else second / rows + ridge
-
-    loss, grad, second = at(w, True)
-    first = loss
-    scale = 1 / np.maximum(second, 1e-12)
+
+    def at(found, w):
+        total, rows, grad = found
+        rows = max(rows, 1e-12)
+        return total / rows + 0.5 * penalty * float(w[:-1] @ w[:-1]), grad / rows + ridge * w, rows
+
+    loss, grad, rows = at((yield w), w)
+    share = steep / rows
+    scale = 1 / np.sqrt(np.maximum(share + ridge, 1e-12))
     moves: list[tuple[np.ndarray, np.ndarray]] = []
-    for taken in range(steps):
+    past, left = [loss], looks - 1
+    while left > 0:
         step, kept = grad.copy(), []
         for move, turn in reversed(moves):
             kept.append(float(move @ step) / float(move @ turn))
@@ -325,56 +338,48 @@ def descent(evaluate, penalty: float, steps: int, w: np.ndarray, tilt: np.ndarra
         step *= scale * (float(moves[-1][0] @ moves[-1][1]) / float(moves[-1][1] @ (scale * moves[-1][1])) if moves else 1.0)
         for (move, turn), a in zip(moves, reversed(kept)):
             step += (a - float(turn @ step) / float(move @ turn)) * move
-        size, slope = 1.0, float(grad @ step)
+        # the first step moves the margins by one on average, at most
+        size, slope = 1.0 if moves else 1 / max(1.0, float(4 * share @ np.abs(step))), float(grad @ step)
         while True:
-            new = w - size * step
-            found, turned, second = at(new, taken % RESCALE == RESCALE - 1)
-            if found <= loss - 1e-4 * size * slope or size < 1e-3:
+            new, left = w - size * step, left - 1
+            found, turned, _ = at((yield new), new)
+            if found <= loss - 1e-4 * size * slope or size < 1e-4 or left <= 0:
                 break
-            size /= 2
+            size = min(0.5 * size, max(0.1 * size, 0.5 * slope * size * size / (found - loss + slope * size)))
         if not found < loss:
             break
         move, turn = new - w, turned - grad
         if float(move @ turn) > 1e-12 * float(turn @ turn):
             moves = [*moves, (move, turn)][-MEMORY:]
-        if second is not None:
-            scale = 1 / np.maximum(second, 1e-12)
-        still = loss - found < STILL * (first - found)
         w, grad, loss = new, turned, found
-        if still:
+        past.append(loss)
+        if len(past) > FEW and past[-1 - FEW] - loss < STILL * past[-1 - FEW]:
             break
     return w
 
 
 def fitted(blocks: DataFrame, tasks: list[Task], fits: list[tuple[float, int]], starts: list, taught: list) -> list[np.ndarray]:
-    """Weights of several logistic regressions over all rows of their tasks, side by side; ``fits``: penalty
-    and most turns of each. A turn is two jobs, whatever the rows: the gradient of all, and the parts' answers
-    to it. A turn that raises the loss is halved."""
-    w = [np.zeros(WIDTH[t.view] + 1) if s is None else s.copy() for t, s in zip(tasks, starts)]
-    best: list = [None] * len(tasks)                                   # (loss, weights, gradient) so far
-    left = {k: n for k, (_, n) in enumerate(fits)}
-    while left:
-        keys = list(left)
-        found = gradients(blocks, [tasks[k] for k in keys], [w[k] for k in keys], [taught[k] for k in keys])
-        ahead = []
-        for k, (loss, rows, grad) in zip(keys, found):
-            value = loss / rows + 0.5 * fits[k][0] * float(w[k][:-1] @ w[k][:-1])
-            grad = grad / rows + np.append(np.full(len(grad) - 1, fits[k][0]), 0.0) * w[k]
-            left[k] -= 1
-            before, halved = best[k], False
-            if before is not None and value > before[0]:
-                w[k], halved = (w[k] + before[1]) / 2, float(np.abs(w[k] - before[1]).max()) > 1e-3
-            else:
-                best[k] = value, w[k], grad
-            if left[k] <= 0 or (before is not None and not halved and value > (1 - STILL) * before[0]):
-                left.pop(k)
-            elif not halved:
-                ahead.append(k)
-        if ahead:
-            for k, new in zip(ahead, local_solutions(blocks, [tasks[k] for k in ahead], [fits[k] for k in ahead], [best[k][1] for k in ahead],
-                                                     [best[k][2] for k in ahead], [taught[k] for k in ahead])):
-                w[k] = new
-    return [b[1] for b in best]
+    """Weights of several logistic regressions over all rows of their tasks, side by side, so that one job
+    serves all that still go on; ``fits``: penalty and most looks at the loss of each."""
+    shared = blocks.sparkSession.sparkContext.broadcast(taught)
+    try:
+        rows = written(taken(blocks, tasks, shared), "taken")
+    finally:
+        shared.destroy()
+    w = [np.zeros(WIDTH[t.view] + 1) if s is None else s for t, s in zip(tasks, starts)]
+    steep = steepest(rows, [len(x) for x in w])
+    going = {k: descent(*fit, w[k], steep[k]) for k, fit in enumerate(fits)}
+    asked = {k: next(way) for k, way in going.items()}
+    while asked:
+        found, ahead = evaluated(rows, asked), {}
+        for k, told in found.items():
+            try:
+                ahead[k] = going[k].send(told)
+            except StopIteration as end:
+                w[k] = end.value
+        asked = ahead
+    drop_written(rows)
+    return w
 
 
 def held_out(blocks: DataFrame, apart: int, models: dict, views: dict):
