@@ -5,8 +5,8 @@ regression of their own. Round by round each view labels every unlabelled docume
 that it is sure about for the other's training set. A third regression, on words and
 with both classes at equal weight, tells toxic texts. All are calibrated on labelled
 rows kept apart, and a last small regression combines the scores; there the rejected, of
-whom toxic texts are a part, weigh as much as the good. Fits are distributed
-over all labelled documents and all pseudo-labels; every document is scored.
+whom toxic texts are a part, weigh as much as the good, unless that would cost more than
+3 in 100 of the good rows kept apart. Fits are distributed over all labelled documents and all pseudo-labels; every document is scored.
 
 Both views of all documents are written once, in blocks. A fit writes the rows that it takes
 once more, joined to larger blocks; then each look at the loss is one job, whose gradients are
@@ -35,6 +35,8 @@ FIT = {"words": ("words", "good", (1e-4,), 100), "meta": ("meta", "good", (1e-3,
 SURE = 0.97
 #: Labelled rows kept apart for the calibration: a fifth, of many labels about so many.
 HELD_ROWS = 50_000
+#: Share of the good rows kept apart that the combined score accepts, at least.
+KEEP_GOOD = 0.97
 #: A fit ends when so many steps together lower the loss by less than this share of it.
 FEW, STILL = 5, 1e-2
 #: Columns of a gradient that are added up together; steps that the quasi-Newton memory holds.
@@ -504,7 +506,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, meta_cols: list[str], good
     told = held_out(blocks, held_apart, models, views)
     drop_written(blocks)
     z = np.stack([lines[v][0] * told[f"m_{v}"].to_numpy() + lines[v][1] for v in models], 1)
-    return QualityModel(models, lines, small_logistic(z, told["good"].to_numpy(float), even=True))
+    good = told["good"].to_numpy() == 1
+    mixed = small_logistic(z, good.astype(float), even=True)
+    mixed[-1] -= min(0.0, float(np.quantile(z[good] @ mixed[:-1] + mixed[-1], 1 - KEEP_GOOD)))
+    return QualityModel(models, lines, mixed)
 
 
 def judge_quality(docs: DataFrame, model: QualityModel | None, meta_cols: list[str], id_col: str = "doc_id",
