@@ -160,3 +160,54 @@ def test_many_values_are_cut_into_even_bins(spark):
     assert z == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5]
     counts = np.bincount(np.searchsorted(x, np.arange(20000) * 0.5))
     assert len(x) == 49 and counts.max() < 1.1 * 400 and counts.min() > 0.9 * 400
+
+
+def nodes_match(a, b):
+    same = ["tree", "node", "feature", "bin", "left", "right", "n"]
+    return (a.nodes[same] == b.nodes[same]).all().all() and np.allclose(a.nodes["value"], b.nodes["value"])
+
+
+def test_trees_over_cells_are_trees_over_rows(rows, monkeypatch):
+    _, df = rows
+    s = G.Settings(learning_rate=0.3, max_leaves=5, feature_fraction=0.7, max_bins=8, pos_weight=2.0)
+    asked = []
+    cells = G.Cells.__init__
+    monkeypatch.setattr(G.Cells, "__init__", lambda self, *a: (asked.append(1), cells(self, *a))[1])
+    monkeypatch.setattr(G, "KEEP_ROUNDS", 2)
+    got = G.boost(df, FEATURES, rounds=5, settings=s, together=0)
+    assert len(asked) == 5                    # a job a tree, not a level
+    monkeypatch.setattr(G, "CELLS_SENT", 0)
+    monkeypatch.setattr(G, "TABLE", 0)
+    by_level = G.boost(df, FEATURES, rounds=5, settings=s, together=0)
+    assert len(asked) == 5 and nodes_match(got, by_level)
+    monkeypatch.undo()
+    assert nodes_match(G.boost(df, FEATURES, rounds=5, settings=s), by_level)
+    score = lambda m: sorted(r["p1"] for r in m.transform(df).collect())
+    told = score(got)
+    monkeypatch.setattr(G, "looked_up", lambda *a: None)
+    assert score(got) == told
+
+
+def test_many_rows_of_few_bins_are_written_once(spark, rows, tmp_path):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.integers(0, 4, 500).astype(float), "b": rng.integers(0, 5, 500).astype(float)})
+    pdf.loc[::9, "a"] = np.nan
+    pdf["label"] = (rng.random(500) < 0.2 + 0.1 * pdf["b"]).astype(int)
+    df = spark.createDataFrame(pdf).repartition(3)
+    edges = G.bin_edges(df, ["a", "b"], 20)
+    read = lambda n: [G.read_block(b, k, 2) for b in G.bin_rows(df, ["a", "b"], "label", F.lit(0.0), edges, n).toArrow().to_batches() for k in range(b.num_rows)]
+    few, every = read(500), read(0)
+    size = lambda x: sum(len(r[1]) for r in x)
+    assert size(every) == 500 and size(few) <= 2 * 5 * 5 and sum(r[3].sum() for r in few) == 500
+    s = G.Settings(learning_rate=0.3, min_rows=5)
+    once = G.boost(df, ["a", "b"], rounds=4, settings=s)
+    split = G.bin_rows
+    G.bin_rows = lambda *a: split(*a[:5])
+    try:
+        plain = G.boost(df, ["a", "b"], rounds=4, settings=s)
+    finally:
+        G.bin_rows = split
+    score = lambda m: sorted(r["p1"] for r in m.transform(df).collect())
+    assert np.allclose(score(once), score(plain))
+    seen, want = ({r["n_trees"]: r for r in once.round_metrics(d).collect()} for d in (df, df.unionByName(df)))
+    assert all(seen[n]["log_loss"] == pytest.approx(want[n]["log_loss"]) and seen[n]["auc"] == pytest.approx(want[n]["auc"]) for n in range(5))
