@@ -212,3 +212,32 @@ def test_training_queries_take_their_size(spark):
     assert T.sweep_random_forest(spark, small, depths=(1, 3), max_trees=4).count() == 8
     assert T.train_gbt_continue(spark, small, rounds=2, more_rounds=1).count() > 0
     assert T.top_k_importance(spark, small).count() == 4
+
+
+def test_one_forest_gives_every_depth_and_number_of_trees(spark):
+    from tabpredict.plans import q_train as T
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 3)).round(2)
+    y = ((x[:, 0] * x[:, 1] + 0.5 * rng.normal(size=600)) > 0).astype(int)
+    df = M.assemble(spark.createDataFrame([(*map(float, r), int(k)) for r, k in zip(x, y)], "a double, b double, c double, label int"), ["a", "b", "c"]).persist()
+    fits = []
+    fit = M.train_random_forest
+    M.train_random_forest = lambda *a, **k: (fits.append(1), fit(*a, **k))[1]
+    try:
+        got = T.forest_prefix_accuracy(df, df, (1, 2, 4), 5).collect()
+    finally:
+        M.train_random_forest = fit
+    assert len(fits) == 1 and len(got) == 15
+    for depth in (1, 2, 4):
+        forest = fit(df, num_trees=5, max_depth=depth)
+        share = forest.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        assert next(r.accuracy for r in got if r.depth == depth and r.n_trees == 5) == round(100 * share, 2)
+
+
+def test_sketch_of_few_features_is_narrow(spark):
+    rows = [(i, float(i), 1.0 - i, 0.5 * i) for i in range(5)]
+    df = spark.createDataFrame(rows, ["row_key", "a", "b", "c"])
+    z = {r.row_key: r.features.toArray() for r in M.tensor_sketch(df, ["a", "b", "c"], 0.3, ["row_key"], dim=4096, seed=2).collect()}
+    assert {len(v) for v in z.values()} == {len(z[0])} and len(z[0]) <= 27
+    assert z[2] @ z[3] == pytest.approx((0.3 * (6 + 2 + 1.5)) ** 3, rel=0.1)
