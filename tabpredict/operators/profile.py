@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import discard, materialize
 from .orderstat import EXACT_LIMIT, _bounded_counts, _interp, _pick, column_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -87,12 +88,28 @@ def _describe_from_counts(counts: list[tuple[float, int]]) -> tuple:
 def describe(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """count, mean, std (sample), min, 25 %, 50 %, 75 %, max per column.
 
-    One pass when every column has few distinct values: a ``stack`` +
+    The rows may come from costly joins, so that their columns are written once
+    and each pass reads that table. One pass when every column has few distinct values: a ``stack`` +
     ``groupBy(column, value)`` whose (bounded) result gives all eight
     figures. Otherwise moments come from one aggregate and the quartiles
     from exact order statistics."""
-    parts = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {parts}) AS (__c, __v)").where("__v IS NOT NULL AND NOT isnan(__v)")
+    cols = list(cols)
+    # NaN counts as missing
+    table = materialize(df.select(*[F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(f"v{i}")
+                                    for i, c in enumerate(cols)]), "described")
+    rows = _described(table, table.columns)
+    discard(table)
+    schema = ("feature string, count bigint, mean double, std double, min double, "
+              "q25 double, q50 double, q75 double, max double")
+    out = df.sparkSession.createDataFrame([(c, *r[1:]) for c, r in zip(cols, rows)], schema)
+    return out.select("feature", "count", *[F.round(c, digits).alias(c) for c in
+                                             ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+def _described(df: DataFrame, cols: Sequence[str]) -> list[tuple]:
+    """A row of figures for each column of doubles."""
+    parts = ", ".join(f"'{c}', `{c}`" for c in cols)
+    long = df.selectExpr(f"stack({len(cols)}, {parts}) AS (__c, __v)").where("__v IS NOT NULL")
     few = _bounded_counts(long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("n")),
                           EXACT_LIMIT)
     rows = []
@@ -102,8 +119,6 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
             per[r["__c"]].append((r["__v"], r["n"]))
         rows = [(c, *_describe_from_counts(per[c])) for c in cols]
     else:
-        # NaN counts as missing, as in the other branch
-        df = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
         aggs = []
         for c in cols:
             aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"),
@@ -117,11 +132,7 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
             q = quart[c]
             rows.append((c, int(mom[f"n_{c}"]), mom[f"m_{c}"], mom[f"s_{c}"], mom[f"lo_{c}"],
                          q[0], q[1], q[2], mom[f"hi_{c}"]))
-    schema = ("feature string, count bigint, mean double, std double, min double, "
-              "q25 double, q50 double, q75 double, max double")
-    out = df.sparkSession.createDataFrame(rows, schema)
-    return out.select("feature", "count", *[F.round(c, digits).alias(c) for c in
-                                             ("mean", "std", "min", "q25", "q50", "q75", "max")])
+    return rows
 
 
 def churn_by_category(df: DataFrame, label: str, col: str, positive=1) -> DataFrame:

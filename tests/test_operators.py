@@ -206,3 +206,20 @@ def test_describe_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(PR, "EXACT_LIMIT", 3)  # force moments + order statistics
     two_pass = sorted(PR.describe(ob, CHURN_FEATURES).collect())
     assert one_pass == two_pass
+
+
+def test_describe_reads_its_rows_once(spark, monkeypatch):
+    """Quartiles of many distinct values take many passes; the rows behind them are made once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(k):
+        seen.add(1)
+        return k * 1.0
+
+    df = spark.range(200).select(told(F.col("id")).alias("v"), F.lit(None).cast("double").alias("n"))
+    monkeypatch.setattr(PR, "EXACT_LIMIT", 3)
+    got = {r.feature: r for r in PR.describe(df, ["v", "n"]).collect()}
+    assert seen.value <= 400                    # the column and its missing values, each asked once
+    assert (got["v"]["count"], got["v"].q25, got["v"].q50, got["v"].max) == (200, 49.75, 99.5, 199.0)
+    assert (got["n"]["count"], got["n"].q50) == (0, None)
