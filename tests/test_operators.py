@@ -223,3 +223,20 @@ def test_describe_reads_its_rows_once(spark, monkeypatch):
     assert seen.value <= 400                    # the column and its missing values, each asked once
     assert (got["v"]["count"], got["v"].q25, got["v"].q50, got["v"].max) == (200, 49.75, 99.5, 199.0)
     assert (got["n"]["count"], got["n"].q50) == (0, None)
+
+
+def test_grid_search_joins_once(spark, monkeypatch):
+    from tabpredict.plans import q_train as T
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def told(k):
+        seen.add(1)
+        return k
+
+    rows = spark.range(80).select(told(F.col("id")).alias("row_id"), (F.col("id") % 2).cast("int").alias("label"),
+                                  *[(F.hash("id", F.lit(k)) % 50).cast("double").alias(c) for k, c in enumerate(CHURN_FEATURES)])
+    monkeypatch.setattr(T, "churn_obs", lambda spark, sf: rows)
+    found = T.grid_search_gbt(spark, None, rounds=1, depths=(1,), steps=(0.1,)).collect()
+    assert len(found) == 1 and found[0].best and seen.value == 80
