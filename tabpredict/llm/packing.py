@@ -33,6 +33,8 @@ SLICE_BYTES = 2 << 20
 CACHED_WORDS = 500_000
 #: Default for the steps of the search (some 1 us each); earlier fillings that a new one is compared with.
 SEARCH_STEPS, REMEMBERED = 10_000_000, 64
+#: Levels of the search whose choices are held, up to 1 MB each; those of an earlier one are looked for anew when it comes back to it.
+HELD_LEVELS = 8
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -296,9 +298,9 @@ def bin_completion(counts: dict[int, int], size: int, steps: int = SEARCH_STEPS)
     plan: Plan = []
     waste = 0
 
-    def choices() -> Iterator[tuple[dict[int, int], int]]:
+    def choices(spare: int) -> Iterator[tuple[dict[int, int], int]]:
         own, lengths = dict(left), sorted(left)
-        top, spare = lengths[-1], (fewest - 1) * size - total - waste
+        top = lengths[-1]
         own[top] -= 1
         for w, fill in fillings(lengths, own, size - top, spare, budget):
             fill = {top: fill.get(top, 0) + 1, **{k: c for k, c in fill.items() if k != top}}
@@ -306,14 +308,32 @@ def bin_completion(counts: dict[int, int], size: int, steps: int = SEARCH_STEPS)
             for m in range(min(most, spare // w) if w else most, 0, -1):
                 yield fill, m
 
-    levels = [choices()]
+    def level() -> list:
+        """Choices, the waste they may have, and how many were taken."""
+        spare = (fewest - 1) * size - total - waste
+        return [choices(spare), spare, 0]
+
+    def again(spare: int, taken: int) -> Iterator[tuple[dict[int, int], int]]:
+        """A level's choices behind those taken; their steps were counted the first time."""
+        counted, budget[0] = budget[0], steps + 1
+        found = choices(spare)
+        for _ in range(taken):
+            next(found)
+        budget[0] = counted
+        return found
+
+    levels = [level()]
     while levels and fewest > bound and budget[0] > 0:
         if len(plan) == len(levels):                # take this level's last bins back
             fill, m = plan.pop()
             waste -= m * (size - sum(k * c for k, c in fill.items()))
             for k, c in fill.items():
                 left[k] = left.get(k, 0) + c * m
-        step = next(levels[-1], None)
+        here = levels[-1]
+        if here[0] is None:
+            here[0] = again(*here[1:])
+        step = next(here[0], None)
+        here[2] += 1
         budget[0] -= 1
         if step is None:
             levels.pop()
@@ -329,7 +349,9 @@ def bin_completion(counts: dict[int, int], size: int, steps: int = SEARCH_STEPS)
             if not left[k]:
                 del left[k]
         if left:
-            levels.append(choices())
+            levels.append(level())
+            if len(levels) > HELD_LEVELS:
+                levels[-1 - HELD_LEVELS][0] = None
         else:
             best, fewest = list(plan), sum(m for _, m in plan)
     return best, bound, fewest <= bound or budget[0] > 0

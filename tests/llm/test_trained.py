@@ -354,3 +354,25 @@ def test_pipeline_stages(spark, make_docs, texts, tmp_path):
     clean = C.drop_contaminated(spark, docs, str(tmp_path))
     assert 9 not in [r.doc_id for r in clean.collect()] and clean.count() == docs.count() - 1
     assert C.run(spark, str(tmp_path)).count() > 0
+
+
+def test_search_holds_few_levels(monkeypatch):
+    """A deep search gives the same plan whether it holds all its levels or looks for early ones anew, in little memory."""
+    import tracemalloc
+    rng = random.Random(7)
+    counts = {k: 2 for k in rng.sample(range(20, 1900), 1000)}
+
+    def run(held, size=2048, steps=30_000):
+        monkeypatch.setattr(P, "HELD_LEVELS", held)
+        tracemalloc.start()
+        found = P.bin_completion(dict(counts), size, steps)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, most
+
+    (few, small), (every, large) = run(4), run(10 ** 9)
+    assert few == every and small < 0.7 * large, (small, large)
+    for seed in range(20):
+        rng = random.Random(seed)
+        counts = dict(collections.Counter(rng.randint(5, 60) for _ in range(rng.randint(5, 30))))
+        assert run(1, 100, 2000)[0] == run(10 ** 9, 100, 2000)[0]
