@@ -8,7 +8,7 @@ rows kept apart, and a last small regression combines the scores; there the reje
 whom toxic texts are a part, weigh as much as the good, unless that would cost more than
 3 in 100 of the good rows kept apart. Fits are distributed over all labelled documents and all pseudo-labels; every document is scored.
 
-Both views of all documents are written once, in blocks. A fit writes the rows that it takes
+Both views of all documents are joined to the labels, without the texts, and written once, in blocks. A fit writes the rows that it takes
 once more, joined to larger blocks; then each look at the loss is one job, whose gradients are
 added up in the cluster by ranges of columns so that one vector a regression reaches the driver.
 The steps are quasi-Newton ones, over columns scaled by the root of their greatest curvature.
@@ -51,7 +51,8 @@ STYLE_WEIGHT = 4.0
 META_BITS = 12
 WIDTH = {"words": (1 << WORD_BITS) + N_STYLE, "meta": 1 << META_BITS}
 DRAWS = 1_000_003
-SLICE_BYTES = 2 << 20
+#: Bytes of text looked at together; bytes of word columns in a block.
+SLICE_BYTES, BLOCK_BYTES = 2 << 20, 1 << 19
 
 
 def text_view(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,24 +109,50 @@ def meta_view(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, None]:
 BLOCKS = "n long, draw binary, good binary, toxic binary, words_cols binary, words_off binary, style binary, meta_cols binary, meta_off binary"
 
 
-def viewed(rows: DataFrame, meta_cols: list[str]) -> DataFrame:
-    """Both views of the rows (id, good, toxic, text and metadata) in blocks, written as a table.
+def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Cells of bytes: values[at[k]:at[k + 1]] in cell k."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(cells: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of such cells and where each begins."""
+    cells = cells.cast(pa.large_binary())
+    _, offsets, data = cells.buffers()
+    off = np.frombuffer(offsets, np.int64, len(cells) + 1, cells.offset * 8) if len(cells) else np.zeros(1, np.int64)
+    values = np.frombuffer(data, np.uint8)[off[0]:off[-1]].view(kind) if off[-1] > off[0] else np.zeros(0, kind)
+    return values, (off - off[0]) // np.dtype(kind).itemsize
+
+
+def viewed(rows: DataFrame, meta_cols: list[str], known: DataFrame | None = None) -> DataFrame:
+    """Both views of the rows (id, text and metadata) with their labels in blocks, written as a table.
+    Labels (id, good, toxic) come from ``known``, joined to the views so that no text moves; without it the rows hold them.
     ``draw`` is a number below DRAWS that a row's id fixes."""
+    own = ["id"] if known is not None else ["id", "good", "toxic"]
+
     def see(batches):
         for batch in batches:
-            buf, off = text_bytes(batch.column(3))
-            told = [c.fill_null(-1).to_numpy().astype(t).tobytes for c, t in ((batch.column(0), np.int32), (batch.column(1), np.int8), (batch.column(2), np.int8))]
-            whole = [np.frombuffer(x(), t) for x, t in zip(told, (np.int32, np.int8, np.int8))]
+            buf, off = text_bytes(batch.column(len(own)))
             for lo, hi in slices(off, SLICE_BYTES):
                 cols, at, style = text_view(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-                m_cols, m_at, _ = meta_view([c.slice(lo, hi - lo) for c in batch.columns[4:]])
+                m_cols, m_at, _ = meta_view([c.slice(lo, hi - lo) for c in batch.columns[len(own) + 1:]])
+                yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in batch.columns[:len(own)]] + [packed(cols.astype(np.int32), at), packed(style.ravel(), np.arange(hi - lo + 1) * N_STYLE),
+                                                  packed(m_cols.astype(np.int32), m_at)], names=[*own, "words", "style", "meta"])
+
+    def gather(batches):
+        for batch in batches:
+            told = [c.fill_null(-1).to_numpy().astype(t) for c, t in zip(batch.columns[:3], (np.int32, np.int8, np.int8))]
+            (cols, at), (style, _), (m_cols, m_at) = (unpacked(batch.column(k), t) for k, t in ((3, np.int32), (4, np.float64), (5, np.int32)))
+            for lo, hi in slices(4 * at, BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array([hi - lo])] + [pa.array([x.tobytes()], pa.binary()) for x in (
-                    *(w[lo:hi] for w in whole), cols.astype(np.int32), at.astype(np.int64), style, m_cols.astype(np.int32), m_at.astype(np.int64))],
-                    names=[c.split()[0] for c in BLOCKS.split(", ")])
+                    *(t[lo:hi] for t in told), cols[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], style[lo * N_STYLE:hi * N_STYLE],
+                    m_cols[m_at[lo]:m_at[hi]], m_at[lo:hi + 1] - m_at[lo])], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
+    kinds = ", ".join(f"{c} {t}" for c, t in zip(own, ("long", "int", "int")))
+    seen = (rows.select(*[F.col(c).cast("long" if c == "id" else "int") for c in own], F.col("text").cast("string"), *[F.col(f"meta_{k}") for k in range(len(meta_cols))])
+            .mapInArrow(see, f"{kinds}, words binary, style binary, meta binary"))
     draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(DRAWS)).cast("int")
-    rows = rows.select(draw.alias("draw"), "good", "toxic", F.col("text").cast("string"), *[F.col(f"meta_{k}") for k in range(len(meta_cols))])
-    return written(rows.mapInArrow(see, BLOCKS), "views")
+    seen = seen if known is None else seen.join(known, "id", "left")
+    return written(seen.select(draw.alias("draw"), "good", "toxic", "words", "style", "meta").mapInArrow(gather, BLOCKS), "views")
 
 
 class Part:
@@ -463,7 +490,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, meta_cols: list[str], good
     if len(known.select("good").distinct().take(2)) < 2 or docs.isEmpty():
         return None
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"meta_{k}") for k, c in enumerate(meta_cols)])
-    blocks = viewed(rows.join(known, "id", "left"), meta_cols)
+    blocks = viewed(rows, meta_cols, known)
     n = label_counts(blocks)
     blocks = blocks.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(n.sum()) // PART_ROWS)))
     n_known = int(n[:, :2].sum())

@@ -356,6 +356,30 @@ def test_pipeline_stages(spark, make_docs, texts, tmp_path):
     assert C.run(spark, str(tmp_path)).count() > 0
 
 
+def test_quality_moves_no_text_to_the_labels(spark, make_docs):
+    """The shuffle of the views' join has no text; labels reach repeated and null ids as before."""
+    docs = make_docs([(1, "a b", "en", "s", 3), (1, "c", "en", "s", 1), (None, "d", "en", "s", 1), (4, "e", "de", "s", 1), (5, None, "de", "s", 0)])
+    known = spark.createDataFrame([(1, 1, 0), (4, 0, None)], "id long, good int, toxic int")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("meta_0"))
+    joined = Q.viewed(rows.join(known, "id", "left").select("id", "good", "toxic", "text", "meta_0"), ["lang"])
+    apart = Q.viewed(rows, ["lang"], known)
+
+    def told(blocks):
+        out = []
+        for batch in blocks.toArrow().to_batches():
+            for k in range(batch.num_rows):
+                part = Q.Part(batch, k)
+                cells = []
+                for name in ("words", "meta"):
+                    cols, off, dense = part.views[name]
+                    cells.append([(cols[a:b].tolist(), None if dense is None else dense[i].tolist()) for i, (a, b) in enumerate(zip(off, off[1:]))])
+                out += zip(part.draw.tolist(), part.good.tolist(), part.toxic.tolist(), *cells)
+        return sorted(out, key=str)
+
+    assert len(told(apart)) == 5 and told(apart) == told(joined)
+    assert sorted(r[1:3] for r in told(apart)) == [(-1, -1), (-1, -1), (0, -1), (1, 0), (1, 0)]
+
+
 def test_search_holds_few_levels(monkeypatch):
     """A deep search gives the same plan whether it holds all its levels or looks for early ones anew, in little memory."""
     import tracemalloc
