@@ -9,11 +9,12 @@ whom toxic texts are a part, weigh as much as the good, unless that would cost m
 3 in 100 of the good rows kept apart. Fits are distributed over all labelled documents and all pseudo-labels; every document is scored.
 
 Both views of all documents are joined to the labels, without the texts, and written once, in blocks. A fit writes the rows that it takes
-once more, joined to larger blocks; then each look at the loss is one job, whose gradients are
+once more; then each look at the loss is one job, whose gradients are
 added up in the cluster by ranges of columns so that one vector a regression reaches the driver.
 The steps are quasi-Newton ones, over columns scaled by the root of their greatest curvature.
 They end when the loss stands still; a fit of the next round starts from the last one's weights.
-What a job broadcasts is destroyed.
+What a job broadcasts is destroyed. Blocks, parquet pages and batches are small, so that the executors' memory
+does not depend on how many rows a task has.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, SPACED, U64, byte_codes, drop_written, lower_codes, mix, short_lived_shuffles, text_bytes, word_bounds, word_hashes, written
+from .common import ALNUM, SPACED, U64, byte_codes, drop_written, lower_codes, mix, settings, short_lived_shuffles, text_bytes, word_bounds, word_hashes, written
 from .decontaminate import slices
 
 ROUNDS = 2
@@ -42,8 +43,8 @@ FEW, STILL = 5, 1e-2
 #: Columns of a gradient that are added up together; steps that the quasi-Newton memory holds.
 CHUNK = 1 << 14
 MEMORY = 10
-#: Documents of one task, and of a block of the rows that a fit takes.
-PART_ROWS, FIT_ROWS = 20_000, 4_000
+#: Documents of one task.
+PART_ROWS = 20_000
 WORD_BITS = 18
 N_STYLE = 8
 #: The few style columns are scaled up, so that the penalty weighs less on them than on the many words.
@@ -51,8 +52,12 @@ STYLE_WEIGHT = 4.0
 META_BITS = 12
 WIDTH = {"words": (1 << WORD_BITS) + N_STYLE, "meta": 1 << META_BITS}
 DRAWS = 1_000_003
-#: Bytes of text looked at together; bytes of word columns in a block.
-SLICE_BYTES, BLOCK_BYTES = 2 << 20, 1 << 19
+#: Bytes of text looked at together, and of a block. Arrays of half a MB and more are allocated apart
+#: by the JVM, whose heap they break up and make grow, so blocks stay well below.
+SLICE_BYTES, BLOCK_BYTES = 1 << 19, 1 << 18
+#: Bytes sent to Python together; blocks read together; options of tables of blocks: a page ends by its size, however few its rows.
+BATCH_BYTES, READ_BLOCKS = 2 << 20, 8
+PAGES = {"parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": False}
 
 
 def text_view(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,6 +111,12 @@ def meta_view(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, None]:
     return flat[first], np.concatenate([[0], np.cumsum(first.sum(1))]), None
 
 
+def small_batches(spark: SparkSession, read: int | None = None):
+    """An action inside sends Python BATCH_BYTES at a time, and reads so many rows of a parquet table together."""
+    values = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    return settings(spark, values if read is None else {**values, "spark.sql.parquet.columnarReaderBatchSize": read})
+
+
 BLOCKS = "n long, draw binary, good binary, toxic binary, words_cols binary, words_off binary, style binary, meta_cols binary, meta_off binary"
 
 
@@ -142,7 +153,7 @@ def viewed(rows: DataFrame, meta_cols: list[str], known: DataFrame | None = None
         for batch in batches:
             told = [c.fill_null(-1).to_numpy().astype(t) for c, t in zip(batch.columns[:3], (np.int32, np.int8, np.int8))]
             (cols, at), (style, _), (m_cols, m_at) = (unpacked(batch.column(k), t) for k, t in ((3, np.int32), (4, np.float64), (5, np.int32)))
-            for lo, hi in slices(4 * at, BLOCK_BYTES):
+            for lo, hi in slices(4 * (at + m_at) + (8 * N_STYLE + 22) * np.arange(len(at)), BLOCK_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array([hi - lo])] + [pa.array([x.tobytes()], pa.binary()) for x in (
                     *(t[lo:hi] for t in told), cols[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], style[lo * N_STYLE:hi * N_STYLE],
                     m_cols[m_at[lo]:m_at[hi]], m_at[lo:hi + 1] - m_at[lo])], names=[c.split()[0] for c in BLOCKS.split(", ")])
@@ -152,7 +163,8 @@ def viewed(rows: DataFrame, meta_cols: list[str], known: DataFrame | None = None
             .mapInArrow(see, f"{kinds}, words binary, style binary, meta binary"))
     draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(DRAWS)).cast("int")
     seen = seen if known is None else seen.join(known, "id", "left")
-    return written(seen.select(draw.alias("draw"), "good", "toxic", "words", "style", "meta").mapInArrow(gather, BLOCKS), "views")
+    with small_batches(rows.sparkSession):
+        return written(seen.select(draw.alias("draw"), "good", "toxic", "words", "style", "meta").mapInArrow(gather, BLOCKS), "views", **PAGES)
 
 
 class Part:
@@ -238,17 +250,13 @@ def add_rows(out: list[np.ndarray], rows, w: np.ndarray) -> None:
     add_sums(out[0], view, c * (p - y))
 
 
-TAKEN = "task int, cols binary, off binary, style binary, y binary, c binary"
+TAKEN = "task int, cols binary, size binary, style binary, y binary, c binary"
 
 
 def taken(blocks: DataFrame, tasks: list[Task], shared) -> DataFrame:
-    """The rows that each task takes, in blocks of about FIT_ROWS; ``shared``: what teachers each task has."""
+    """The rows that each task takes, in blocks of BLOCK_BYTES at most; ``shared``: what teachers each task has."""
     def join(k, held):
-        views = [view for view, _, _ in held]
-        off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(v[1]) for v in views]))])
-        cells = [np.concatenate([v[0] for v in views]).astype(np.int32), off.astype(np.int64),
-                 np.concatenate([v[2] for v in views]) if views[0][2] is not None else np.zeros(0),
-                 np.concatenate([y for _, y, _ in held]), np.concatenate([c for _, _, c in held])]
+        cells = [np.concatenate(x) for x in zip(*held)]
         return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], names=[c.split()[0] for c in TAKEN.split(", ")])
 
     def take(batches):
@@ -257,13 +265,16 @@ def taken(blocks: DataFrame, tasks: list[Task], shared) -> DataFrame:
             for b in range(batch.num_rows):
                 part = Part(batch, b)
                 for k, (task, other) in enumerate(zip(tasks, shared.value)):
-                    rows = task.rows(part, other)
-                    if len(rows[1]):
-                        held[k].append(rows)
-                        size[k] += len(rows[1])
-                    if size[k] >= FIT_ROWS:
+                    (cols, off, style), y, c = task.rows(part, other)
+                    if not len(y):
+                        continue
+                    cells = cols.astype(np.int32), np.diff(off).astype(np.int32), np.zeros(0) if style is None else style.ravel(), y, c
+                    more = sum(x.nbytes for x in cells)
+                    if held[k] and size[k] + more > BLOCK_BYTES:
                         yield join(k, held[k])
                         held[k], size[k] = [], 0
+                    held[k].append(cells)
+                    size[k] += more
         for k, rows in enumerate(held):
             if rows:
                 yield join(k, rows)
@@ -272,12 +283,14 @@ def taken(blocks: DataFrame, tasks: list[Task], shared) -> DataFrame:
 
 
 def taken_rows(batches):
-    """Task and rows of each block that ``taken`` made."""
+    """Task and rows of what ``taken`` made, a task's blocks of one batch together."""
     for batch in batches:
-        for b in range(batch.num_rows):
-            cols, off, style, y, c = (np.frombuffer(batch.column(j)[b].as_buffer(), t) for j, t in
-                                      enumerate((np.int32, np.int64, np.float64, np.bool_, np.float64), 1))
-            yield batch.column(0)[b].as_py(), ((cols.astype(np.int64), off, style.reshape(len(y), -1) if len(style) else None), y, c)
+        task = batch.column(0).to_numpy()
+        for k in np.unique(task):
+            own = batch.filter(pa.array(task == k))
+            cols, size, style, y, c = (unpacked(own.column(j), t)[0] for j, t in enumerate((np.int32, np.int32, np.float64, np.bool_, np.float64), 1))
+            off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            yield int(k), ((cols.astype(np.int64), off, style.reshape(len(y), -1) if len(style) else None), y, c)
 
 
 def summed(rows: DataFrame, lengths: list[int], run) -> list[np.ndarray]:
@@ -295,7 +308,7 @@ def summed(rows: DataFrame, lengths: list[int], run) -> list[np.ndarray]:
         for chunk, data in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["chunk", "sums"])
 
-    with short_lived_shuffles(rows.sparkSession):               # a job's shuffle files go with it
+    with short_lived_shuffles(rows.sparkSession), small_batches(rows.sparkSession, READ_BLOCKS):    # a job's shuffle files go with it
         found = rows.mapInArrow(send, "chunk int, sums binary").repartition(min(-(-sum(lengths) // CHUNK), 4), "chunk").mapInArrow(add, "chunk int, sums binary").toArrow()
     if not found.num_rows:                                      # no rows at all
         return [np.zeros(n) for n in lengths]
@@ -392,7 +405,8 @@ def fitted(blocks: DataFrame, tasks: list[Task], fits: list[tuple[float, int]],
     serves all that still go on; ``fits``: penalty and most looks at the loss of each."""
     shared = blocks.sparkSession.sparkContext.broadcast(taught)
     try:
-        rows = written(taken(blocks, tasks, shared), "taken")
+        with small_batches(blocks.sparkSession, READ_BLOCKS):
+            rows = written(taken(blocks, tasks, shared), "taken", **PAGES)
     finally:
         shared.destroy()
     w = [np.zeros(WIDTH[t.view] + 1) if s is None else s for t, s in zip(tasks, starts)]
@@ -425,7 +439,8 @@ def held_out(blocks: DataFrame, apart: int, models: dict, views: dict):
                                                  names=["good", "toxic", *[f"m_{v}" for v in shared.value]])
 
     try:
-        return blocks.mapInArrow(told, "good double, toxic double, " + ", ".join(f"m_{v} double" for v in models)).toPandas()
+        with small_batches(blocks.sparkSession, READ_BLOCKS):
+            return blocks.mapInArrow(told, "good double, toxic double, " + ", ".join(f"m_{v} double" for v in models)).toPandas()
     finally:
         shared.destroy()
 
@@ -442,7 +457,9 @@ def label_counts(blocks: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (d, g, t)] + [pa.array(out[d, g, t])], names=["d", "g", "t", "n"])
 
     out = np.zeros((10_000, 3, 3), np.int64)
-    for r in blocks.select("n", *[c.split()[0] for c in BLOCKS.split(", ")[1:]]).mapInArrow(count, "d int, g int, t int, n long").groupBy("d", "g", "t").agg(F.sum("n").alias("n")).collect():
+    with small_batches(blocks.sparkSession, READ_BLOCKS):
+        counts = blocks.select("n", *[c.split()[0] for c in BLOCKS.split(", ")[1:]]).mapInArrow(count, "d int, g int, t int, n long").groupBy("d", "g", "t").agg(F.sum("n").alias("n")).collect()
+    for r in counts:
         out[r["d"], r["g"], r["t"]] = r["n"]
     return out
 

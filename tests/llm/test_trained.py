@@ -251,6 +251,26 @@ def test_quality_fit_is_the_regressions_optimum(spark):
     assert ours <= theirs * 1.001
 
 
+def test_quality_blocks_are_small(spark, make_docs, monkeypatch):
+    """No cell of the tables that a fit reads is large, however many rows a task has; settings are given back."""
+    rng = random.Random(4)
+    docs = make_docs(rows_of([" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(300)) for _ in range(2500)])).coalesce(1)
+    rows = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 2).cast("int").alias("good"), F.lit(0).alias("toxic"), "text", F.col("lang").alias("meta_0"))
+    sizes, evaluated = [], Q.evaluated
+
+    def look(rows, weights):
+        sizes.append(max(rows.select(*[F.max(F.octet_length(c)) for c in rows.columns[1:]]).first()))
+        return evaluated(rows, weights)
+
+    monkeypatch.setattr(Q, "evaluated", look)
+    before = [spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")]
+    blocks = Q.viewed(rows, ["lang"])
+    w, = Q.fitted(blocks, [Q.Task("words", "good", 0)], [(1e-3, 3)], [None], [None])
+    most = max(blocks.select(*[F.max(F.octet_length(c)) for c in blocks.columns[1:]]).first())
+    assert most < 1 << 19 and max(sizes) < 1 << 19 and np.isfinite(w).all(), (most, sizes)
+    assert before == [spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")]
+
+
 def test_quality_fits_toxic_texts_apart(spark, make_docs):
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(30)) + (" vile" if k % 20 == 0 else "") for k in range(600)]
