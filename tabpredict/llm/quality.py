@@ -13,8 +13,8 @@ once more; then each look at the loss is one job, whose gradients are
 added up in the cluster by ranges of columns so that one vector a regression reaches the driver.
 The steps are quasi-Newton ones, over columns scaled by the root of their greatest curvature.
 They end when the loss stands still; a fit of the next round starts from the last one's weights.
-What a job broadcasts is destroyed. Blocks, parquet pages and batches are small, so that the executors' memory
-does not depend on how many rows a task has.
+What a job broadcasts is destroyed. The fits' blocks, parquet pages and batches are small,
+however many rows a task has, so that executors need little memory.
 """
 
 from __future__ import annotations
