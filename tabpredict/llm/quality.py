@@ -14,11 +14,13 @@ added up in the cluster by ranges of columns so that one vector a regression rea
 The steps are quasi-Newton ones, over columns scaled by the root of their greatest curvature.
 They end when the loss stands still; a fit of the next round starts from the last one's weights.
 What a job broadcasts is destroyed. The fits' blocks, parquet pages and batches are small,
-however many rows a task has, so that executors need little memory.
+however many rows a task has, so that executors need little memory. The driver holds a few
+vectors a regression; the steps' memory is in a file that it maps.
 """
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,8 +42,10 @@ HELD_ROWS = 50_000
 KEEP_GOOD = 0.97
 #: A fit ends when so many steps together lower the loss by less than this share of it.
 FEW, STILL = 5, 1e-2
-#: Columns of a gradient that are added up together; steps that the quasi-Newton memory holds.
+#: Columns of a gradient that are added up together; tasks that do so, each sending the driver well below a MB;
+#: steps that the quasi-Newton memory holds.
 CHUNK = 1 << 14
+SUM_TASKS = 16
 MEMORY = 10
 #: Documents of one task.
 PART_ROWS = 20_000
@@ -308,13 +312,18 @@ def summed(rows: DataFrame, lengths: list[int], run) -> list[np.ndarray]:
         for chunk, data in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["chunk", "sums"])
 
-    with short_lived_shuffles(rows.sparkSession), small_batches(rows.sparkSession, READ_BLOCKS):    # a job's shuffle files go with it
-        found = rows.mapInArrow(send, "chunk int, sums binary").repartition(min(-(-sum(lengths) // CHUNK), 4), "chunk").mapInArrow(add, "chunk int, sums binary").toArrow()
-    if not found.num_rows:                                      # no rows at all
-        return [np.zeros(n) for n in lengths]
-    order = np.argsort(found.column("chunk").to_numpy())
-    cells = found.column("sums").combine_chunks()
-    return np.split(np.concatenate([np.frombuffer(cells[int(k)].as_buffer()) for k in order]), np.cumsum(lengths)[:-1])
+    out = [np.zeros(n) for n in lengths]
+    # a job's shuffle files go with it; its two stages are fixed: adaptive execution would only make each a job with driver threads of its own
+    with short_lived_shuffles(rows.sparkSession), small_batches(rows.sparkSession, READ_BLOCKS), settings(rows.sparkSession, {"spark.sql.adaptive.enabled": "false"}):
+        found = rows.mapInArrow(send, "chunk int, sums binary").repartition(min(-(-sum(lengths) // CHUNK), SUM_TASKS), "chunk").mapInArrow(add, "chunk int, sums binary").toArrow()
+    ends = np.cumsum(lengths)
+    for chunk, data in zip(found.column("chunk").to_pylist(), found.column("sums")):
+        part, lo = np.frombuffer(data.as_buffer()), chunk * CHUNK
+        for own, end in zip(out, ends):
+            a, b = max(lo, end - len(own)), min(lo + len(part), end)
+            if a < b:
+                own[a - end + len(own):b - end + len(own)] = part[a - lo:b - lo]
+    return out
 
 
 def evaluated(rows: DataFrame, weights: dict[int, np.ndarray]) -> dict[int, tuple]:
@@ -359,18 +368,24 @@ def descent(penalty: float, looks: int, w: np.ndarray, steep: np.ndarray):
     """Minimise mean log-loss + penalty / 2 * |w|^2 (no penalty on the intercept, which is last) from ``w``:
     yields weights to look at, at most ``looks``, is sent loss, weight and gradient of all rows there, and
     returns the best weights. L-BFGS over columns scaled by the root of their greatest curvature; a step that
-    does not lower the loss is shortened to where a parabola has its least, within a tenth and a half."""
-    ridge = np.append(np.full(len(w) - 1, penalty), 0.0)
+    does not lower the loss is shortened to where a parabola has its least, within a tenth and a half.
+    The steps that it remembers are in a file in the driver's temp folder, mapped: 20 vectors that the system can put out of memory."""
 
     def at(found, w):
         total, rows, grad = found
         rows = max(rows, 1e-12)
-        return total / rows + 0.5 * penalty * float(w[:-1] @ w[:-1]), grad / rows + ridge * w, rows
+        grad = grad / rows
+        grad[:-1] += penalty * w[:-1]
+        return total / rows + 0.5 * penalty * float(w[:-1] @ w[:-1]), grad, rows
 
     loss, grad, rows = at((yield w), w)
-    share = steep / rows
-    scale = 1 / np.sqrt(np.maximum(share + ridge, 1e-12))
+    scale = steep / rows
+    scale[:-1] += penalty
+    scale = 1 / np.sqrt(np.maximum(scale, 1e-12))
+    with tempfile.TemporaryFile() as file:
+        held = np.asarray(np.memmap(file, float, "w+", shape=(MEMORY, 2, len(w))))
     moves: list[tuple[np.ndarray, np.ndarray]] = []
+    known = 0
     past, left = [loss], looks - 1
     while left > 0:
         step, kept = grad.copy(), []
@@ -381,7 +396,7 @@ def descent(penalty: float, looks: int, w: np.ndarray, steep: np.ndarray):
         for (move, turn), a in zip(moves, reversed(kept)):
             step += (a - float(turn @ step) / float(move @ turn)) * move
         # the first step moves the margins by one on average, at most
-        size, slope = 1.0 if moves else 1 / max(1.0, float(4 * share @ np.abs(step))), float(grad @ step)
+        size, slope = 1.0 if moves else 1 / max(1.0, float(4 * (steep / rows) @ np.abs(step))), float(grad @ step)
         while True:
             new, left = w - size * step, left - 1
             found, turned, _ = at((yield new), new)
@@ -392,7 +407,10 @@ def descent(penalty: float, looks: int, w: np.ndarray, steep: np.ndarray):
             break
         move, turn = new - w, turned - grad
         if float(move @ turn) > 1e-12 * float(turn @ turn):
-            moves = [*moves, (move, turn)][-MEMORY:]
+            own, known = held[known % MEMORY], known + 1       # the place of the oldest
+            own[0], own[1] = move, turn
+            moves = [*moves, (own[0], own[1])][-MEMORY:]
+        del move, turn
         w, grad, loss = new, turned, found
         past.append(loss)
         if len(past) > FEW and past[-1 - FEW] - loss < STILL * past[-1 - FEW]:

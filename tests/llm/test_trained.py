@@ -2,6 +2,7 @@
 
 import collections
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -271,6 +272,50 @@ def test_quality_blocks_are_small(spark, make_docs, monkeypatch):
     assert before == [spark.conf.get(k, None) for k in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")]
 
 
+def test_quality_look_is_one_job_of_small_results(spark):
+    """A look at the loss is one job, whose tasks each send the driver a small share of the sums; settings are given back."""
+    n = Q.WIDTH["words"] + 1
+    cells = [np.arange(3, dtype=np.int32), np.array([2, 1], np.int32), np.zeros(2 * Q.N_STYLE), np.array([True, False]), np.ones(2)]
+    rows = spark.createDataFrame([(k, *(bytearray(c.tobytes()) for c in cells)) for k in (0, 1)], Q.TAKEN)
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.adaptive.enabled")
+    sc.setJobGroup("look", "look")
+    try:
+        got = Q.evaluated(rows, {0: np.zeros(n), 1: np.zeros(n)})
+    finally:
+        sc._jsc.clearJobGroup()
+    jobs = sc.statusTracker().getJobIdsForGroup("look")
+    stages = [k for j in jobs for k in sc.statusTracker().getJobInfo(j).stageIds]
+    tasks = sc.statusTracker().getStageInfo(max(stages)).numTasks
+    assert len(jobs) == 1 and tasks * (1 << 19) > 2 * n * 8, (jobs, tasks)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    for loss, weight, grad in got.values():
+        assert weight == 2 and abs(loss - 2 * np.log(2)) < 1e-12 and len(grad) == n
+        assert grad[:4].tolist() == [-0.5, -0.5, 0.5, 0] and grad[-1] == 0 and not grad[3:].any()
+
+
+def test_quality_steps_hold_few_vectors():
+    """The driver holds a few vectors of a regression, not the 20 of the steps' memory; the descent finds the least all the same."""
+    rng = np.random.default_rng(2)
+    n = 200_000
+    steep, best = np.exp(3 * rng.random(n)), rng.normal(size=n)
+
+    def look(w):
+        return float(0.5 * (steep * (w - best)) @ (w - best)), 1.0, steep * (w - best)
+
+    tracemalloc.start()
+    way, looks = Q.descent(0.0, 40, np.zeros(n), np.ones(n)), 0
+    at = next(way)
+    try:
+        while True:
+            at, looks = way.send(look(at)), looks + 1
+    except StopIteration as end:
+        w = end.value
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert looks > Q.MEMORY + 2 and most < 14 * 8 * n, (looks, most / (8 * n))
+    assert look(w)[0] < 1e-2 * look(np.zeros(n))[0]
+
+
 def test_quality_fits_toxic_texts_apart(spark, make_docs):
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(30)) + (" vile" if k % 20 == 0 else "") for k in range(600)]
