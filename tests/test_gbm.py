@@ -211,3 +211,51 @@ def test_many_rows_of_few_bins_are_written_once(spark, rows, tmp_path):
     assert np.allclose(score(once), score(plain))
     seen, want = ({r["n_trees"]: r for r in once.round_metrics(d).collect()} for d in (df, df.unionByName(df)))
     assert all(seen[n]["log_loss"] == pytest.approx(want[n]["log_loss"]) and seen[n]["auc"] == pytest.approx(want[n]["auc"]) for n in range(5))
+
+
+def test_large_tables_are_put_together_by_bins(spark, rows):
+    """More rows than one task may hold, but fewer than twice the combinations of bins: different rows are written, not all."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.integers(0, 20, 2000).astype(float), "b": rng.integers(0, 30, 2000).astype(float)})
+    pdf["label"] = (rng.random(2000) < 0.1 + 0.02 * pdf["b"]).astype(int)
+    df = spark.createDataFrame(pdf).repartition(3)
+    edges = G.bin_edges(df, ["a", "b"], 50)
+    size = math.prod(len(e) + 2 for e in edges)
+    assert 2000 < 4 * size and not G.worth_merging(size, 2000, 2) and G.worth_merging(size, 2000, 2, 1000) and not G.worth_merging(2 ** 63, 2000, 2, 1000)
+    blocks = [G.read_block(b, k, 2) for b in G.bin_rows(df, ["a", "b"], "label", F.lit(0.0), edges, 2000, 1000).toArrow().to_batches() for k in range(b.num_rows)]
+    assert sum(len(x[1]) for x in blocks) == len(pdf.groupby(["a", "b"])) < 700
+    assert sum(x[3].sum() for x in blocks) == 2000 and sum(x[1].sum() for x in blocks) == pdf["label"].sum()
+    s = G.Settings(learning_rate=0.3, min_rows=5, pos_weight=3.0)
+    score = lambda **k: sorted(r["p1"] for r in G.boost(df, ["a", "b"], rounds=4, settings=s, **k).transform(df).collect())
+    plain = score()
+    assert np.allclose(plain, score(together=1500)) and np.allclose(plain, score(together=0))      # put together, then held by one task or by none
+
+
+def test_trees_of_the_same_features_are_added_up(rows, monkeypatch):
+    _, df = rows
+    s = G.Settings(learning_rate=0.1, feature_fraction=0.7, max_leaves=6)
+    model = G.boost(df, FEATURES, rounds=40, settings=s)
+    cuts, trees = model.coded()
+    widths = [len(c) + 2 for c in cuts]
+    left, tables = G.added_up(trees, widths)
+    assert not left and 3 <= len(tables) <= 7 and G.added_up(trees[:31], widths) == (trees[:31], [])
+    codes = np.stack([np.random.default_rng(1).integers(0, w, 5000) for w in widths])
+    assert np.allclose(sum(G.tree_outputs(codes, tables)), sum(G.tree_outputs(codes, G.with_tables(trees, widths))))
+    monkeypatch.setattr(G, "SUMMED_TABLE", 1)
+    assert len(G.added_up(trees, widths)[0]) + len(G.added_up(trees, widths)[1]) >= 40
+    # metrics of rows put together by the model's cuts
+    want = {r["n_trees"]: r for r in model.round_metrics(df, weight=2.0).collect()}
+    monkeypatch.setattr(G, "TOGETHER", 100)
+    got = {r["n_trees"]: r for r in model.round_metrics(df, weight=2.0).collect()}
+    assert all(got[n][c] == pytest.approx(want[n][c]) for n in want for c in ("log_loss", "auc", "auc_error"))
+
+
+def test_continuation_over_the_same_bins_asks_no_raw_value(rows, monkeypatch):
+    _, df = rows
+    s = G.Settings(learning_rate=0.2, feature_fraction=0.7)
+    first, whole = G.boost(df, FEATURES, rounds=4, settings=s), G.boost(df, FEATURES, rounds=6, settings=s)
+    assert first.over([[0.123]] * 3) is None
+    monkeypatch.setattr(G.BoostedTrees, "margin", None)
+    for together in (None, 0):
+        more = G.boost(df, FEATURES, rounds=2, settings=s, init=first, together=together)
+        assert more.n_trees == 6 and np.allclose(more.nodes["value"], whole.nodes["value"])
