@@ -98,3 +98,24 @@ def test_halving(rows):
     twins = R.successive_halving(rows, ["a", "b"], [CELLS[2], replace(CELLS[2], max_leaves=9, learning_rate=0.5, min_hessian=0.0, l2=1.0)], 3, keep=2)
     assert [r[3] for r in twins] == [twins[0][3]] * 2 and twins[0][2] == 1 and twins[0][4] > twins[1][4]     # all say no: AUC decides
     assert R.successive_halving(rows, ["a", "b"], [], 4) == [] == R.fold_scores(rows.limit(0), ["a", "b"], CELLS, 4)
+
+
+def test_large_tables_are_counted_by_bins_and_fold(spark, rows, monkeypatch):
+    """More rows than one task may hold: the different rows with their numbers by fold and label give the same scores, binned once for all rungs."""
+    few = rows.withColumn("b", F.round("b"))
+    want = sorted(R.fold_scores(few, ["a", "b"], CELLS, 4))
+    size = few.select("a", "b").distinct().count()
+    assert 2 * size < 1000
+    made = R.Folds(few, ["a", "b"], [s.max_bins for s in CELLS], together=1000)
+    codes, yes, every = made.sent(255).value
+    assert codes.shape == (2, size) and every.shape == (3, size) and every.sum() == 600 and every.dtype == np.uint8
+    monkeypatch.setattr(R, "boost", None)              # no fit by the cluster
+    got = sorted(R.fold_scores(few, ["a", "b"], CELLS, 4, together=1000))
+    assert [r[:4] for r in got] == [r[:4] for r in want] and [r[4] for r in got] == pytest.approx([r[4] for r in want])
+    asked = []
+    each = R.bin_edges_each
+    monkeypatch.setattr(R, "bin_edges_each", lambda *a: (asked.append(1), each(*a))[1])
+    assert [x[:4] for x in R.successive_halving(few, ["a", "b"], CELLS, 9, keep=2, together=1000)] == [x[:4] for x in R.successive_halving(few, ["a", "b"], CELLS, 9, keep=2)]
+    assert len(asked) == 2                             # once a search, not once a rung
+    m, yes = np.array([0.1, 0.2, 0.2, 0.5]), np.array([1, 0, 2, 1])
+    assert R.auc(m, yes, np.array([2, 1, 3, 1])) == pytest.approx(R.auc(np.repeat(m, [2, 1, 3, 1]), np.array([1, 0, 0, 1, 1, 0, 1], bool)))
