@@ -240,3 +240,28 @@ def test_grid_search_joins_once(spark, monkeypatch):
     monkeypatch.setattr(T, "churn_obs", lambda spark, sf: rows)
     found = T.grid_search_gbt(spark, None, rounds=1, depths=(1,), steps=(0.1,)).collect()
     assert len(found) == 1 and found[0].best and seen.value == 80
+
+
+def test_grid_search_of_depths_and_rates_is_whole(spark, monkeypatch):
+    """By default 100 rounds of each of 15 settings on four folds; each figure is that of single fits."""
+    import inspect
+
+    from tabpredict.operators import evaluate as EV
+    from tabpredict.operators import gbm as G
+    from tabpredict.operators.split import assign_folds
+    from tabpredict.plans import q_train as T
+
+    told = {k: p.default for k, p in inspect.signature(T.grid_search_gbt).parameters.items()}
+    assert told["rounds"] == 100 and {5} <= set(told["depths"]) and {0.01, 0.025, 0.05} <= set(told["steps"])
+    rows = spark.range(400).select(F.col("id").alias("row_id"), (F.hash("id", F.lit(1)) % 50 + F.hash("id", F.lit(9)) % 30 > 0).cast("int").alias("label"),
+                                   *[(F.hash("id", F.lit(k)) % 50).cast("double").alias(c) for k, c in enumerate(CHURN_FEATURES)]).persist()
+    monkeypatch.setattr(T, "churn_obs", lambda spark, sf: rows)
+    found = {(r.max_depth, r.step_size): r for r in T.grid_search_gbt(spark, None, rounds=6, depths=(2, 3), steps=(0.3,)).collect()}
+    assert sorted(found) == [(2, 0.3), (3, 0.3)] and [r.best for r in found.values()].count(True) == 1
+    d, areas = assign_folds(rows, "row_id", 4), []
+    edges = G.bin_edges(d, CHURN_FEATURES, 255)
+    for f in range(4):
+        model = G.boost(d.where(F.col("fold") != f), CHURN_FEATURES, rounds=6, settings=G.Settings(learning_rate=0.3, max_leaves=8, max_depth=3, min_rows=1), edges=edges)
+        assert model.nodes.groupby("tree").size().max() > 7       # deeper than two levels
+        areas.append(EV.roc_auc(model.transform(d.where(F.col("fold") == f)), "label", "margin", digits=12).first()["roc_auc"])
+    assert abs(found[3, 0.3].auc - sum(areas) / 4) < 1e-9 and found[3, 0.3].auc > 0.6
